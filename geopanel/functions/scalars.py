@@ -97,8 +97,7 @@ def implied_rate_pct(base: str | Column, later: str | Column, years: float) -> C
 
 def level_at_horizon(base: str | Column, delta_pct: str | Column) -> Column:
     """Missing base is a legitimate zero, missing change keeps the base."""
-    b, d = col(base), col(delta_pct)
-    return F.coalesce(b * (F.lit(1.0) + F.coalesce(d, F.lit(0.0)) / 100.0), F.lit(0.0))
+    return F.coalesce(col(base) * (F.coalesce(col(delta_pct), F.lit(0.0)) / 100.0 + 1.0), F.lit(0.0))
 
 
 def half_even(c: str | Column, digits: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from geopanel.functions import rules
 from geopanel.functions.scalars import array_of, clip, implied_rate_pct, level_at_horizon, per_thousand
 from geopanel.operators import rank
+from geopanel.session import materialised
 from geopanel.sources.catalog import BRANCHES, PROJECTED_BRANCHES
 
 # Fixed values of the index.
@@ -51,31 +52,25 @@ class State:
 
 
 def demand_levels(summary: DataFrame, state: State) -> DataFrame:
-    d = summary.where(
-        (F.col("branch") == "demanda") & (F.col("cell") == state.segment) & (F.col("horizon") == state.horizon)
-    )
-    level = F.when(F.col("delta_pct").isNull(), F.col("level_base")).otherwise(
-        F.col("level_base") * (F.lit(1.0) + F.col("delta_pct") / 100.0)
-    )
-    rate = F.coalesce("rate_pct", F.lit(0.0)) if state.zero_missing_demand_rate else F.col("rate_pct")
-    return d.select(
-        "unit", "grp", level.alias("level_d"), rate.alias("rate_d"), F.coalesce("confidence", F.lit("baja")).alias("confidence"), "reason"
+    rate = "coalesce(rate_pct, 0D)" if state.zero_missing_demand_rate else "rate_pct"
+    return summary.where(f"branch = 'demanda' AND cell = '{state.segment}' AND horizon = '{state.horizon}'").selectExpr(
+        "unit", "grp", "level_base * (1 + coalesce(delta_pct, 0D) / 100) AS level_d", f"{rate} AS rate_d",
+        "coalesce(confidence, 'baja') AS confidence", "reason",
     )
 
 
 def branch_levels(summary: DataFrame, state: State) -> DataFrame:
     """Base and horizon level per unit × branch, summed over the selected cells, with the implied rate."""
-    wanted = F.lit(False)
+    wanted = []
     for b in BRANCHES:
         at = "actual" if b == UNPROJECTED else state.supply_horizon
-        hit = (F.col("branch") == b) & (F.col("horizon") == at)
-        chosen = list(state.cells.get(b, ()))
-        wanted = wanted | ((hit & F.col("cell").isin(chosen)) if chosen else hit)
+        chosen = ", ".join(f"'{c}'" for c in state.cells.get(b, ()))
+        wanted.append(f"(branch = '{b}' AND horizon = '{at}'{f' AND cell IN ({chosen})' if chosen else ''})")
     sums = (
-        summary.where(wanted)
+        summary.where(" OR ".join(wanted))
         .groupBy("unit", "branch")
         .agg(
-            F.sum(F.coalesce("level_base", F.lit(0.0))).alias("level_s0"),
+            F.expr("sum(coalesce(level_base, 0D))").alias("level_s0"),
             F.sum(level_at_horizon("level_base", "delta_pct")).alias("level_s"),
         )
     )
@@ -129,45 +124,54 @@ def weighted_index(value: str, weights: dict[str, float]) -> Column:
     return F.try_divide(F.sum(w * F.col(value)), F.when(F.sum(w) > 0, F.sum(w)))
 
 
+def composite_of(prefix: str, weights: dict[str, float]) -> Column:
+    """Row form of :func:`weighted_index`. The fixed branch order keeps equal inputs bit-equal, so that
+    ties stay ties whatever order rows arrived in."""
+    present = {b: f"if({prefix}_{b} IS NULL, 0D, {float(weights[b])}D)" for b in BRANCHES}
+    top = " + ".join(f"{present[b]} * coalesce({prefix}_{b}, 0D)" for b in BRANCHES)
+    return F.expr(f"try_divide({top}, nullif({' + '.join(present.values())}, 0D))")
+
+
 def compose(summary: DataFrame, state: State = State()) -> DataFrame:
-    """Per unit: value, percentile, quintile, tercile, weight, and per-branch index, tercile, coverage."""
+    """Per unit: value, percentile, quintile, tercile, weight, and per-branch index, tercile, coverage.
+
+    The unit table feeds the ranks, the cuts and the result, so it is materialised once.
+    """
     idx = branch_indices(summary, state)
-    pick = lambda c, b: F.max(F.when(F.col("branch") == b, F.col(c)))
     chosen = "f" if state.search == "disponibilidad" else "o"
-    value = weighted_index(chosen, state.weights) if state.view == "general" else pick(chosen, state.view)
+    pick = lambda c: [F.expr(f"max({c}) FILTER (WHERE branch = '{b}')").alias(f"{c}_{b}") for b in BRANCHES]
     wide = idx.groupBy("unit", "grp", "confidence").agg(
-        F.max("level_d").alias("level_d"),
-        F.max("reason").alias("reason"),
-        value.alias("value"),
-        *[pick("o", b).alias(f"o_{b}") for b in BRANCHES],
-        *[pick("coverage", b).alias(f"coverage_{b}") for b in BRANCHES],
+        F.max("level_d").alias("level_d"), F.max("reason").alias("reason"), *pick("o"), *pick("f"), *pick("coverage")
     )
-    scopes = F.array(
-        F.struct(F.lit("value").alias("scope"), F.col("value").alias("x")),
-        *[F.struct(F.lit(f"o_{b}").alias("scope"), F.col(f"o_{b}").alias("x")) for b in BRANCHES],
+    value = composite_of(chosen, state.weights) if state.view == "general" else F.col(f"{chosen}_{state.view}")
+    wide = materialised(wide.withColumn("value", value).drop(*[f"f_{b}" for b in BRANCHES]))
+
+    scopes = ", ".join(f"struct('{s}' AS scope, {s} AS x)" for s in _scopes())
+    dist = rank.distribution(wide.selectExpr(f"inline(array({scopes}))"), ["scope"], "x")
+    cuts = [("t", 3, i) for i in (1, 2)] + [("q", 5, i) for i in (1, 2, 3, 4)]
+    per_scope = dist.groupBy("scope").agg(
+        *[F.expr(f"min(x) FILTER (WHERE cum > floor({i / n!r}D * n))").alias(f"{p}{i}") for p, n, i in cuts]
     )
-    dist = rank.distribution(wide.select(F.inline(scopes)), ["scope"], "x")
-    terciles = rank.class_cuts(dist, ["scope"], "x", 3, "t")
-    quintiles = rank.class_cuts(dist.where(F.col("scope") == "value"), ["scope"], "x", 5, "q")
-    # All cuts as one struct value: five scopes, at most four cuts each.
-    pair = lambda s, i: F.max(F.when(F.col("scope") == s, F.col(f"t{i}"))).alias(f"{s}_t{i}")
-    t_row = terciles.agg(F.struct(*[pair(s, i) for s in _scopes() for i in (1, 2)]).alias("c"))
-    q_row = quintiles.agg(F.struct(*[F.max(f"q{i}").alias(f"q{i}") for i in range(1, 5)]).alias("c"))
-    pct = dist.where(F.col("scope") == "value").select(
+    # All cuts as one struct value: five scopes, six cuts each.
+    wanted = [(s, f"{p}{i}") for s in _scopes() for p, _, i in cuts if p == "t" or s == "value"]
+    flat = per_scope.groupBy().agg(*[F.expr(f"max({c}) FILTER (WHERE scope = '{s}')").alias(f"{s}_{c}") for s, c in wanted])
+    one = flat.select(F.struct(*flat.columns))
+    pct = dist.where("scope = 'value'").select(
         F.col("x").alias("value"), rank.percentile_of(F.col("cnt"), F.col("cum"), F.col("n")).alias("percentile")
     )
-    out = wide.join(pct, "value", "left").select("*", t_row.scalar().alias("_t"), q_row.scalar().alias("_q"))
-    out = out.select("*", "_t.*", "_q.*")
-    tercile = lambda s: rank.tercile_name(rank.class_of(F.col("value" if s == "value" else s), 3, f"{s}_t"))
-    return out.select(
+    out = wide.join(pct, "value", "left").select("*", one.scalar().alias("_c")).select("*", "_c.*")
+
+    def tercile(s: str) -> str:
+        return f"CASE WHEN {s} IS NULL THEN 'sin_datos' WHEN {s} <= {s}_t1 THEN 'baja' WHEN {s} <= {s}_t2 THEN 'media' ELSE 'alta' END"
+
+    quintile = " ".join(f"WHEN value <= value_q{i} THEN {i}" for i in range(1, 5))
+    return out.selectExpr(
         "unit", "grp", "value", "percentile",
-        rank.class_of(F.col("value"), 5, "q").alias("quintile"),
-        tercile("value").alias("tercile"),
-        "confidence", "reason",
-        (F.col("confidence") == "baja").alias("low_confidence"),
-        F.coalesce("level_d", F.lit(0.0)).alias("weight"),
+        f"CASE WHEN value IS NULL THEN NULL {quintile} ELSE 5 END AS quintile",
+        f"{tercile('value')} AS tercile",
+        "confidence", "reason", "confidence = 'baja' AS low_confidence", "coalesce(level_d, 0D) AS weight",
         *[f"o_{b}" for b in BRANCHES],
-        *[tercile(f"o_{b}").alias(f"tercile_{b}") for b in BRANCHES],
+        *[f"{tercile(f'o_{b}')} AS tercile_{b}" for b in BRANCHES],
         *[f"coverage_{b}" for b in BRANCHES],
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("filters", "joins", "aggregates")
+FAMILIES = ("composition", "filters", "joins", "aggregates")
 
 
 def load():

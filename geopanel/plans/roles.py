@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from geopanel.functions import geometry as g
 from geopanel.operators import panel
 from geopanel.operators.calendar import Calendar
+from geopanel.session import materialised
 from geopanel.sources.catalog import BANDS, SEGMENTS
 
 CAL = Calendar(t0=1995.5, t1=2000.5, t_base=2001.5, cuts=(1996.5, 1998.5, 2000.5), control_from=2000.5)
@@ -173,6 +174,11 @@ class Roles:
         h = [f"struct('h{y}' AS h, {y}D AS y)" for y in (1, 3, 5)]
         return self._published(demand, ", ".join(h)).unionByName(self._published(supply, ", ".join(h[:2]))).unionByName(green)
 
+    @cached_property
+    def summary(self) -> DataFrame:
+        """The published table written once: composition queries read it several times."""
+        return materialised(self.published)
+
     @cached_property
     def green_points(self) -> DataFrame:
         """Undiscounted lines of the last cut as green points with an area."""
