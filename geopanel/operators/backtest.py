@@ -50,14 +50,9 @@ def thinning_folds(
     demand: DataFrame, cal: Calendar, fractions: Sequence[float] = FRACTIONS, ident: Column | None = None, source: str = "hash"
 ) -> DataFrame:
     """``frac, unit, grp, estimator, r_real, r_est, var_est`` for four estimators on thinned counts."""
-    thin = thin_panel(twice_observed(demand), fractions, ident, source)
-    own = (
-        thin.withColumn("r_real", log_rate("d0", "d1", cal.dt))
-        .withColumn("r_hat", log_rate("d0", "d1_thin", cal.dt))
-        .withColumn("psi", log_rate_variance("d0", "d1_thin", cal.dt, F.col("frac")))
-    )
-    groups = own.groupBy("frac", "grp").agg(log_rate(F.sum("d0"), F.sum("d1_thin"), cal.dt).alias("rho"))
-    fitted = estimate.shrink(own.join(groups, ["frac", "grp"]), ["frac"])
+    thin = thin_panel(twice_observed(demand), fractions, ident, source).withColumn("r_real", log_rate("d0", "d1", cal.dt))
+    own = estimate.with_direct_rates(thin, cal.dt, "d1_thin", F.col("frac"))
+    fitted = estimate.shrink_to_groups(own, estimate.group_rates(own, ["frac"], cal.dt, "d1_thin"), ["frac"])
     null = F.lit(None).cast("double")
     rows = F.array(
         *[
@@ -78,26 +73,15 @@ def thinning_folds(
 def leave_group_out(demand: DataFrame, cal: Calendar) -> DataFrame:
     """τ² of every group from all the other groups: totals minus the group's own sums."""
     units = twice_observed(demand)
-    own = units.withColumn("r_real", log_rate("d0", "d1", cal.dt)).withColumn("psi", log_rate_variance("d0", "d1", cal.dt))
-    rates = estimate.group_rates(units, [], cal.dt).select("grp", "rho")
-    joined = own.join(rates, "grp")
-    gap2 = F.pow(F.col("r_real") - F.col("rho"), 2)
-    sums = joined.groupBy("grp").agg(
-        F.sum(gap2).alias("g2"), F.sum("psi").alias("p"), F.count(F.lit(1)).alias("m")
-    )
-    whole = sums.agg(F.struct(F.sum("g2").alias("g2"), F.sum("p").alias("p"), F.sum("m").alias("m")).alias("w")).scalar()
-    outside = sums.select("*", whole.alias("w")).select(
-        "grp",
-        (F.col("w.m") - F.col("m")).alias("m_out"),
-        F.try_divide(F.col("w.g2") - F.col("g2") - (F.col("w.p") - F.col("p")), F.col("w.m") - F.col("m")).alias("moment"),
+    own = estimate.with_direct_rates(units, cal.dt)
+    groups = estimate.group_rates(own, [], cal.dt).selectExpr("grp", "rho", f"{estimate.squared_gap('rho')} AS g2", "p", "n AS m")
+    whole = groups.agg(F.expr("struct(sum(g2) AS g2, sum(p) AS p, sum(m) AS m)").alias("w")).scalar()
+    outside = groups.select("*", whole.alias("w")).selectExpr(
+        "grp", "rho", "w.m - m AS m_out", "try_divide(w.g2 - g2 - (w.p - p), w.m - m) AS moment"
     )
-    tau = outside.where(F.col("m_out") >= 2).select("grp", F.greatest(F.lit(0.0), F.col("moment")).alias("tau2_out"))
-    b = F.col("psi") / (F.col("psi") + F.col("tau2_out"))
-    return joined.join(tau, "grp").select(
-        "unit", "grp", "r_real",
-        (b * F.col("rho") + (F.lit(1.0) - b) * F.col("r_real")).alias("r_est"),
-        ((F.lit(1.0) - b) * F.col("psi")).alias("var_est"),
-        "tau2_out",
+    tau = outside.where("m_out >= 2").selectExpr("grp", "rho", "greatest(0D, moment) AS tau2")
+    return own.join(tau, "grp").withColumns(estimate.shrunk()).selectExpr(
+        "unit", "grp", "r_hat AS r_real", "r_tilde AS r_est", "var_post AS var_est", "tau2 AS tau2_out"
     )
 
 

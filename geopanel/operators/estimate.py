@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from geopanel.functions.scalars import log_rate, log_rate_variance
 from geopanel.operators.calendar import Calendar
+from geopanel.session import materialised
 
 RELIABLE_VARIANCE = 10.0  # fixed value: a slope variance at or above this is numerically separated
 MIN_DISPERSION = 1.0  # fixed value
@@ -25,44 +26,72 @@ def eligible(demand: DataFrame) -> DataFrame:
     return demand.where(F.col("reason").isNull())
 
 
-def group_rates(demand: DataFrame, keys: Sequence[str], dt: float) -> DataFrame:
-    """Rate of the summed counts of a group, over units observed twice."""
-    both = demand.where(F.col("d0").isNotNull() & F.col("d1").isNotNull())
-    sums = both.groupBy(*keys, "grp").agg(F.sum("d0").alias("sum_d0"), F.sum("d1").alias("sum_d1"))
-    return sums.withColumn("rho", log_rate("sum_d0", "sum_d1", dt))
+def moments(r: Column, psi: Column, suffix: str = "") -> list[Column]:
+    """Group sums from which the pooled variance follows: no second pass over the units is needed."""
+    return [
+        F.count(r).alias(f"n{suffix}"),
+        F.sum(r).alias(f"r1{suffix}"),
+        F.sum(r * r).alias(f"r2{suffix}"),
+        F.sum(F.when(r.isNotNull(), psi)).alias(f"p{suffix}"),
+    ]
+
+
+def squared_gap(rho: str, suffix: str = "") -> str:
+    """SQL text for Σ (r − ρ)² of a group."""
+    return f"(r2{suffix} - 2 * {rho} * r1{suffix} + n{suffix} * {rho} * {rho})"
+
+
+def pooled_variance(groups: DataFrame, keys: Sequence[str], rho: str = "rho", scale: str = "1D") -> DataFrame:
+    """``tau2`` per key: max(0, mean((r − ρ)²) − mean(ψ)) over all units of all groups. When the groups
+    carry ``_u`` moments (usable units only), those are used unless no unit is usable."""
+    def moment(suffix: str) -> str:
+        return f"try_divide(sum({squared_gap(rho, suffix)}) - sum({scale} * p{suffix}), nullif(sum(n{suffix}), 0))"
+
+    expr = f"coalesce({moment('_u')}, {moment('')})" if "n_u" in groups.columns else moment("")
+    return groups.groupBy(*keys).agg(F.expr(f"greatest(0D, {expr})").alias("tau2"))
 
 
-def shrink(
-    rates: DataFrame, keys: Sequence[str], r: str = "r_hat", psi: str = "psi", rho: str = "rho", usable: Column | None = None
-) -> DataFrame:
-    """Empirical-Bayes shrinkage towards ``rho``: adds ``tau2, b, r_tilde, var_post``.
+def shrunk(r: str = "r_hat", psi: str = "psi", rho: str = "rho") -> dict[str, Column]:
+    """``b, r_tilde, var_post`` from a unit's rate, its variance, its group's rate and ``tau2``.
 
-    ``tau2`` is pooled over each key's units (only ``usable`` ones if given, all if none is usable);
-    rows without a rate of their own get ``r_tilde = rho`` and ``var_post = tau2``.
+    Without a rate of its own a unit gets ``r_tilde = ρ`` and ``var_post = τ²``.
     """
-    keys = list(keys)
-    gap2, own = F.pow(F.col(r) - F.col(rho), 2), F.col(psi)
-    moment = F.avg(gap2) - F.avg(own)
-    if usable is not None:
-        some = F.avg(F.when(usable, gap2)) - F.avg(F.when(usable, own))
-        moment = F.coalesce(some, moment)
-    pooled = rates.where(F.col(r).isNotNull()).groupBy(*keys).agg(F.greatest(F.lit(0.0), moment).alias("tau2"))
-    b = F.coalesce(F.try_divide(own, own + F.col("tau2")), F.lit(1.0))
-    return (
-        rates.join(pooled, keys, "left")
-        .withColumn("b", F.when(F.col(r).isNotNull(), b))
-        .withColumn("r_tilde", F.when(F.col(r).isNull(), F.col(rho)).otherwise(F.col("b") * F.col(rho) + (F.lit(1.0) - F.col("b")) * F.col(r)))
-        .withColumn("var_post", F.when(F.col(r).isNull(), F.col("tau2")).otherwise((F.lit(1.0) - F.col("b")) * own))
+    b = f"coalesce(try_divide({psi}, {psi} + tau2), 1D)"
+    return {
+        "b": F.expr(f"if({r} IS NULL, NULL, {b})"),
+        "r_tilde": F.expr(f"if({r} IS NULL, {rho}, {b} * {rho} + (1 - {b}) * {r})"),
+        "var_post": F.expr(f"if({r} IS NULL, tau2, (1 - {b}) * {psi})"),
+    }
+
+
+def with_direct_rates(demand: DataFrame, dt: float, later: str = "d1", thin: float | Column = 1.0) -> DataFrame:
+    return demand.withColumns({"r_hat": log_rate("d0", later, dt), "psi": log_rate_variance("d0", later, dt, thin)})
+
+
+def group_rates(units: DataFrame, keys: Sequence[str], dt: float, later: str = "d1") -> DataFrame:
+    """Rate of a group's summed counts over units observed twice, with the moments of its units' rates."""
+    rated = units if "r_hat" in units.columns else with_direct_rates(units, dt, later)
+    both = rated.where(F.col("d0").isNotNull() & F.col(later).isNotNull())
+    sums = both.groupBy(*keys, "grp").agg(
+        F.sum("d0").alias("sum_d0"), F.sum(later).alias("sum_d1"), *moments(F.col("r_hat"), F.col("psi"))
     )
+    return sums.withColumn("rho", log_rate("sum_d0", "sum_d1", dt))
+
+
+def shrink_to_groups(units: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join each unit to its group's rate and its key's pooled variance, and shrink."""
+    keys = list(keys)
+    tau = pooled_variance(groups, keys)
+    out = units.join(groups.select(*keys, "grp", "rho"), [*keys, "grp"], "left")
+    out = out.join(tau, keys, "left") if keys else out.select("*", tau.scalar().alias("tau2"))
+    return out.withColumns(shrunk())
 
 
 def demand_rates(demand: DataFrame, keys: Sequence[str], dt: float) -> DataFrame:
     """Eligible units with direct rate, group rate, shrunk rate and number of observations."""
-    units = eligible(demand)
-    own = units.withColumn("r_hat", log_rate("d0", "d1", dt)).withColumn("psi", log_rate_variance("d0", "d1", dt))
-    groups = group_rates(units, keys, dt).select(*keys, "grp", "rho")
-    joined = own.join(groups, [*keys, "grp"], "left")
-    return shrink(joined, keys).withColumn("n_obs", F.when(F.col("r_hat").isNotNull(), 2).otherwise(1))
+    units = with_direct_rates(eligible(demand), dt)
+    out = shrink_to_groups(units, group_rates(units, keys, dt), keys)
+    return out.withColumn("n_obs", F.when(F.col("r_hat").isNotNull(), 2).otherwise(1))
 
 
 # --- control series ----------------------------------------------------------------------------
@@ -194,43 +223,44 @@ def fit_supply(wide: DataFrame, cal: Calendar) -> DataFrame:
     )
 
 
-def group_trend(fit: DataFrame, keys: Sequence[str], cal: Calendar) -> DataFrame:
-    """The same trend on group totals of the fitted units."""
-    xs = [c - cal.centre for c in cal.cuts]
-    sums = [F.sum(F.get(F.col("s"), F.lit(i))) for i in range(len(cal.cuts))]
-    totals = fit.where(~F.col("no_data")).groupBy(*keys, "grp").agg(F.array(*sums).alias("s"))
-    g = totals.withColumn("_fit", poisson_fit("s", xs))
-    return g.select(*keys, "grp", F.col("_fit.b").alias("b_grp"), F.col("_fit.var_b").alias("var_grp"))
-
-
-def pearson(s: str, a: Column, b: Column, cal: Calendar) -> Column:
+def pearson(cal: Calendar) -> Column:
     """Σ (y − μ)² / μ over the cuts, with μ floored at 1e-6."""
-    terms = []
-    for i, cut in enumerate(cal.cuts):
-        mu = F.greatest(F.exp(a + b * (cut - cal.centre)), F.lit(1e-6))
-        terms.append(F.pow(F.get(F.col(s), F.lit(i)) - mu, 2) / mu)
-    return sum(terms[1:], terms[0])
+    mu = [f"greatest(exp(a_hat + b_hat * {cut - cal.centre!r}D), 1e-6D)" for cut in cal.cuts]
+    return F.expr(" + ".join(f"pow(s[{i}] - {m}, 2) / {m}" for i, m in enumerate(mu)))
 
 
-def dispersion(fit: DataFrame, keys: Sequence[str], cal: Calendar) -> DataFrame:
-    """Over-dispersion per group: max(1, Σ Pearson / number of units)."""
-    chi = pearson("s", F.col("a_hat"), F.col("b_hat"), cal)
-    return (
+def group_trend(fit: DataFrame, keys: Sequence[str], cal: Calendar) -> DataFrame:
+    """One pass per group of fitted units: the same trend on the group's totals (``b_grp, var_grp``),
+    over-dispersion ``phi`` = max(1, Σ Pearson / units), and the moments of the unit slopes."""
+    xs = [c - cal.centre for c in cal.cuts]
+    totals = F.expr("array(" + ", ".join(f"sum(s[{i}])" for i in range(len(cal.cuts))) + ")")
+    slope, var = F.col("b_hat"), F.col("var_b")
+    usable = F.when(F.col("reliable"), slope)
+    g = (
         fit.where(~F.col("no_data"))
         .groupBy(*keys, "grp")
-        .agg(F.greatest(F.lit(MIN_DISPERSION), F.avg(chi)).alias("phi"))
+        .agg(
+            totals.alias("s"),
+            F.greatest(F.lit(MIN_DISPERSION), F.avg(pearson(cal))).alias("phi"),
+            *moments(slope, var),
+            *moments(usable, var, "_u"),
+        )
+        .withColumn("_fit", poisson_fit("s", xs))
     )
+    return g.select("*", F.col("_fit.b").alias("b_grp"), F.col("_fit.var_b").alias("var_grp")).drop("_fit", "s")
 
 
 def supply_posterior(fit: DataFrame, keys: Sequence[str], cal: Calendar, sd_floor: float = 0.0) -> DataFrame:
-    """Shrunk slope and its variance per unit: counts error inflated by φ, plus the group slope's own error."""
+    """Shrunk slope and its variance per unit: counts error inflated by φ, plus the group slope's own
+    error. The fit feeds the group pass and the result, so it is materialised once."""
     keys = list(keys)
-    live = fit.where(~F.col("no_data"))
-    by_group = group_trend(fit, keys, cal).join(dispersion(fit, keys, cal), [*keys, "grp"])
-    psi = live.join(by_group, [*keys, "grp"], "left").withColumn("psi", F.col("var_b") * F.col("phi"))
-    out = shrink(psi, keys, r="b_hat", rho="b_grp", usable=F.col("reliable"))
-    var = F.col("var_post") + F.pow(F.col("b"), 2) * F.col("var_grp") * F.col("phi")
-    return out.withColumn("var_post", F.greatest(var, F.lit(sd_floor * sd_floor))).withColumnRenamed("r_tilde", "b_tilde")
+    live = materialised(fit.where(~F.col("no_data")))
+    groups = group_trend(live, keys, cal)
+    tau = pooled_variance(groups, keys, "b_grp", "phi")
+    out = live.join(groups.select(*keys, "grp", "b_grp", "var_grp", "phi"), [*keys, "grp"]).join(tau, keys)
+    out = out.withColumn("psi", F.col("var_b") * F.col("phi")).withColumns(shrunk("b_hat", "psi", "b_grp"))
+    var = F.expr(f"greatest(var_post + b * b * var_grp * phi, {float(sd_floor) ** 2}D)")
+    return out.withColumn("var_post", var).withColumnRenamed("r_tilde", "b_tilde")
 
 
 def attenuated_rate(wide: DataFrame, cal: Calendar) -> DataFrame:

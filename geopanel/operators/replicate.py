@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopanel.functions import draws, rules
-from geopanel.functions.scalars import clip
 from geopanel.operators import estimate
 from geopanel.operators.calendar import Calendar
+from geopanel.session import materialised
 
 N_SIM = 4000  # fixed value
 MAX_RATE = 20.0  # fixed value: numeric guard before exp()
@@ -34,16 +34,16 @@ def _bounded(r: Column) -> Column:
     return F.least(F.greatest(r, F.lit(-MAX_RATE)), F.lit(MAX_RATE))
 
 
-def with_group_numbers(units: DataFrame, number: Column) -> DataFrame:
-    return units.withColumn("grp_no", number)
-
-
 # --- demand ------------------------------------------------------------------------------------
 
 
 def demand_inputs(demand: DataFrame, control: DataFrame, cal: Calendar, keys: Sequence[str], sd_floor: float = 0.0) -> DataFrame:
-    """Posterior of every eligible unit next to its group's anchor, ratio and shock size."""
-    rates = estimate.demand_rates(demand, keys, cal.dt)
+    """Posterior of every eligible unit next to its group's anchor, ratio and shock size.
+
+    A group none of whose units was observed twice has no rate to shrink to: its units get no
+    projection and are published as no-data.
+    """
+    rates = estimate.demand_rates(demand, keys, cal.dt).where("rho IS NOT NULL")
     joined = rates.join(estimate.control_summary(control, cal), "grp")
     return joined.select(
         *keys,
@@ -80,8 +80,10 @@ def simulate_demand(
     group_id: Column | None = None,
 ) -> DataFrame:
     """Anchor + persistence × local deviation, tied to the control ratio per group and replicate,
-    then shifted by one shared shock per (group, replicate)."""
+    then shifted by one shared shock per (group, replicate). The inputs feed both passes, so they are
+    materialised once."""
     keys = list(keys)
+    inputs = materialised(inputs)
     span = cal.demand_span
     uid = unit_id if unit_id is not None else F.col("unit")
     gid = group_id if group_id is not None else F.xxhash64("grp")
@@ -159,27 +161,22 @@ def roll_up(sim: DataFrame, keys: Sequence[str], span: float, demand: bool, root
     n_fixed = len(FIXED_PERSISTENCE) if demand else 0
     parts = [F.col("r").alias("m"), *[F.get(F.col("r_fixed"), F.lit(i)).alias(f"f{i}") for i in range(n_fixed)]]
     names = ["m", *[f"f{i}" for i in range(n_fixed)]]
-    meta = (
-        src.groupBy(*keys, "grp")
-        .agg(
-            F.sum("base").alias("base"),
-            F.max("n_obs").alias("n_obs"),
-            F.sum("conf_base").alias("conf_base"),
-        )
-        .where(F.col("base") > 0)
-    )
-    long = src.select(*keys, "grp", "base", F.posexplode(F.arrays_zip(*parts)).alias("rep", "v"))
+    long = src.select(*keys, "grp", "base", "n_obs", "conf_base", F.posexplode(F.arrays_zip(*parts)).alias("rep", "v"))
     sums = long.groupBy(*keys, "grp", "rep").agg(
-        F.sum("base").alias("_b"),
-        *[F.sum(F.col("base") * F.exp(F.col(f"v.{c}") * span)).alias(c) for c in names],
+        F.sum("base").alias("base"),
+        F.max("n_obs").alias("n_obs"),
+        F.sum("conf_base").alias("conf_base"),
+        *[F.expr(f"sum(base * exp(v.{c} * {float(span)!r}D))").alias(c) for c in names],
     )
-    rate = lambda c: F.log(F.try_divide(F.col(c), F.col("_b"))) / span
-    packed = sums.where(F.col("_b") > 0).groupBy(*keys, "grp").agg(
-        F.array_sort(F.collect_list(F.struct("rep", *[rate(c).alias(c) for c in names]))).alias("_rows")
+    rate = lambda c: F.expr(f"ln({c} / base) / {float(span)!r}D").alias(c)
+    # n_sim entries per group: bounded by the parameter.
+    packed = sums.where("base > 0").groupBy(*keys, "grp").agg(
+        F.array_sort(F.collect_list(F.struct("rep", *[rate(c) for c in names]))).alias("_rows"),
+        *[F.max(c).alias(c) for c in ("base", "n_obs", "conf_base")],  # equal on every replicate
     )
     pick = lambda c: F.transform("_rows", lambda x: x[c])
     fixed = F.array(*[pick(f"f{i}") for i in range(n_fixed)]) if n_fixed else F.array().cast("array<array<double>>")
-    return packed.join(meta, [*keys, "grp"]).select(
+    return packed.select(
         *keys,
         F.col("grp").alias("unit"),
         "grp",
@@ -284,7 +281,3 @@ def array_median(c: str | Column) -> Column:
     a = F.col(c) if isinstance(c, str) else c
     ordered = F.sort_array(F.filter(a, lambda x: x.isNotNull()))
     return F.when(F.size(ordered) > 0, _quantile(ordered, 0.5))
-
-
-def clipped_rate(c: str | Column) -> Column:
-    return clip(c, -MAX_RATE, MAX_RATE)

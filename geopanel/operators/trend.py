@@ -21,6 +21,7 @@ T_975 = (
 )
 Z_975 = 1.959963984540054
 AHEAD = (3, 5, 7)
+FLAT_SLOPE = 1e-9  # rounding noise of a flat series must not decide its class
 
 
 def t_quantile(df: Column) -> Column:
@@ -107,7 +108,7 @@ def traffic_light(zones: DataFrame, keys: Sequence[str] = ("category",)) -> Data
     """Green: low relative supply and growing; red: high relative supply, or the middle class not
     growing; yellow: the rest. Relative supply is the tercile of ``per_capita`` within ``keys``."""
     t = rank.classify(zones, keys, "per_capita", 3, "_t")
-    growing = F.col("slope") > 0
+    growing = F.col("slope") > FLAT_SLOPE
     light = (
         F.when((F.col("_t") == 1) & growing, "verde")
         .when((F.col("_t") == 3) | ((F.col("_t") == 2) & ~growing), "rojo")
@@ -124,7 +125,7 @@ def quadrants(zones: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         if keys
         else zones.select("*", medians.select("median_supply").scalar().alias("median_supply"))
     )
-    low, grows = F.col("per_capita") <= F.col("median_supply"), F.col("slope") > 0
+    low, grows = F.col("per_capita") <= F.col("median_supply"), F.col("slope") > FLAT_SLOPE
     return joined.withColumn(
         "quadrant",
         F.when(low & grows, "oportunidad_alta")

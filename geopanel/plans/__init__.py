@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("composition", "filters", "joins", "aggregates")
+FAMILIES = ("composition", "filters", "joins", "aggregates", "estimation", "projection")
 
 
 def load():
