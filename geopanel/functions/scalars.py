@@ -39,9 +39,9 @@ def age_label(c: str | Column) -> Column:
 
 
 def edition_label(path: str | Column) -> Column:
-    """``…_2016_10.csv`` -> ``2016-10``; names without a date stay as they are."""
+    """``…_2016_10.csv`` (or a folder so named) -> ``2016-10``; paths without a date stay as they are."""
     p = col(path)
-    hit = F.regexp_extract(p, r"(\d{4})_(\d{2})", 0)
+    hit = F.regexp_extract(p, r"(?<!\d)(\d{4})_(\d{2})(?!\d)", 0)
     return F.when(hit == "", p).otherwise(F.regexp_replace(hit, "_", "-"))
 
 

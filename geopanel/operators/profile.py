@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +43,7 @@ def column_profile(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
                 F.col(f"_hi{i}").alias("max"),
             )
         )
-    literal = [a for a in aggs]
-    return df.groupBy(*by).agg(*literal).select(*by, F.inline(F.array(*rows)))
+    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*rows)))
 
 
 def grouped_profile(profile: DataFrame, grouped: Sequence[str], label: str = "agrupadas") -> DataFrame:
@@ -198,7 +197,3 @@ def names_per_key(df: DataFrame, key: str, name: str) -> DataFrame:
     """Keys carried under more than one name: group by key, never by name."""
     names = df.select(key, name).distinct().groupBy(key)
     return names.agg(F.count(F.lit(1)).alias("n_names"), F.min(name).alias("first_name")).where(F.col("n_names") > 1)
-
-
-def flag(cond: Column) -> Column:
-    return cond.cast("int")

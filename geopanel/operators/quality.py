@@ -111,7 +111,7 @@ def green_records(green: DataFrame) -> DataFrame:
     )
 
 
-def _record(with_horizons: Sequence[str]) -> Column:
+def _record() -> Column:
     """Published record of one member; fields in alphabetical order, explicit nulls."""
     ic = F.when(F.col("ci_lo").isNotNull(), F.array("ci_lo", "ci_hi"))
     return F.struct(
@@ -129,7 +129,7 @@ def nested(layer_rows: DataFrame, member: str, field: str, series_by: DataFrame
     Collected lists hold the members and horizons of one unit: sizes of the catalogue, not of the data.
     """
     by_member = layer_rows.groupBy("unit", "grp", member).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", _record(()))))).alias("h"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", _record())))).alias("h"),
         F.max("n_obs").alias("n_obs"),
         F.max("reason").alias("motivo_sin_datos"),
         F.max("level_base").alias("nivel_base"),
@@ -140,9 +140,9 @@ def nested(layer_rows: DataFrame, member: str, field: str, series_by: DataFrame
         empty = F.struct(F.array().cast("array<double>").alias("t"), F.array().cast("array<double>").alias("valor"))
         by_member = by_member.withColumn("serie", empty)
     item = F.struct("h", "motivo_sin_datos", "n_obs", "nivel_base", "serie")
-    return by_member.groupBy("unit", "grp").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(member).alias("k"), item.alias("v"))))).alias(field)
-    )
+    entries = F.collect_list(F.struct(F.col(member).alias("k"), item.alias("v")))
+    by_key = F.array_sort(entries, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    return by_member.groupBy("unit", "grp").agg(F.map_from_entries(by_key).alias(field))
 
 
 def document_rows(nested_rows: DataFrame, field: str) -> DataFrame:
@@ -159,12 +159,15 @@ def verdict_distribution(layer_rows: DataFrame) -> DataFrame:
     return counts
 
 
-def root_block(summary: DataFrame, keys: Sequence[str], members: dict[str, Sequence[str]], spark_source: DataFrame, horizons: Sequence[str]) -> DataFrame:
-    """Root records for every key member × horizon; members without any unit are no-data."""
-    one = spark_source.limit(1).select(F.lit("root").alias("unit"), F.lit("root").alias("grp"))
-    none = one.where(F.lit(False)).select("unit", F.lit(None).cast("string").alias("reason"))
-    levels = summary.select(*keys, "unit", F.col("base").alias("level_base")).distinct()
-    return layer(one, summary, levels, none, keys, members, horizons)
+def root_records(summary: DataFrame, keys: Sequence[str], members: dict[str, Sequence[str]], horizons: Sequence[str]) -> DataFrame:
+    """Root records for every key member × horizon; members without any unit are no-data.
+
+    ``summary`` holds the root roll-up: one row per member and horizon at most.
+    """
+    grid = summary.sparkSession.range(1).select(F.lit("root").alias("unit"), F.lit("root").alias("grp"))
+    none = grid.where(F.lit(False)).select("unit", F.lit(None).cast("string").alias("reason"))
+    levels = summary.groupBy(*keys, "unit").agg(F.max("base").alias("level_base"))
+    return layer(grid, summary, levels, none, keys, members, horizons)
 
 
 # --- validation --------------------------------------------------------------------------------

@@ -187,11 +187,24 @@ def levels(r: Roles):
     return long.groupBy("cell", "grp", "rep").agg(F.sum("level").alias("level"))
 
 
-@query("m13_coverage_per_replicate")
+def both_sims_sql(body: str) -> str:
+    """``sim`` (demand) and ``ssim`` (supply) in one text."""
+    supply = posterior_sql("").rstrip().replace("post AS (", "spost AS (") + ",\n" + SUPPLY_SIM.replace("FROM post p", "FROM spost p")
+    demand = with_ctes("dem", "ctl", body="").rstrip().removeprefix("WITH ")
+    known = {"supps", "ent", "cells", "swide"}
+    blocks = [x for x in demand.split("),\n") if x.split(" AS (", 1)[0].strip() not in known]
+    return supply + ",\n" + "),\n".join(blocks) + ",\n" + SIMBASE + "\n" + body
+
+
+@query(
+    "m13_coverage_per_replicate",
+    both_sims_sql(f"""SELECT d.unit, {r6('median(coalesce(s.lev, 0) / d.lev * 1000)')} AS coverage FROM (SELECT unit, rep, base * exp(r * 4) AS lev FROM sim WHERE lam = 0 AND segment = 'todas') d
+    LEFT JOIN (SELECT unit, rep, sum(s2 * exp(r * 4)) AS lev FROM ssim GROUP BY 1, 2) s USING (unit, rep) GROUP BY 1"""),
+)
 def coverage(r: Roles):
-    """Median coverage over replicates; the two layers' oracles are m02 and m12."""
+    """Median over replicates of supply per 1,000 demand."""
     d = replicate.replicate_levels(_demand_sim(r).where("segment = 'todas'"), CAL.t1, CAL.t_base + 3).select("unit", F.col("levels").alias("demand"))
-    s = replicate.summed_levels(_supply_sim(r), d.select("unit"), [], CAL.cuts[-1], CAL.t_base + 3).select("unit", F.col("levels").alias("supply"))
+    s = replicate.summed_levels(_supply_sim(r), r.suppliers.select("unit"), [], CAL.cuts[-1], CAL.t_base + 3).select("unit", F.col("levels").alias("supply"))
     return d.join(s, "unit").select("unit", replicate.array_median(replicate.coverage_replicates("supply", "demand")).alias("coverage"))
 
 

@@ -48,7 +48,7 @@ def text_csv(spark: SparkSession, paths: str | Sequence[str], header: Sequence[s
     """All-text CSV with a known header; only ``wanted`` columns are parsed. Headers are checked by name."""
     keep = list(wanted) or list(header)
     df = spark.read.schema(_text_schema(header)).csv(paths, header=True, enforceSchema=False, **options)
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col("_metadata.file_name").alias("_file"))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col("_metadata.file_path").alias("_file"))
 
 
 def _cut_time(edition: Column, cuts: dict[str, float]) -> Column:
@@ -57,8 +57,8 @@ def _cut_time(edition: Column, cuts: dict[str, float]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), edition)
 
 
-def _tagged(df: DataFrame, cuts: dict[str, float]) -> DataFrame:
-    """Edition from the file name, group key from the unit key, decimal year when it is a supply cut."""
+def tagged(df: DataFrame, cuts: dict[str, float]) -> DataFrame:
+    """Edition from the file's path (its own name or its folder's), group key from the unit key, decimal year when it is a supply cut."""
     edition = edition_label("_file")
     return (
         df.withColumn("edition", edition)
@@ -79,7 +79,7 @@ def entity_editions(
     """Any number of edition files in one scan. ``check`` fails on an id repeated within an edition."""
     raw = text_csv(spark, paths, list(header or columns), list(columns))
     named = raw.select(*[F.col(f"`{c}`").cast(kind).alias(name) for c, (name, kind) in columns.items()], "_file")
-    out = _tagged(named, cuts)
+    out = tagged(named, cuts)
     if check:
         require_none(duplicate_keys(out, ["edition", "entity_id"]), "duplicate ids within an edition")
     return out
@@ -100,9 +100,9 @@ def _features(spark: SparkSession, paths, feature: str, lines: bool) -> DataFram
     """One row per feature. ``lines`` reads newline-delimited features, whose scan splits; otherwise a
     FeatureCollection per file, each parsed by one task."""
     if lines:
-        return spark.read.schema(feature).json(paths).select("*", F.col("_metadata.file_name").alias("_file"))
+        return spark.read.schema(feature).json(paths).select("*", F.col("_metadata.file_path").alias("_file"))
     whole = spark.read.schema(f"features array<struct<{feature}>>").json(paths, multiLine=True)
-    return whole.select(F.col("_metadata.file_name").alias("_file"), F.inline("features"))
+    return whole.select(F.col("_metadata.file_path").alias("_file"), F.inline("features"))
 
 
 def geojson_properties(spark: SparkSession, paths, properties: Sequence[str], lines: bool = True) -> DataFrame:
@@ -115,7 +115,7 @@ def geojson_properties(spark: SparkSession, paths, properties: Sequence[str], li
 def commerce_entities(spark: SparkSession, paths, lines: bool = True, cuts: dict[str, float] = CUT_LABELS, check: bool = False) -> DataFrame:
     raw = geojson_properties(spark, paths, list(COMMERCE_PROPERTIES), lines)
     named = raw.select(*[F.col(c).cast(kind).alias(name) for c, (name, kind) in COMMERCE_PROPERTIES.items()], "_file")
-    out = _tagged(named, cuts)
+    out = tagged(named, cuts)
     if check:
         require_none(duplicate_keys(out, ["edition", "entity_id"]), "duplicate ids within an edition")
     return out
