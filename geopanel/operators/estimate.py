@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopanel.functions.scalars import log_rate, log_rate_variance
 from geopanel.operators.calendar import Calendar
-from geopanel.session import materialised
+from geopanel.session import materialised, spread
 
 RELIABLE_VARIANCE = 10.0  # fixed value: a slope variance at or above this is numerically separated
 MIN_DISPERSION = 1.0  # fixed value
@@ -154,56 +156,47 @@ def source_comparison(demand: DataFrame, control: DataFrame, cal: Calendar) -> D
 # --- supply ------------------------------------------------------------------------------------
 
 
-def _let(value: Column, body) -> Column:
-    """Bind an expression once inside a lambda."""
-    return F.transform(F.array(value), body)[0]
+def _scoring_steps(y: np.ndarray, x: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fisher scoring of ``log E[y] = a + b·x`` for every row of ``y`` at once.
 
+    Rows never influence each other, so a row's result does not depend on its batch. The linear
+    predictor is held within ±30: separated counts end at a finite slope with a huge variance.
+    """
+    a, b = np.log(np.maximum(y.mean(axis=1), 0.1)), np.zeros(len(y))
 
-def poisson_fit(counts: str | Column, xs: Sequence[float], steps: int = FIT_STEPS) -> Column:
-    """struct(a, b, var_b) of ``log E[y] = a + b·x`` by Fisher scoring, for one array of counts.
+    def weights(a, b):
+        eta = np.clip(a[:, None] + b[:, None] * x, -30.0, 30.0)
+        mu = np.exp(eta)
+        w0, w1, w2 = mu.sum(axis=1), (mu * x).sum(axis=1), (mu * x * x).sum(axis=1)
+        return eta, mu, w0, w1, w2, w0 * w2 - w1 * w1
 
-    The working linear predictor is held within ±30, so separated counts end at a finite slope with
-    a huge variance instead of diverging.
-    """
-    y = F.transform(F.col(counts) if isinstance(counts, str) else counts, lambda v: v.cast("double"))
-    n = len(xs)
-    dot = lambda terms: sum(terms[1:], terms[0])
-
-    def means(a: Column, b: Column) -> Column:
-        etas = [F.least(F.greatest(a + b * float(x), F.lit(-30.0)), F.lit(30.0)) for x in xs]
-        return F.transform(F.array(*etas), lambda e: F.struct(e.alias("e"), F.exp(e).alias("m")))
-
-    def moments(p: Column) -> Column:
-        m = [p[i]["m"] for i in range(n)]
-        mz = [p[i]["m"] * p[i]["e"] + F.get(y, F.lit(i)) - p[i]["m"] for i in range(n)]
-        return F.struct(
-            dot(m).alias("w0"),
-            dot([mi * float(x) for mi, x in zip(m, xs)]).alias("w1"),
-            dot([mi * float(x * x) for mi, x in zip(m, xs)]).alias("w2"),
-            dot(mz).alias("u0"),
-            dot([mi * float(x) for mi, x in zip(mz, xs)]).alias("u1"),
-        )
+    for _ in range(steps):
+        eta, mu, w0, w1, w2, det = weights(a, b)
+        z = mu * eta + y - mu
+        u0, u1 = z.sum(axis=1), (z * x).sum(axis=1)
+        a, b = (w2 * u0 - w1 * u1) / det, (w0 * u1 - w1 * u0) / det
+    *_, w0, w1, w2, det = weights(a, b)
+    return a, b, w0 / det
 
-    def solve(s: Column) -> Column:
-        det = s["w0"] * s["w2"] - s["w1"] * s["w1"]
-        return F.struct(
-            F.try_divide(s["w2"] * s["u0"] - s["w1"] * s["u1"], det).alias("a"),
-            F.try_divide(s["w0"] * s["u1"] - s["w1"] * s["u0"], det).alias("b"),
-        )
 
-    def step(acc: Column, _: Column) -> Column:
-        return _let(_let(means(acc["a"], acc["b"]), moments), solve)
+def poisson_fit(counts: str, xs: Sequence[float], steps: int = FIT_STEPS) -> Column:
+    """struct(a, b, var_b) for an array of counts, NULL where all counts are 0.
 
-    def finish(acc: Column) -> Column:
-        def variance(s: Column) -> Column:
-            return F.try_divide(s["w0"], s["w0"] * s["w2"] - s["w1"] * s["w1"])
+    An iterative fit has no built-in expression, and written with higher-order functions it ran two
+    orders of magnitude slower than this Arrow batch over plain double columns.
+    """
+    x = np.array(xs, dtype=float)
 
-        return F.struct(acc["a"].alias("a"), acc["b"].alias("b"), _let(_let(means(acc["a"], acc["b"]), moments), variance).alias("var_b"))
+    @F.pandas_udf("a double, b double, var_b double")
+    def fit(*columns: pd.Series) -> pd.DataFrame:
+        y = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        out = np.full((len(y), 3), np.nan)
+        live = y.sum(axis=1) > 0
+        with np.errstate(all="ignore"):
+            out[live] = np.column_stack(_scoring_steps(y[live], x, steps))
+        return pd.DataFrame(out, columns=["a", "b", "var_b"])
 
-    total = F.aggregate(y, F.lit(0.0), lambda s, v: s + v)
-    start = F.struct(F.log(F.greatest(total / float(n), F.lit(0.1))).alias("a"), F.lit(0.0).alias("b"))
-    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, finish)
-    return F.when(total > 0, fitted)
+    return fit(*[F.expr(f"double({counts}[{i}])") for i in range(len(xs))])
 
 
 def fit_supply(wide: DataFrame, cal: Calendar) -> DataFrame:
@@ -217,7 +210,7 @@ def fit_supply(wide: DataFrame, cal: Calendar) -> DataFrame:
             fit["a"].alias("a_hat"),
             fit["b"].alias("b_hat"),
             fit["var_b"].alias("var_b"),
-            fit.isNull().alias("no_data"),
+            fit["a"].isNull().alias("no_data"),
         )
         .withColumn("reliable", F.coalesce(F.col("var_b") < RELIABLE_VARIANCE, F.lit(False)))
     )
@@ -254,7 +247,7 @@ def supply_posterior(fit: DataFrame, keys: Sequence[str], cal: Calendar, sd_floo
     """Shrunk slope and its variance per unit: counts error inflated by φ, plus the group slope's own
     error. The fit feeds the group pass and the result, so it is materialised once."""
     keys = list(keys)
-    live = materialised(fit.where(~F.col("no_data")))
+    live = materialised(spread(fit.where(~F.col("no_data")), *keys, "unit"))
     groups = group_trend(live, keys, cal)
     tau = pooled_variance(groups, keys, "b_grp", "phi")
     out = live.join(groups.select(*keys, "grp", "b_grp", "var_grp", "phi"), [*keys, "grp"]).join(tau, keys)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from geopanel.functions import draws, rules
 from geopanel.operators import estimate
 from geopanel.operators.calendar import Calendar
-from geopanel.session import materialised
+from geopanel.session import materialised, spread
 
 N_SIM = 4000  # fixed value
 MAX_RATE = 20.0  # fixed value: numeric guard before exp()
@@ -83,7 +83,7 @@ def simulate_demand(
     then shifted by one shared shock per (group, replicate). The inputs feed both passes, so they are
     materialised once."""
     keys = list(keys)
-    inputs = materialised(inputs)
+    inputs = materialised(spread(inputs, *keys, "unit"))
     span = cal.demand_span
     uid = unit_id if unit_id is not None else F.col("unit")
     gid = group_id if group_id is not None else F.xxhash64("grp")
