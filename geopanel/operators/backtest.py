@@ -12,7 +12,7 @@ from geopanel.functions.scalars import array_of, log_rate, log_rate_variance
 from geopanel.operators import estimate
 from geopanel.operators.calendar import Calendar
 from geopanel.operators.trend import Z_975
-from geopanel.session import materialised
+from geopanel.session import materialised, spread
 
 # Fixed values of the validation.
 FRACTIONS = (0.25, 0.5)
@@ -21,29 +21,33 @@ COVERAGE_BAND = (0.90, 0.97)
 CLASSES = ("sube", "se_mantiene", "baja")
 MODEL, CONSTANT = "modelo_poisson_2016_2019", "baseline_s_constante"
 MU_FLOOR = 1e-6
+CHUNK = 10_000  # people drawn per row
 
 
 def twice_observed(demand: DataFrame) -> DataFrame:
     return demand.where(F.col("reason").isNull() & F.col("d0").isNotNull())
 
 
-def thinned(count: Column, frac: Column, ident: Column, source: str = "hash", seed: int = draws.SEED) -> Column:
-    """Binomial(count, frac) / frac: one keyed uniform per counted individual."""
-    n = F.greatest(F.round(count).cast("int"), F.lit(0))
-    stream = 5
-    kept = F.filter(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: draws.uniform(ident, i, stream, source, seed) < frac,
-    )
-    return F.size(kept) / frac
-
-
 def thin_panel(demand: DataFrame, fractions: Sequence[float] = FRACTIONS, ident: Column | None = None, source: str = "hash") -> DataFrame:
+    """Add ``frac`` and ``d1_thin`` = Binomial(d1, frac) / frac: one keyed uniform per counted person.
+
+    A unit's people are drawn in chunks spread over all tasks, so a unit of any size is neither one
+    array nor one task.
+    """
     key = ident if ident is not None else F.col("unit")
+    cols = demand.columns
     folds = demand.withColumn("frac", F.explode(array_of(list(fractions))))
     # Each fraction draws afresh: the fold is part of the key.
     per_fold = F.xxhash64(key, "frac") if source == "hash" else key.cast("double") + F.col("frac") * 4000.0
-    return folds.withColumn("d1_thin", F.when(F.col("d1").isNotNull(), thinned(F.col("d1"), F.col("frac"), per_fold, source)))
+    chunks = folds.withColumns({"_key": per_fold, "_n": F.expr("greatest(bigint(round(d1)), 0L)")})
+    chunks = chunks.withColumn("_chunk", F.expr(f"explode(sequence(0L, coalesce(greatest(_n - 1, 0L), 0L) div {CHUNK}))"))
+    stream = 5
+    people = F.expr(
+        f"if(_n > 0, sequence(_chunk * {CHUNK} + 1, least(_n, (_chunk + 1) * {CHUNK})), cast(array() AS array<bigint>))"
+    )
+    kept = F.filter(people, lambda i: draws.uniform(F.col("_key"), i, stream, source) < F.col("frac"))
+    drawn = spread(chunks, "unit", "frac", "_chunk").withColumn("_kept", F.size(kept))
+    return drawn.groupBy(*cols, "frac").agg(F.expr("if(d1 IS NULL, NULL, sum(_kept) / frac)").alias("d1_thin"))
 
 
 def thinning_folds(

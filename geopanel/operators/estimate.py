@@ -247,7 +247,7 @@ def supply_posterior(fit: DataFrame, keys: Sequence[str], cal: Calendar, sd_floo
     """Shrunk slope and its variance per unit: counts error inflated by φ, plus the group slope's own
     error. The fit feeds the group pass and the result, so it is materialised once."""
     keys = list(keys)
-    live = materialised(spread(fit.where(~F.col("no_data")), *keys, "unit"))
+    live = materialised(spread(fit.where(~F.col("no_data")), "unit"))
     groups = group_trend(live, keys, cal)
     tau = pooled_variance(groups, keys, "b_grp", "phi")
     out = live.join(groups.select(*keys, "grp", "b_grp", "var_grp", "phi"), [*keys, "grp"]).join(tau, keys)

@@ -83,7 +83,7 @@ def simulate_demand(
     then shifted by one shared shock per (group, replicate). The inputs feed both passes, so they are
     materialised once."""
     keys = list(keys)
-    inputs = materialised(spread(inputs, *keys, "unit"))
+    inputs = materialised(spread(inputs, "unit"))
     span = cal.demand_span
     uid = unit_id if unit_id is not None else F.col("unit")
     gid = group_id if group_id is not None else F.xxhash64("grp")

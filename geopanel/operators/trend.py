@@ -76,7 +76,8 @@ def leave_one_out(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     leverage = F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.pow(x - F.col("x_mean"), 2), F.col("sxx"))
     left_out = F.try_divide(y - predicted(x), F.lit(1.0) - leverage)
-    pct = F.when(y > 0, F.abs(left_out) / y * 100.0)
+    # Two remaining points are needed for a line.
+    pct = F.when((y > 0) & (F.col("n") > 2), F.abs(left_out) / y * 100.0)
     return points.join(fit, list(keys)).groupBy(*keys).agg(F.avg(pct).alias("loo_mape"))
 
 
@@ -93,7 +94,7 @@ def hold_out(points: DataFrame, keys: Sequence[str], last_train: int) -> DataFra
 
 def validation_metrics(held: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return held.groupBy(*keys).agg(
-        (F.avg(F.col("inside").cast("double")) * 100.0).alias("hit_rate_pct"), F.avg("error_pct").alias("mape"), F.count(F.lit(1)).alias("n")
+        (F.avg(F.coalesce(F.col("inside"), F.lit(False)).cast("double")) * 100.0).alias("hit_rate_pct"), F.avg("error_pct").alias("mape"), F.count(F.lit(1)).alias("n")
     )
 
 

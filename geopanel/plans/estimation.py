@@ -163,8 +163,8 @@ def projection(r: Roles):
     return trend.projections(trend.ols(r.zone_points, ZK), ZK)
 
 
-@query("e15_leave_one_out", with_ctes("zpts", body=f"""SELECT p.zone, p.category, {r6('avg(CASE WHEN p.y > 0 THEN abs(p.y - (q.my + q.sl * (p.x - q.mx))) / p.y * 100 END)')} AS loo_mape FROM zpts p JOIN (
-    SELECT a.zone, a.category, a.x AS skip, avg(b.y) AS my, avg(b.x) AS mx, regr_slope(b.y, b.x) AS sl FROM zpts a JOIN zpts b ON a.zone = b.zone AND a.category = b.category AND a.x <> b.x GROUP BY 1, 2, 3) q
+@query("e15_leave_one_out", with_ctes("zpts", body=f"""SELECT p.zone, p.category, {r6('avg(CASE WHEN p.y > 0 AND q.k > 1 THEN abs(p.y - (q.my + q.sl * (p.x - q.mx))) / p.y * 100 END)')} AS loo_mape FROM zpts p JOIN (
+    SELECT a.zone, a.category, a.x AS skip, avg(b.y) AS my, avg(b.x) AS mx, count(*) AS k, regr_slope(b.y, b.x) AS sl FROM zpts a JOIN zpts b ON a.zone = b.zone AND a.category = b.category AND a.x <> b.x GROUP BY 1, 2, 3) q
     ON q.zone = p.zone AND q.category = p.category AND q.skip = p.x GROUP BY 1, 2"""))
 def loo(r: Roles):
     """The oracle refits without each point; the plan uses leverages."""

@@ -131,6 +131,14 @@ def test_thinning_is_unbiased_and_binomial(spark):
     assert got[0] == pytest.approx(200, rel=0.01) and got[1] == pytest.approx(37.5, rel=0.15)
 
 
+def test_a_huge_unit_is_thinned_in_chunks(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "g", 5.0, 123457.0), (2, "g", 5.0, 0.0), (3, "g", 5.0, None)], "unit int, grp string, d0 double, d1 double")
+    whole = {r["unit"]: r["d1_thin"] for r in backtest.thin_panel(rows, (0.5,)).collect()}
+    monkeypatch.setattr(backtest, "CHUNK", 999)
+    split = {r["unit"]: r["d1_thin"] for r in backtest.thin_panel(rows, (0.5,)).collect()}
+    assert whole == split and whole[2] == 0.0 and whole[3] is None and whole[1] == pytest.approx(123457, rel=0.02)
+
+
 def test_left_out_variance_never_sees_its_own_group(spark):
     base = some_demand(spark, hot=False)
     changed = base.withColumn("d1", F.when(F.col("grp") == "004", F.col("d1") * 3).otherwise(F.col("d1")))
