@@ -153,13 +153,15 @@ def floor_grid(folds: DataFrame, keys: Sequence[str] = ("layer",), grid: Sequenc
 def choose_floor(grid: DataFrame, keys: Sequence[str] = ("layer",)) -> DataFrame:
     """Smallest floor inside the band; else 0 if it already over-covers, else the best hit rate."""
     lo, hi = COVERAGE_BAND
-    ok = F.col("hit_rate").between(lo, hi)
-    first = F.min_by("hit_rate", "floor")
-    inside = F.min(F.when(ok, F.col("floor")))
-    best = F.min_by(F.col("floor"), F.struct(-F.col("hit_rate"), F.col("floor")))
-    chosen = F.coalesce(inside, F.when(first > hi, F.min("floor")).otherwise(best))
-    out = grid.groupBy(*keys).agg(chosen.alias("floor"), inside.isNull().alias("grid_insufficient"))
-    return out.join(grid, [*keys, "floor"]).select(*keys, "floor", "hit_rate", "grid_insufficient")
+    ok = f"hit_rate BETWEEN {lo}D AND {hi}D"
+    picks = grid.groupBy(*keys).agg(
+        F.expr(f"min(floor) FILTER (WHERE {ok})").alias("in_floor"),
+        F.expr(f"min_by(hit_rate, floor) FILTER (WHERE {ok})").alias("in_hit"),
+        F.expr("min(struct(floor, hit_rate))").alias("first"),
+        F.expr("min(struct(-hit_rate AS k, floor, hit_rate))").alias("best"),
+    )
+    chosen = lambda c, found: f"coalesce({found}, if(first.hit_rate > {hi}D, first.{c}, best.{c})) AS {c}"
+    return picks.selectExpr(*keys, chosen("floor", "in_floor"), chosen("hit_rate", "in_hit"), "in_floor IS NULL AS grid_insufficient")
 
 
 def calibration_folds(thin: DataFrame, logo: DataFrame, supply: DataFrame) -> DataFrame:

@@ -352,9 +352,8 @@ def sensitivity(coverage: DataFrame, keys: Sequence[str], ks: Sequence[float] =
     lo, hi = min(ks), max(ks)
     base = rank.percentile_rank(coverage, keys, "coverage", "rank")
     o = lambda k: opportunity(F.col("rank"), F.col("rate_d"), F.col("rate_s"), True, k)
-    long = base.select(
-        *keys, "unit", F.inline(F.array(*[F.struct(F.lit(float(k)).alias("k"), o(k).alias("o")) for k in (lo, hi)]))
-    )
+    both_k = F.array(*[F.struct(F.lit(float(k)).alias("k"), o(k).alias("o")) for k in (lo, hi)])
+    long = materialised(base.select(*keys, "unit", F.inline(both_k)))  # ranked and joined back
     ranked = rank.percentile_rank(long, [*keys, "k"], "o", "o_rank")
     at = lambda k: F.max(F.when(F.col("k") == float(k), F.col("o_rank")))
     both = ranked.groupBy(*keys, "unit").agg(at(lo).alias("rank_lo"), at(hi).alias("rank_hi"))
