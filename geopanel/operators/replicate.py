@@ -101,7 +101,7 @@ def simulate_demand(
     )
     shock = draws.normal(F.col("_gid"), F.col("rep"), 2, source, seed) * F.col("_shock")
     shift = lambda i: F.log(F.col("_ratio") * F.col("_base") / F.col(f"_p{i}")) / span + shock
-    row = F.struct("rep", *[shift(i).alias(f"k{i}") for i in range(len(lams))])
+    row = F.struct("rep", *[shift(i).alias(f"k{i}") for i in range(len(lams))], *[x.alias(f"l{i}") for i, x in enumerate(lams)])
     # n_sim entries per group: bounded by the parameter.
     shifts = sums.groupBy(*keys, "grp").agg(F.array_sort(F.collect_list(row)).alias("_shift"))
 
@@ -111,8 +111,7 @@ def simulate_demand(
     joined = joined.withColumn("_dev", dev)
 
     def rates(i: int) -> Column:
-        lam_at = lambda s: _persistences(s["rep"], source, seed, fixed, lam)[i]
-        return F.zip_with("_dev", "_shift", lambda d, s: _bounded(F.col("rho_future") + lam_at(s) * d + s[f"k{i}"]))
+        return F.zip_with("_dev", "_shift", lambda d, s: _bounded(F.col("rho_future") + s[f"l{i}"] * d + s[f"k{i}"]))
 
     return joined.select(
         *keys, "unit", "grp", "n_obs", "base", "conf_base", "cap",

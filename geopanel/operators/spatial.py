@@ -1,8 +1,8 @@
 """Spatial joins by grid keys.
 
-Both sides are mapped to fixed-size grid cells and equi-joined on the cell; the exact predicate runs
-on the surviving candidates. A pair is kept only in the cell holding the lower-left corner of the
-bounding boxes' intersection, so no de-duplicating shuffle is needed.
+Both sides are mapped to grid cells and equi-joined on the cell; the exact predicate runs on the
+surviving candidates. A pair is kept only in the cell holding the lower-left corner of the bounding
+boxes' intersection, so no de-duplicating shuffle is needed.
 """
 
 from __future__ import annotations
@@ -106,14 +106,54 @@ def _areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf
 
 
+def _boxed(df: DataFrame, key: str, geom: str, size: float, prefix: str) -> DataFrame:
+    """``key``, bounding box and the level whose grid cells (``size · 2^level``) just exceed the box."""
+    b = df.select(key, g.bounds(geom).alias("b")).select(key, *[F.col(f"b.{c}").alias(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2")])
+    extent = f"greatest({prefix}x2 - {prefix}x1, {prefix}y2 - {prefix}y1)"
+    return b.where(f"{extent} > 0").withColumn(f"{prefix}level", F.expr(f"int(ceil(log2({extent} / {float(size)!r}D)))"))
+
+
+def _own_levels(boxes: DataFrame, prefix: str) -> Column:
+    """The levels in use: at most as many as double exponents."""
+    return boxes.agg(F.collect_set(f"{prefix}level")).scalar()
+
+
+def _on_grid(boxes: DataFrame, size: float, prefix: str, levels: Column | None, own: bool) -> DataFrame:
+    """At most four cells per box and level: its own level, or the coarser ones among ``levels``."""
+    if levels is None:
+        rows = boxes.withColumn("_level", F.col(f"{prefix}level"))
+    else:
+        rows = boxes.select("*", levels.alias("_levels"))
+        test = ">=" if own else ">"
+        rows = rows.withColumn("_level", F.explode(F.expr(f"filter(_levels, l -> l {test} {prefix}level)"))).drop("_levels")
+    cell = lambda c: f"bigint(floor({prefix}{c} / ({float(size)!r}D * pow(2, _level))))"
+    return rows.withColumn("_cx", F.expr(f"explode(sequence({cell('x1')}, {cell('x2')}))")).withColumn(
+        "_cy", F.expr(f"explode(sequence({cell('y1')}, {cell('y2')}))")
+    )
+
+
+def box_pairs(a: DataFrame, b: DataFrame, size: float, key_a: str, key_b: str, geom_a: str = "geom", geom_b: str = "geom") -> DataFrame:
+    """Keys of all pairs with overlapping bounding boxes, each once.
+
+    Pairs meet on the grid level of the larger box. Small boxes crowded into one coarse cell are
+    therefore only compared with the large boxes over it, never with each other.
+    """
+    left, right = _boxed(a, key_a, geom_a, size, "a_"), _boxed(b, key_b, geom_b, size, "b_")
+    lv_a, lv_b = _own_levels(left, "a_"), _own_levels(right, "b_")
+    large_left = _on_grid(left, size, "a_", None, True).join(_on_grid(right, size, "b_", lv_a, True), ["_level", "_cx", "_cy"])
+    large_right = _on_grid(left, size, "a_", lv_b, False).join(_on_grid(right, size, "b_", None, True), ["_level", "_cx", "_cy"])
+    overlap = "greatest(a_x1, b_x1) < least(a_x2, b_x2) AND greatest(a_y1, b_y1) < least(a_y2, b_y2)"
+    corner = lambda c: f"bigint(floor(greatest(a_{c}1, b_{c}1) / ({float(size)!r}D * pow(2, _level))))"
+    owner = f"_cx = {corner('x')} AND _cy = {corner('y')}"
+    return large_left.unionByName(large_right).where(f"{overlap} AND {owner}").select(key_a, key_b)
+
+
 def overlay(a: DataFrame, b: DataFrame, size: float, key_a: str, key_b: str, geom_a: str = "geom", geom_b: str = "geom") -> DataFrame:
-    """``key_a, key_b, area_a, area_b, area_inter`` of every overlapping pair."""
-    left = _covering(a.select(key_a, F.col(geom_a).alias("_ga"), g.area(geom_a).alias("area_a")), "_ga", size, "_a")
-    right = _covering(b.select(key_b, F.col(geom_b).alias("_gb"), g.area(geom_b).alias("area_b")), "_gb", size, "_b")
-    x_lo, y_lo = F.greatest("_ax1", "_bx1"), F.greatest("_ay1", "_by1")
-    overlap = (x_lo < F.least("_ax2", "_bx2")) & (y_lo < F.least("_ay2", "_by2"))
-    owner = (F.col("_cx") == _cell(x_lo, size)) & (F.col("_cy") == _cell(y_lo, size))
-    pairs = left.join(right, ["_cx", "_cy"]).where(overlap & owner)
+    """``key_a, key_b, area_a, area_b, area_inter`` of every overlapping pair. Geometries join only the
+    surviving candidates; the grid join moves boxes."""
+    left = a.select(key_a, F.col(geom_a).alias("_ga"), g.area(geom_a).alias("area_a"))
+    right = b.select(key_b, F.col(geom_b).alias("_gb"), g.area(geom_b).alias("area_b"))
+    pairs = box_pairs(a, b, size, key_a, key_b, geom_a, geom_b).join(left, key_a).join(right, key_b)
     pairs = pairs.select(key_a, key_b, "area_a", "area_b", "_ga", "_gb")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields if not f.name.startswith("_"))
     return pairs.mapInPandas(_areas, f"{schema}, area_inter double").where(F.col("area_inter") > 0)

@@ -43,6 +43,22 @@ def test_overlay_adds_up_over_a_partition(spark):
             assert s == pytest.approx(a, abs=1e-9) and no_duplicates
 
 
+def test_box_pairs_of_mixed_sizes_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    def boxes(n, prefix):
+        out = []
+        for i in range(n):
+            w = float(2.0 ** rng.integers(-8, 5))
+            x, y = (rng.uniform(0, 0.3, 2) if i % 3 == 0 else rng.uniform(-20, 20, 2)).tolist()  # a third in one spot
+            out.append((f"{prefix}{i}", x, y, w))
+        return out
+    a, b = boxes(60, "a"), boxes(60, "b")
+    frame = lambda items, key: polys(spark, [(k, square(x, y, w)) for k, x, y, w in items], key)
+    got = [tuple(r) for r in spatial.box_pairs(frame(a, "ka"), frame(b, "kb"), 1.0, "ka", "kb").collect()]
+    want = {(p[0], q[0]) for p in a for q in b if max(p[1], q[1]) < min(p[1] + p[3], q[1] + q[3]) and max(p[2], q[2]) < min(p[2] + p[3], q[2] + q[3])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_points_against_brute_force_in_one_crowded_cell(spark):
     rng = np.random.default_rng(2)
     pts = rng.uniform(-1, 7, (400, 2)).round(3) + 0.0001
