@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from geopanel.functions import geometry as g
 from geopanel.functions import rules
+from geopanel.session import materialised
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -138,7 +139,9 @@ def box_pairs(a: DataFrame, b: DataFrame, size: float, key_a: str, key_b: str, g
     Pairs meet on the grid level of the larger box. Small boxes crowded into one coarse cell are
     therefore only compared with the large boxes over it, never with each other.
     """
-    left, right = _boxed(a, key_a, geom_a, size, "a_"), _boxed(b, key_b, geom_b, size, "b_")
+    # Each box table is read three times; the geometry behind it only once.
+    left = materialised(_boxed(a, key_a, geom_a, size, "a_"))
+    right = materialised(_boxed(b, key_b, geom_b, size, "b_"))
     lv_a, lv_b = _own_levels(left, "a_"), _own_levels(right, "b_")
     large_left = _on_grid(left, size, "a_", None, True).join(_on_grid(right, size, "b_", lv_a, True), ["_level", "_cx", "_cy"])
     large_right = _on_grid(left, size, "a_", lv_b, False).join(_on_grid(right, size, "b_", None, True), ["_level", "_cx", "_cy"])

@@ -48,5 +48,5 @@ def materialised(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Distribute rows evenly before work that multiplies each of them. Adaptive execution sizes
     partitions by the bytes going in, which says nothing about rows that grow a thousandfold."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *cols)
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * slots, *cols)
