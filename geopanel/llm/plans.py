@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from geopanel.llm import bpe_split, quality_ledger
+from geopanel.llm import bpe_split, packing, quality_ledger, simhash_gray
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -32,7 +33,7 @@ g AS (SELECT doc_id, i, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2, lea
 c AS (SELECT doc_id, i, CASE WHEN w4 IS NULL THEN 0 WHEN count(*) OVER (PARTITION BY doc_id, w, w1, w2, w3, w4) > 1 THEN 1 ELSE 0 END AS again FROM g),
 v AS (SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM c),
 r AS (SELECT doc_id, CAST(sum(covered) AS BIGINT) AS n_repeat_words FROM v GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
       coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
@@ -57,3 +58,16 @@ def op10_quality_rules(spark, sf_dir):
 def op4_bpe_codec(spark, sf_dir):
     """Token counts and digests of ids and decoded text for every document."""
     return bpe_split.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark, sf_dir):
+    """Every document's pieces, packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+
+
+@query("op3_simhash_near_dedup")
+def op3_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    rows = simhash_gray.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
