@@ -42,6 +42,6 @@ class Memo(dict):
 
 
 @functools.lru_cache(maxsize=4)
-def once_per_worker(factory, source: str):
+def once_per_worker(factory, source):
     """``factory(source)``, built once in each Python worker and kept for its later tasks."""
     return factory(source)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geopanel.llm import bpe_split, packing, quality_ledger, simhash_gray
+from geopanel.llm import bpe_split, packing, quality_ledger, simhash_gray, toxicity
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -71,3 +71,10 @@ def op3_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every document."""
     rows = simhash_gray.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    """Score and prediction for every document, by a machine trained on labels outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
