@@ -12,6 +12,9 @@ SPACE = b" \t\n\x0b\x0c\r"
 #: The same set as a regular expression of the SQL engine.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a few numbers each that may be sent to every task; a larger side of a join is shuffled.
+SMALL = 300_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

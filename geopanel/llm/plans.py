@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geopanel.llm import bpe_split, packing, quality_ledger, simhash_gray, toxicity
+from geopanel.llm import bpe_split, packing, paragraphs, quality_ledger, simhash_gray, toxicity
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -78,3 +78,9 @@ def op9_toxicity(spark, sf_dir):
     """Score and prediction for every document, by a machine trained on labels outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark, sf_dir):
+    """Every run of repeated paragraphs, first occurrences included."""
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
