@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geopanel.llm import bpe_split, packing, paragraphs, quality_ledger, simhash_gray, toxicity
+from geopanel.llm import bpe_split, packing, paragraphs, quality_ledger, secrets, simhash_gray, toxicity
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -84,3 +84,11 @@ def op9_toxicity(spark, sf_dir):
 def op6_substring_dedup(spark, sf_dir):
     """Every run of repeated paragraphs, first occurrences included."""
     return paragraphs.repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scans")
+def op8_secret_scans(spark, sf_dir):
+    """Every secret that the forest confirms."""
+    docs = table(spark, sf_dir, "documents")
+    words = secrets.dictionary(docs)
+    return secrets.scan(docs, secrets.train(secrets.labelled(docs), words), words)
