@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 
 from geopanel.llm.common import once_per_worker, texts
 
-_WORDS = regex.compile(r"[^\x20\x09-\x0D]+").findall
 _SPELLED = regex.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)").findall
 #: Marks at the ends of a word that say nothing about it.
 _EDGES = ".,;:!?\"'()[]{}…«»„“”*#$%&"
@@ -74,8 +73,9 @@ def held_out(id_col: str = "doc_id"):
 
 def words_of(text: str) -> set[str]:
     """The distinct words of a text, and its runs of one-letter words put together."""
-    found = set(_WORDS(text))
-    found.update("".join(x.split()) for x in _SPELLED(text))
+    found = set(text.split())
+    if sum([len(w) == 1 for w in found]) > 2:
+        found.update(["".join(x.split()) for x in _SPELLED(text)])
     return found
 
 
@@ -106,53 +106,61 @@ def subsequences(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray,
 def stretches(word: str, size: int) -> list[str]:
     """A blank and the word, in overlapping stretches; a word with marks inside also without them."""
     out = []
-    for w in dict.fromkeys((word, "".join(filter(str.isalnum, word)) or word)):
+    for w in (word,) if word.isalnum() else dict.fromkeys((word, "".join(filter(str.isalnum, word)) or word)):
         w = " " + w
-        out += [w[i : i + size] for i in range(0, max(1, len(w) - size // 2), size // 2)]
+        out += [w] if len(w) <= size else [w[i : i + size] for i in range(0, len(w) - size // 2, size // 2)]
     return out
 
 
 class Landmarks:
-    """Kernel values of words against the landmarks, through a table from subsequence to the landmarks' weights."""
+    """Kernel values of words against the landmarks, through a table from subsequence to the landmarks that hold it."""
 
     def __init__(self, words: tuple[str, ...], s: Settings):
         self.s, self.n = s, len(words)
-        owner, key, weight = subsequences([" " + w for w in words], s)
-        held, row = np.unique(key, return_inverse=True)
-        self.row = np.zeros(_CLASSES**3, np.int32)
-        self.row[held] = np.arange(1, held.size + 1)
-        self.table = np.zeros((held.size + 1, self.n), np.float32)
-        self.table[row + 1, owner] = weight  # landmarks are written as words begin: after a blank
+        owner, key, weight = subsequences([" " + w for w in words], s)  # landmarks are written as words begin: after a blank
+        order = np.argsort(key, kind="stable")
+        self.mark, self.weight = owner[order], weight[order]
+        held, first, count = np.unique(key[order], return_index=True, return_counts=True)
+        self.first, self.count = np.zeros(_CLASSES**3, np.int64), np.zeros(_CLASSES**3, np.int64)
+        self.first[held], self.count[held] = first, count
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.values = np.zeros((4096, self.n), np.float32)
 
-    def kernel(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), self.n), np.float32)
-        for at in range(0, len(words), 20_000):
-            owner, key, weight = subsequences(words[at : at + 20_000], self.s)
-            row = self.row[key]
-            hit = row > 0
-            owner, row, weight = owner[hit], row[hit], weight[hit].astype(np.float32)
-            if owner.size:
-                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                out[at + owner[first]] = np.add.reduceat(self.table[row] * weight[:, None], first)
-        return np.exp(self.s.sharpness * (np.minimum(out, 1) - 1))
+    def kernel(self, stretches_: list[str]) -> np.ndarray:
+        """Shared subsequences of each stretch with each landmark, both of length one."""
+        out = np.zeros((len(stretches_), self.n), np.float32)
+        for at in range(0, len(stretches_), 20_000):
+            part = stretches_[at : at + 20_000]
+            owner, key, weight = subsequences(part, self.s)
+            count = self.count[key]
+            hit = count > 0
+            owner, key, weight, count = owner[hit], key[hit], weight[hit], count[hit]
+            each = np.repeat(np.arange(owner.size), count)
+            entry = self.first[key][each] + np.arange(each.size) - np.repeat(np.cumsum(count) - count, count)
+            out[at : at + len(part)] = np.bincount(owner[each] * self.n + self.mark[entry], weight[each] * self.weight[entry], len(part) * self.n).reshape(-1, self.n)
+        return out
+
+    def sharpened(self, values: np.ndarray) -> np.ndarray:
+        return np.exp(self.s.sharpness * (np.minimum(values, 1) - 1))
 
     def _learn(self, new: list[str]) -> None:
         bare = [w.lower().strip(_EDGES) or w for w in new]
-        distinct = list(dict.fromkeys(bare))
-        parts = [stretches(w, self.s.stretch) for w in distinct]
+        index = {w: i for i, w in enumerate(dict.fromkeys(bare))}
+        parts = [stretches(w, self.s.stretch) for w in index]
         value = self.kernel([p for ps in parts for p in ps])
-        starts = np.cumsum([0, *(len(ps) for ps in parts[:-1])])
-        value = np.maximum.reduceat(value, starts)
-        index = {w: i for i, w in enumerate(distinct)}
+        count = np.array([len(ps) for ps in parts])
+        first = np.cumsum(count) - count
+        best = value[first]
+        for k in range(1, int(count.max())):
+            longer = np.flatnonzero(count > k)
+            best[longer] = np.maximum(best[longer], value[first[longer] + k])
         base = len(self.known)
         while base + len(new) > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[base : base + len(new)] = value[[index[w] for w in bare]]
+        self.values[base : base + len(new)] = best[[index[w] for w in bare]]
         self.known.update(zip(new, range(base, base + len(new))))
 
     def describe(self, several: list[str], limit: int = 200_000) -> np.ndarray:
@@ -167,7 +175,7 @@ class Landmarks:
             for i, ws in enumerate(sets):
                 if ws:
                     out[at + i] = self.values[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].max(axis=0)
-        return out
+        return self.sharpened(out)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -220,7 +228,6 @@ def choose_landmarks(sample: DataFrame, s: Settings) -> tuple[str, ...]:
     toxic = [r["word"] for r in counts.where(F.col("n1") > n * share).withColumn("gain", gain).where(F.col("gain") >= s.evidence).orderBy(F.round("gain", 6).desc(), F.length("word").desc(), "word").limit(s.candidates).collect()]
     plain = [r["word"] for r in counts.orderBy(F.col("n0").desc(), "word").limit(s.candidates).collect()]
     chosen: list[str] = []
-    near = float(np.exp(s.sharpness * (s.apart - 1)))
     for pool in (toxic, plain):
         most = s.landmarks - 8 if pool is toxic else len(chosen) + 8
         if not pool:
@@ -228,13 +235,13 @@ def choose_landmarks(sample: DataFrame, s: Settings) -> tuple[str, ...]:
         all_ = Landmarks(tuple(pool), s)
         free = np.ones(len(pool), bool)
         if chosen:
-            free &= all_.kernel([" " + c for c in chosen]).max(axis=0) < near
+            free &= all_.kernel([" " + c for c in chosen]).max(axis=0) < s.apart
         for i, w in enumerate(pool):
             if len(chosen) >= most:
                 break
             if free[i]:
                 chosen.append(w)
-                free &= all_.kernel([" " + w])[0] < near
+                free &= all_.kernel([" " + w])[0] < s.apart
     return tuple(chosen)
 
 
@@ -293,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     x = np.frombuffer(b"".join(rows["values"]), np.float32).reshape(len(rows), len(words)).astype(np.float64)
     y = np.where(rows["label"].to_numpy() > 0, 1.0, -1.0)
     marks = Landmarks(words, s)
-    value, vector = np.linalg.eigh(marks.kernel([" " + w for w in words]).astype(np.float64))
+    value, vector = np.linalg.eigh(marks.sharpened(marks.kernel([" " + w for w in words])).astype(np.float64))
     keep = value > 1e-6 * value.max()
     nystroem = vector[:, keep] / np.sqrt(value[keep]) @ vector[:, keep].T
     apart = np.arange(len(rows)) % 5 == 0  # calibrated on rows that the machine has not seen
