@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geopanel.llm import bpe_split, packing, paragraphs, quality_ledger, secrets, simhash_gray, toxicity
+from geopanel.llm import ann_blocks, bpe_split, packing, paragraphs, quality_ledger, secrets, simhash_gray, toxicity
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -92,3 +92,18 @@ def op8_secret_scans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = secrets.dictionary(docs)
     return secrets.scan(docs, secrets.train(secrets.labelled(docs), words), words)
+
+
+_NEAREST_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+      FROM u q JOIN u c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query("op5_nearest_neighbours", _NEAREST_SQL)
+def op5_nearest_neighbours(spark, sf_dir):
+    """The 20 nearest vectors of every vector whose identifier is divisible by 20."""
+    return ann_blocks.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
