@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geopanel.llm import ann_blocks, bpe_split, packing, paragraphs, quality_ledger, secrets, simhash_gray, toxicity
+from geopanel.llm import ann_blocks, bpe_split, packing, paragraphs, quality_ledger, secrets, simhash_gray, toxicity, url_filter
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -107,3 +107,49 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 def op5_nearest_neighbours(spark, sf_dir):
     """The 20 nearest vectors of every vector whose identifier is divisible by 20."""
     return ann_blocks.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
+
+
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def _url_sql() -> str:
+    """The filter in SQL: rules, n-gram counts, interpolated probabilities level by level, calibration and verdict."""
+    o, w = url_filter.ORDER, url_filter.WEIGHT
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[0]) - len(r[1]), r))
+    chosen = lambda pick: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{pick(h, p, v)}'" for h, p, v in ordered) + " END"
+    levels = ""
+    for k in range(o + 1):
+        before = f"l{k - 1}.pa" if k else f"{1 / url_filter.ALPHABET!r}", f"l{k - 1}.pb" if k else f"{1 / url_filter.ALPHABET!r}"
+        join = f"JOIN l{k - 1} ON l{k - 1}.s = right(t.s, {k})" if k else ""
+        context = f"left(s, {k})" if k else "1"
+        levels += f"""
+t{k} AS (SELECT right(gram, {k + 1}) AS s, sum(allow) AS na, sum(block) AS nb FROM c GROUP BY 1),
+x{k} AS (SELECT *, sum(na) OVER (PARTITION BY {context}) AS ca, sum(nb) OVER (PARTITION BY {context}) AS cb FROM t{k}),
+l{k} AS (SELECT t.s, (t.na + {w!r} * {before[0]}) / (t.ca + {w!r}) AS pa, (t.nb + {w!r} * {before[1]}) / (t.cb + {w!r}) AS pb FROM x{k} t {join}),"""
+    return f"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+m AS (SELECT *, {chosen(lambda h, p, v: h + p)} AS rule, {chosen(lambda h, p, v: v)} AS known FROM b),
+bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i)),
+poly AS (SELECT list(v ORDER BY i) AS p FROM bits),
+u AS (SELECT url, count(*) AS n, any_value(known) AS known FROM m GROUP BY url),
+y AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(url)) + 1), lambda i: ('0x' || substr(hex(encode(url)), 2 * i - 1, 2))::BIGINT)),
+      lambda x, z: xor(x >> 8, p[xor(x & 255, z) + 1])) AS crc FROM u, poly),
+s AS (SELECT url, n, known, xor(crc, 4294967295::BIGINT) % {url_filter.FIFTHS} = 0 AS aside, repeat(chr(2), {o}) || url || chr(3) AS padded FROM y),
+e AS (SELECT url, n, known, aside, substr(padded, i, {o + 1}) AS gram FROM (SELECT *, unnest(range(1, length(padded) - {o} + 1)) AS i FROM s)),
+c AS (SELECT gram, sum(CASE WHEN known = 'allow' AND NOT aside THEN n ELSE 0 END)::DOUBLE AS allow, sum(CASE WHEN known = 'block' AND NOT aside THEN n ELSE 0 END)::DOUBLE AS block
+      FROM e GROUP BY gram),{levels}
+z AS (SELECT url, any_value(known) AS known, bool_or(aside) AS aside, any_value(n) AS n, avg(ln(pa) - ln(pb)) AS score FROM e JOIN l{o} ON gram = s GROUP BY url),
+h AS (SELECT known, sum(n * score) / sum(n) AS mean, sqrt(greatest(0, sum(n * score * score) / sum(n) - (sum(n * score) / sum(n)) ** 2)) AS dev
+      FROM z WHERE aside AND known IS NOT NULL GROUP BY known),
+q AS (SELECT CASE WHEN count(*) < 2 THEN '-infinity'::DOUBLE WHEN sum(dev) = 0 THEN avg(mean)
+      ELSE (max(mean) FILTER (known = 'allow') * max(dev) FILTER (known = 'block') + max(mean) FILTER (known = 'block') * max(dev) FILTER (known = 'allow')) / sum(dev) END AS threshold FROM h)
+SELECT page_id, host, path, rule, coalesce(m.known, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict FROM m JOIN z USING (url), q"""
+
+
+@query("op7_url_filter", _url_sql())
+def op7_url_filter(spark, sf_dir):
+    """Host, path, fitting rule and verdict of every page."""
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
