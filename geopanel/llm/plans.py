@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geopanel.llm import ann_blocks, bpe_split, packing, paragraphs, quality_ledger, secrets, simhash_gray, toxicity, url_filter
+from geopanel.llm import ann_blocks, bpe_split, lm_score, packing, paragraphs, quality_ledger, secrets, simhash_gray, toxicity, url_filter
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -153,3 +153,20 @@ SELECT page_id, host, path, rule, coalesce(m.known, CASE WHEN score >= threshold
 def op7_url_filter(spark, sf_dir):
     """Host, path, fitting rule and verdict of every page."""
     return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_LM_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
+c1 AS (SELECT w, count(*) AS n FROM w GROUP BY w), c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w), t AS (SELECT count(*) AS n FROM w),
+s AS (SELECT g.doc_id, CAST(round(ln(CASE WHEN g.v IS NULL THEN own.n::DOUBLE / t.n WHEN c2.n >= 2 THEN c2.n::DOUBLE / context.n ELSE 0.4::DOUBLE * (own.n::DOUBLE / t.n) END) * 1e6) AS BIGINT) AS micro
+      FROM g JOIN c1 own ON own.w = g.w LEFT JOIN c1 context ON context.w = g.v LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w, t),
+r AS (SELECT doc_id, count(*) AS n_words, CAST(sum(micro) AS BIGINT) / 1e6::DOUBLE AS score FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(score, 0::DOUBLE) AS score, CASE WHEN n_words > 0 THEN score / n_words END AS mean_score FROM d LEFT JOIN r USING (doc_id)"""
+
+
+@query("op2_lm_scoring", _LM_SQL)
+def op2_lm_scoring(spark, sf_dir):
+    """Bigram stupid-backoff score of every document, counts over all documents."""
+    return lm_score.scored(table(spark, sf_dir, "documents"), order=2, min_count=2)
