@@ -13,7 +13,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of a few numbers each that may be sent to every task; a larger side of a join is shuffled.
-SMALL = 300_000
+SMALL = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

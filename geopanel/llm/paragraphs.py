@@ -22,13 +22,12 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geopanel.llm.common import SMALL, Memo, once_per_worker, texts
+from geopanel.llm.common import SMALL, SPACE, Memo, once_per_worker, texts
 from geopanel.llm.components import components
 from geopanel.session import materialised
 
@@ -42,7 +41,6 @@ class Settings:
     run_words: int = 20
 
 
-_WORDS = regex.compile(rb"[^\x20\x09-\x0D]+").finditer
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,59 +67,80 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def cuts(h: np.ndarray, radius: int) -> np.ndarray:
-    """First words of the paragraphs: 0 and all places whose three-word hash is the least around (the first of equal ones)."""
-    a = _windows(h, 3)
-    if a.size == 0:
-        return np.zeros(1 if h.size else 0, np.int64)
-    top = np.full(radius, np.iinfo(np.uint64).max, np.uint64)
-    around = np.lib.stride_tricks.sliding_window_view(np.r_[top, a, top], 2 * radius + 1)
-    least = around.argmin(axis=1) == radius
-    return np.unique(np.r_[0, np.flatnonzero(least)])
+def cuts(h: np.ndarray, doc: np.ndarray, radius: int) -> np.ndarray:
+    """First words of the paragraphs of several texts: each text's first word, and all places whose three-word hash is the
+    least around (the first of equal ones). ``doc`` numbers each word's text."""
+    if h.size == 0:
+        return np.zeros(0, np.int64)
+    a = np.full(h.size, np.iinfo(np.uint64).max, np.uint64)
+    a[: max(0, h.size - 2)] = _windows(h, 3)
+    inside = np.zeros(h.size, bool)
+    inside[: max(0, h.size - 2)] = doc[2:] == doc[:-2]
+    a[~inside] = np.iinfo(np.uint64).max
+    least = inside
+    for k in range(1, min(radius, h.size - 1) + 1):
+        other = doc[k:] != doc[:-k]
+        least[k:] &= (a[k:] < a[:-k]) | other
+        least[:-k] &= (a[:-k] <= a[k:]) | other
+    least[np.r_[True, doc[1:] != doc[:-1]]] = True
+    return np.flatnonzero(least)
 
 
 def shingle_sets(h: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, paragraph) pairs; a paragraph of fewer words is one shingle."""
-    end = np.r_[start[1:], h.size]
-    w = _windows(h, width)
-    first = np.repeat(np.arange(start.size), np.maximum(end - start - width + 1, 0))
-    inner = np.flatnonzero(np.arange(w.size) + width <= np.repeat(end, end - start)[: w.size]) if w.size else np.zeros(0, np.int64)
-    short = np.flatnonzero(end - start < width)
-    whole = np.array([_windows(h[start[i] : end[i]], int(end[i] - start[i]))[0] for i in short], np.uint64)
-    return np.r_[w[inner], whole], np.r_[first, short]
-
-
-def paragraph_rows(raws: list[bytes], s: Settings, sets: bool = False, spans: bool = False, bands: bool = False) -> dict:
-    """Paragraphs of several texts: text number, number there, words and content hash; byte spans, band values and shingle
-    sets where asked for."""
-    out: dict[str, list] = {k: [] for k in ("at", "no", "words", "h", "begin", "end", "bands", "sets")}
-    for at, raw in enumerate(raws):
-        places = [m.span() for m in _WORDS(raw)] if spans else None
-        words = [raw[a:b] for a, b in places] if spans else raw.split()
-        if not words:
-            continue
-        h = word_hashes(words)
-        start = cuts(h, s.radius)
-        stop = np.r_[start[1:], h.size]
-        place = np.arange(h.size) - np.repeat(start, stop - start)
-        out["at"].append(np.full(start.size, at))
-        out["no"].append(np.arange(start.size))
-        out["words"].append(stop - start)
-        out["h"].append(np.add.reduceat(_mixed(h + _mixed(place.astype(np.uint64) + _MIX)), start))
-        if spans:
-            out["begin"].append(np.array([places[i][0] for i in start]))
-            out["end"].append(np.array([places[i - 1][1] for i in stop]))
-        if sets or bands:
-            key, owner = shingle_sets(h, start, s.shingle)
-            order = np.argsort(owner, kind="stable")
-            key, owner = key[order], owner[order]
-            edge = np.searchsorted(owner, np.arange(start.size))
-            if sets:
-                out["sets"] += [np.unique(k).view(np.int64) for k in np.split(key, edge[1:])]
-            if bands:
-                out["bands"].append(np.stack([np.minimum.reduceat(_mixed(key ^ _seed(b)), edge) for b in range(s.bands)], axis=1))
-    whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return {k: v if k == "sets" else whole(v) for k, v in out.items()}
+    """(shingles in order of their paragraphs, where each paragraph's begin); a paragraph of fewer words is one shingle."""
+    size = np.diff(np.r_[start, h.size])
+    owner = np.repeat(np.arange(start.size), size)
+    n = max(0, h.size - width + 1)
+    inner = np.flatnonzero(owner[:n] == owner[width - 1 :]) if n else np.zeros(0, np.int64)
+    keys, owners = [_windows(h, width)[inner]], [owner[inner]]
+    for m in range(1, width):
+        short = np.flatnonzero(size == m)
+        keys.append(_windows(h, m)[start[short]])
+        owners.append(short)
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return key[order], np.searchsorted(owner[order], np.arange(start.size))
+
+
+def word_spans(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after it, each counted from its text's beginning."""
+    size = np.array([len(r) + 1 for r in raws], np.int64)
+    blank = np.isin(np.frombuffer(b" ".join(raws) + b" ", np.uint8), np.frombuffer(SPACE, np.uint8))
+    begin = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    end = np.flatnonzero(blank & ~np.r_[True, blank[:-1]])
+    base = np.cumsum(size) - size
+    base = base[np.searchsorted(base, begin, "right") - 1]
+    return begin - base, end - base
+
+
+def paragraph_rows(raws: list[bytes], s: Settings, sets: bool = False, spans: bool = False, bands: bool = False) -> dict[str, np.ndarray]:
+    """Paragraphs of several texts: text number, number there, words and content hash; byte spans, band values, or shingles
+    (with where each paragraph's begin) where asked for."""
+    words: list[bytes] = []
+    counts = np.zeros(len(raws), np.int64)
+    for i, raw in enumerate(raws):
+        w = raw.split()
+        words += w
+        counts[i] = len(w)
+    h = word_hashes(words)
+    doc = np.repeat(np.arange(len(raws)), counts)
+    start = cuts(h, doc, s.radius)
+    size = np.diff(np.r_[start, h.size])
+    at = doc[start]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if at.size else at
+    place = np.arange(h.size) - np.repeat(start, size)
+    out = {"at": at, "no": np.arange(at.size) - np.repeat(first, np.diff(np.r_[first, at.size])), "words": size}
+    out["h"] = np.add.reduceat(_mixed(h + _mixed(place.astype(np.uint64) + _MIX)), start) if start.size else h
+    if spans:
+        begin, end = word_spans(raws)
+        out["begin"], out["end"] = begin[start], end[start + size - 1]
+    if sets or bands:
+        key, edge = shingle_sets(h, start, s.shingle)
+        if sets:
+            out["sets"], out["edges"] = key, np.r_[edge, key.size]
+        if bands:
+            out["bands"] = [np.minimum.reduceat(_mixed(key ^ _seed(b)), edge) if start.size else key for b in range(s.bands)]
+    return out
 
 
 def _seed(b: int) -> np.uint64:
@@ -138,15 +157,13 @@ def _arrow(docs: DataFrame, s: Settings, names: dict[str, str], **want) -> DataF
     def run(batches):
         for b in batches:
             raws, ids = b.column("text").cast(pa.binary()).to_pylist(), b.column("doc_id").to_numpy(zero_copy_only=False)
-            for at in range(0, len(raws), 1000):
-                got = paragraph_rows(raws[at : at + 1000], s, **want)
-                cols = {"doc_id": pa.array(ids[at + got["at"]] if got["at"].size else [], pa.int64())}
-                cols |= {k: pa.array(got[k], pa.int32()) for k in ("no", "words", "begin", "end")}
-                cols["h"] = _signed(got["h"])
-                if want.get("bands"):
-                    cols |= {f"b{i}": _signed(got["bands"][:, i]) if got["bands"].size else pa.array([], pa.int64()) for i in range(s.bands)}
+            for lo in range(0, len(raws), 500):
+                got = paragraph_rows(raws[lo : lo + 500], s, **want)
+                cols = {"doc_id": pa.array(ids[lo + got["at"]], pa.int64()), "h": _signed(got["h"])}
+                cols |= {k: pa.array(got[k], pa.int32()) for k in ("no", "words", "begin", "end") if k in got}
+                cols |= {f"b{i}": _signed(v) for i, v in enumerate(got.get("bands", ()))}
                 if want.get("sets"):
-                    cols["sets"] = pa.array(got["sets"], pa.list_(pa.int64()))
+                    cols["sets"] = pa.ListArray.from_arrays(pa.array(got["edges"], pa.int32()), _signed(got["sets"]))
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], list(names))
 
     return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in names.items()))
@@ -265,24 +282,22 @@ def repeated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
     removed (false where the run is the first occurrence), first_ids (documents that hold the first occurrences)."""
     plain = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
     b = [f"b{i}" for i in range(s.bands)]
-    each = _arrow(plain, s, {"h": "long", "doc_id": "long", "no": "int"} | dict.fromkeys(b, "long"), bands=True)
-    place = F.struct("doc_id", "no")
-    nodes = each.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), *[F.first(x).alias(x) for x in b])
-    again = F.when(F.col("first") != F.col("last"), F.array(F.struct(F.lit(-1).alias("band"), F.col("h").alias("value")))).otherwise(F.array().cast("array<struct<band:int,value:bigint>>"))
+    each = _arrow(plain, s, {"h": "long"} | dict.fromkeys(b, "long"), bands=True)
+    nodes = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in b])
+    again = F.when(F.col("n") > 1, F.array(F.struct(F.lit(-1).alias("band"), F.col("h").alias("value")))).otherwise(F.array().cast("array<struct<band:int,value:bigint>>"))
     deal = F.concat(again, F.array(*[F.struct(F.lit(i).alias("band"), F.col(x).alias("value")) for i, x in enumerate(b)]))
     rows = materialised(_mixed_groups(nodes.select("h", F.explode(deal).alias("x")).select("x.band", "x.value", "h")))
     equal = rows.where("band = -1").select("h")
     close = rows.where("band >= 0")
-    wanted = materialised(equal.unionAll(close.select("h")).distinct())
-    n_wanted = wanted.count()
-    near = close.select("h").distinct()
-    held = _arrow(plain, s, {"h": "long", "doc_id": "long", "no": "int", "sets": "array<long>"}, sets=True)
-    sets = materialised(_joined(held, near, "h", "left_semi", n_wanted).groupBy("h").agg(F.first("sets").alias("sets")))
+    near = materialised(close.select("h").distinct())
+    held = _arrow(plain, s, {"h": "long", "sets": "array<long>"}, sets=True)
+    sets = materialised(_joined(held, near, "h", "left_semi", near.count()).groupBy("h").agg(F.first("sets").alias("sets")))
     edges = verified(_dealt_again(close.join(sets, "h"), s, most), s)
     tied = components(edges).select(F.col("node").alias("h"), "root")
     keys = materialised(equal.unionAll(tied.select("h")).distinct().join(tied, "h", "left").select("h", F.coalesce("root", "h").alias("root")))
     found = _arrow(plain, s, {"h": "long", "doc_id": "long", "no": "int", "words": "int", "begin": "int", "end": "int"}, spans=True)
     found = materialised(_joined(found, keys, "h", "inner", keys.count()).select("root", "doc_id", "no", "words", "begin", "end").distinct())
+    place = F.struct("doc_id", "no")
     first = found.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("root", "first")
     marked = found.join(first, "root").withColumn("removed", place != F.col("first"))
     run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id", "removed").orderBy("no"))

@@ -18,7 +18,7 @@ def test_exact_with_odd_vectors(spark, sizes):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)]
     rows += [(300 + i, rows[3][1]) for i in range(30)]  # ties
-    rows += [(400, [0.0] * 6), (401, None), (402, [1.0, None, 0, 0, 0, 0]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6), (405, [1e-3] * 6), (406, [1e6, 0, 0, 0, 0, -1e-6])]
+    rows += [(400, [0.0] * 6), (401, None), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6), (405, [1e-3] * 6), (406, [1e6, 0.0, 0.0, 0.0, 0.0, -1e-6])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = [tuple(r) for r in ann_blocks.nearest(df, "id % 20 = 0", 7, candidate_rows=sizes[0], query_rows=sizes[1]).orderBy("query_id", "rank").collect()]
     want = brute(rows, 7, lambda i: i % 20 == 0)

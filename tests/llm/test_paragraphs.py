@@ -65,7 +65,7 @@ def test_dealing_again_keeps_links(documents):
 def test_paragraphs_follow_content():
     h = p.word_hashes(made_up(300, 2).encode().split())
     shifted = np.r_[p.word_hashes([b"q1", b"q2", b"q3"]), h]
-    a, b = set(p.cuts(h, 5)), {c - 3 for c in p.cuts(shifted, 5)}
+    a, b = (set(p.cuts(x, np.zeros(x.size, int), 5) - k) for x, k in ((h, 0), (shifted, 3)))
     assert len(a & b) > 0.85 * len(a)
 
 
@@ -75,3 +75,18 @@ def test_odd_rows(documents, odd_rows):
     assert rows.where("doc_id is null").count() == 0
     assert p.without_repeats(docs, rows).where("doc_id = 1").count() == 2
     assert p.repeated(documents([])).collect() == []
+
+
+def test_batches_do_not_change_paragraphs():
+    texts = [made_up(n, n).encode() for n in (0, 1, 2, 3, 7, 90, 400)] + [b" a\n\tb  c ", b""]
+    together = p.paragraph_rows(texts, p.Settings(), sets=True, spans=True, bands=True)
+    for i, t in enumerate(texts):
+        mine = together["at"] == i
+        alone = p.paragraph_rows([t], p.Settings(), sets=True, spans=True, bands=True)
+        for k in ("no", "words", "h", "begin", "end"):
+            assert together[k][mine].tolist() == alone[k].tolist()
+        assert [v[mine].tolist() for v in together["bands"]] == [v.tolist() for v in alone["bands"]]
+        words = t.split()
+        assert sum(alone["words"]) == len(words)
+        if words:
+            assert t[alone["begin"][0] : alone["end"][0]].split() == words[: alone["words"][0]]

@@ -24,7 +24,8 @@ def verdicts(urls):
     known = {u: rule(*parts(u))[1] for u in urls}
     aside = {u: zlib.crc32(u.encode()) % url_filter.FIFTHS == 0 for u in urls}
     o, w = url_filter.ORDER, url_filter.WEIGHT
-    grams = lambda u: [(p := url_filter.FRONT * o + u + url_filter.BACK)[i : i + o + 1] for i in range(len(p) - o)]
+    padded = lambda u: url_filter.FRONT * o + u + url_filter.BACK
+    grams = lambda u: [padded(u)[i : i + o + 1] for i in range(len(u) + 1)]
     n = {v: Counter(g[o - k :] for u in urls if known[u] == v and not aside[u] for g in grams(u) for k in range(o + 1)) for v in ("allow", "block")}
     context = {v: Counter() for v in n}
     for v, c in n.items():
