@@ -263,7 +263,8 @@ def _dealt_again(rows: DataFrame, s: Settings, most: int, depth: int = 3) -> Dat
         if large.isEmpty():
             break
         parts.append(rows.join(large, ["band", "value"], "left_anti"))
-        seeds = [F.array_min(F.transform("sets", lambda x, k=k: F.xxhash64(x, F.lit(1000 * (d + 1) + k)))) for k in range(s.bands + 1)]
+        least = lambda seed: F.array_min(F.transform("sets", lambda x: F.xxhash64(x, F.lit(seed))))
+        seeds = [least(1000 * (d + 1) + k) for k in range(s.bands + 1)]
         deal = F.array(*[F.struct(F.lit(k).alias("k"), m.alias("m")) for k, m in enumerate(seeds)])
         rows = rows.join(large, ["band", "value"], "left_semi").withColumn("deal", F.explode(deal))
         rows = rows.select("band", F.xxhash64("value", "deal.k", "deal.m").alias("value"), "h", "sets")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geopanel.llm.common import texts
+from geopanel.session import materialised
 
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}"
 #: Labelling rule: formats that issuers publish, and words for secrets before an assignment. Fixed values.
@@ -96,6 +97,7 @@ def _tree_sql(node) -> str:
 def train(findings: DataFrame, words: list[str], sample: int = SAMPLE) -> str | None:
     """The forest's score as SQL over ``c.f``; None if the findings have one label only."""
     names = features(words)
+    findings = materialised(findings)  # the forest reads its rows many times, the texts once
     rows = None
     for label in (0.0, 1.0):
         part = findings.where(F.col("label") == label).orderBy(F.xxhash64("value"), "value").limit(sample)
