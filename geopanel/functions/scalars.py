@@ -39,10 +39,12 @@ def age_label(c: str | Column) -> Column:
 
 
 def edition_label(path: str | Column) -> Column:
-    """``…_2016_10.csv`` (or a folder so named) -> ``2016-10``; paths without a date stay as they are."""
+    """``…_2016_10.csv`` -> ``2016-10``: the file's own name decides, else its folder's, never one further up. A name
+    without a date is its own label, without its ending."""
     p = col(path)
-    hit = F.regexp_extract(p, r"(?<!\d)(\d{4})_(\d{2})(?!\d)", 0)
-    return F.when(hit == "", p).otherwise(F.regexp_replace(hit, "_", "-"))
+    date = lambda name: F.nullif(F.regexp_extract(name, r"(?<!\d)(\d{4})_(\d{2})(?!\d)", 0), F.lit(""))
+    own, folder = F.regexp_extract(p, r"[^/]*$", 0), F.regexp_extract(p, r"([^/]*)/[^/]*$", 1)
+    return F.coalesce(F.regexp_replace(F.coalesce(date(own), date(folder)), "_", "-"), F.regexp_replace(own, r"\.[^.]*$", ""))
 
 
 def decimal_year(label: str | Column) -> Column:

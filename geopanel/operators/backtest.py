@@ -12,6 +12,7 @@ from geopanel.functions.scalars import array_of, log_rate, log_rate_variance
 from geopanel.operators import estimate
 from geopanel.operators.calendar import Calendar
 from geopanel.operators.trend import Z_975
+from geopanel.operators.meet import with_groups
 from geopanel.session import materialised, spread
 
 # Fixed values of the validation.
@@ -84,7 +85,7 @@ def leave_group_out(demand: DataFrame, cal: Calendar) -> DataFrame:
         "grp", "rho", "w.m - m AS m_out", "try_divide(w.g2 - g2 - (w.p - p), w.m - m) AS moment"
     )
     tau = outside.where("m_out >= 2").selectExpr("grp", "rho", "greatest(0D, moment) AS tau2")
-    return own.join(tau, "grp").withColumns(estimate.shrunk()).selectExpr(
+    return with_groups(own, tau, ["grp"]).withColumns(estimate.shrunk()).selectExpr(
         "unit", "grp", "r_hat AS r_real", "r_tilde AS r_est", "var_post AS var_est", "tau2 AS tau2_out"
     )
 
@@ -193,14 +194,8 @@ def adoption(thin_summary: DataFrame, logo_summary: DataFrame, supply: DataFrame
         F.col("x").alias("demand_ok"), logo_ok.scalar().alias("logo_ok"), supply_ok.scalar().alias("supply_ok")
     )
     adopted = F.col("demand_ok") & F.col("logo_ok") & F.col("supply_ok")
-    failures = F.concat_ws(
-        "; ",
-        F.when(~F.col("demand_ok"), "demanda no supera al baseline en MAE/F1"),
-        F.when(~F.col("logo_ok"), "LOAO fuera de [0.90, 0.97]"),
-        F.when(~F.col("supply_ok"), "oferta no supera al baseline en MAE/F1"),
-    )
-    passed = "supera al baseline en las 3 validaciones (demanda, LOAO, oferta)"
-    return row.withColumn("adopted", adopted).withColumn("reason", F.when(adopted, passed).otherwise(failures))
+    failed = F.concat_ws(",", *[F.when(~F.col(f"{name}_ok"), name) for name in ("demand", "logo", "supply")])
+    return row.withColumn("adopted", adopted).withColumn("failed_checks", failed)
 
 
 def run(demand: DataFrame, wide: DataFrame, control: DataFrame, cal: Calendar, ident: Column | None = None, source: str = "hash") -> dict[str, DataFrame]:

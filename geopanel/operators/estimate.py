@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from geopanel.functions.scalars import log_rate, log_rate_variance
 from geopanel.operators.calendar import Calendar
+from geopanel.operators.meet import with_groups
 from geopanel.session import materialised, spread
 
 RELIABLE_VARIANCE = 10.0  # fixed value: a slope variance at or above this is numerically separated
@@ -84,7 +85,7 @@ def shrink_to_groups(units: DataFrame, groups: DataFrame, keys: Sequence[str]) -
     """Join each unit to its group's rate and its key's pooled variance, and shrink."""
     keys = list(keys)
     tau = pooled_variance(groups, keys)
-    out = units.join(groups.select(*keys, "grp", "rho"), [*keys, "grp"], "left")
+    out = with_groups(units, groups.select(*keys, "grp", "rho"), [*keys, "grp"], how="left")
     out = out.join(tau, keys, "left") if keys else out.select("*", tau.scalar().alias("tau2"))
     return out.withColumns(shrunk())
 
@@ -250,7 +251,7 @@ def supply_posterior(fit: DataFrame, keys: Sequence[str], cal: Calendar, sd_floo
     live = materialised(spread(fit.where(~F.col("no_data")), "unit"))
     groups = group_trend(live, keys, cal)
     tau = pooled_variance(groups, keys, "b_grp", "phi")
-    out = live.join(groups.select(*keys, "grp", "b_grp", "var_grp", "phi"), [*keys, "grp"]).join(tau, keys)
+    out = with_groups(live, groups.select(*keys, "grp", "b_grp", "var_grp", "phi"), [*keys, "grp"]).join(tau, keys)
     out = out.withColumn("psi", F.col("var_b") * F.col("phi")).withColumns(shrunk("b_hat", "psi", "b_grp"))
     var = F.expr(f"greatest(var_post + b * b * var_grp * phi, {float(sd_floor) ** 2}D)")
     return out.withColumn("var_post", var).withColumnRenamed("r_tilde", "b_tilde")
@@ -265,7 +266,7 @@ def attenuated_rate(wide: DataFrame, cal: Calendar) -> DataFrame:
 def supply_scenarios(fit: DataFrame, cal: Calendar) -> DataFrame:
     """Full-fit against attenuated rate per unit, with their range, in %/year."""
     both = attenuated_rate(fit, cal).where(F.col("b_hat").isNotNull() & F.col("rate_b").isNotNull())
-    keep = [c for c in ("unit", "cell", "grp") if c in fit.columns]
+    keep = [c for c in ("unit", "cell", "grp", "b_hat", "reliable") if c in fit.columns]
     pct = lambda c: F.bround(c * 100.0, 2)
     return both.select(
         *keep,

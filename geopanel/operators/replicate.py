@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from geopanel.functions import draws, rules
 from geopanel.operators import estimate
 from geopanel.operators.calendar import Calendar
+from geopanel.operators.meet import with_groups
 from geopanel.session import materialised, spread
 
 N_SIM = 4000  # fixed value
@@ -44,7 +45,7 @@ def demand_inputs(demand: DataFrame, control: DataFrame, cal: Calendar, keys: Se
     projection and are published as no-data.
     """
     rates = estimate.demand_rates(demand, keys, cal.dt).where("rho IS NOT NULL")
-    joined = rates.join(estimate.control_summary(control, cal), "grp")
+    joined = with_groups(rates, estimate.control_summary(control, cal), ["grp"])
     return joined.select(
         *keys,
         "unit",
@@ -83,7 +84,9 @@ def simulate_demand(
     then shifted by one shared shock per (group, replicate). The inputs feed both passes, so they are
     materialised once."""
     keys = list(keys)
-    inputs = materialised(spread(inputs, "unit"))
+    inputs = materialised(inputs)
+    # Replicates multiply each row: partitions follow rows times replicates, not bytes.
+    inputs = spread(inputs, "unit", weight=inputs.count() * n_sim)
     span = cal.demand_span
     uid = unit_id if unit_id is not None else F.col("unit")
     gid = group_id if group_id is not None else F.xxhash64("grp")
@@ -101,17 +104,21 @@ def simulate_demand(
     )
     shock = draws.normal(F.col("_gid"), F.col("rep"), 2, source, seed) * F.col("_shock")
     shift = lambda i: F.log(F.col("_ratio") * F.col("_base") / F.col(f"_p{i}")) / span + shock
-    row = F.struct("rep", *[shift(i).alias(f"k{i}") for i in range(len(lams))], *[x.alias(f"l{i}") for i, x in enumerate(lams)])
+    row = F.struct("rep", *[shift(i).alias(f"k{i}") for i in range(len(lams))])
     # n_sim entries per group: bounded by the parameter.
-    shifts = sums.groupBy(*keys, "grp").agg(F.array_sort(F.collect_list(row)).alias("_shift"))
+    packed = sums.groupBy(*keys, "grp").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    part = lambda k: F.transform("_rows", lambda s: s[k]).alias(f"_{k}")
+    shifts = packed.select(*keys, "grp", *[part(f"k{i}") for i in range(len(lams))])
 
-    joined = units.join(shifts, [*keys, "grp"])
-    z_at = lambda s: draws.normal(F.col("_uid"), s["rep"], 1, source, seed)
-    dev = F.transform("_shift", lambda s: F.col("r_tilde") + z_at(s) * F.col("sd") - F.col("rho"))
+    joined = with_groups(units, shifts, [*keys, "grp"], width=n_sim * len(lams))
+    z_at = lambda rep: draws.normal(F.col("_uid"), rep, 1, source, seed)
+    dev = F.transform("_k0", lambda _, rep: F.col("r_tilde") + z_at(rep) * F.col("sd") - F.col("rho"))
     joined = joined.withColumn("_dev", dev)
 
     def rates(i: int) -> Column:
-        return F.zip_with("_dev", "_shift", lambda d, s: _bounded(F.col("rho_future") + s[f"l{i}"] * d + s[f"k{i}"]))
+        share = lambda rep: _persistences(rep, source, seed, fixed, lam)[i]
+        pull = F.transform("_dev", lambda d, rep: F.col("rho_future") + share(rep) * d)
+        return F.zip_with(pull, f"_k{i}", lambda p, k: _bounded(p + k))
 
     return joined.select(
         *keys, "unit", "grp", "n_obs", "base", "conf_base", "cap",

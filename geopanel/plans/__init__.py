@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("composition", "filters", "joins", "aggregates", "estimation", "projection", "space", "drift", "validation", "contract", "readers_and_sinks")
+FAMILIES = ("composition", "filters", "joins", "aggregates", "estimation", "projection", "rollups", "space", "drift", "validation", "contract", "readers_and_sinks")
 
 
 def load():

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geopanel.operators import compose, estimate, panel, profile, quality, replicate, trend
+from geopanel.operators import compose, estimate, panel, profile, quality, trend
 from geopanel.operators.compose import State
-from geopanel.plans.joins import Z7, _toy_simulation
 from geopanel.plans.registry import query, r6, with_ctes
 from geopanel.plans.roles import CAL, Roles
 
@@ -70,60 +69,6 @@ def distribution(r: Roles):
     return quality.verdict_distribution(r.published.where("branch = 'demanda' AND cell = 'todas'"))
 
 
-_TOY = f"SELECT w.cell, w.unit, w.grp, s2, rep, {Z7.replace('unit', 'w.unit')} * 0.02e0 AS x FROM swide w CROSS JOIN (SELECT unnest(range(0, 40)) AS rep) WHERE s2 > 0"
-
-
-def _toy(r: Roles):
-    null = F.lit(None).cast("double")
-    return _toy_simulation(r).withColumns({"n_obs": F.lit(3), "conf_base": null, "cap": F.lit("media"), "r_fixed": F.array().cast("array<array<double>>")})
-
-
-@query(
-    "a08_group_rollup_per_replicate",
-    with_ctes("swide", body=f"SELECT cell, grp, rep, {r6('ln(sum(s2 * exp(x * 4)) / sum(s2)) / 4')} AS r, CAST(sum(s2) AS DOUBLE) AS base FROM ({_TOY}) GROUP BY 1, 2, 3"),
-)
-def rollup(r: Roles):
-    rolled = replicate.roll_up(_toy(r), ["cell"], CAL.supply_span, demand=False)
-    return rolled.select("cell", "grp", "base", F.posexplode("r").alias("rep", "r"))
-
-
-@query(
-    "a09_root_rollup_per_replicate",
-    with_ctes("swide", body=f"SELECT cell, rep, {r6('ln(sum(s2 * exp(x * 4)) / sum(s2)) / 4')} AS r, CAST(sum(s2) AS DOUBLE) AS base FROM ({_TOY}) GROUP BY 1, 2"),
-)
-def root(r: Roles):
-    rolled = replicate.roll_up(_toy(r), ["cell"], CAL.supply_span, demand=False, root="root")
-    return rolled.select("cell", "base", F.posexplode("r").alias("rep", "r"))
-
-
-@query(
-    "a10_replicate_quantiles",
-    with_ctes(
-        "swide",
-        body=f"""SELECT cell, unit, {r6('quantile_cont(x, 0.025)')} AS q_lo, {r6('quantile_cont(x, 0.5)')} AS q_mid, {r6('quantile_cont(x, 0.975)')} AS q_hi
-        FROM ({_TOY}) GROUP BY 1, 2""",
-    ),
-)
-def replicate_quantiles(r: Roles):
-    ordered = F.sort_array("r")
-    q = lambda p, name: replicate._quantile(ordered, p).alias(name)
-    return _toy(r).select("cell", "unit", q(0.025, "q_lo"), q(0.5, "q_mid"), q(0.975, "q_hi"))
-
-
-_SHARE = lambda cond: r6(f"avg(CASE WHEN {cond} THEN 1e0 ELSE 0e0 END)")
-
-
-@query(
-    "a11_threshold_probabilities",
-    with_ctes(
-        "swide",
-        body=f"SELECT cell, unit, {_SHARE('x > 0.01e0')} AS p_up, {_SHARE('x < -0.01e0')} AS p_down, {_SHARE('abs(x) <= 0.01e0')} AS p_flat FROM ({_TOY}) GROUP BY 1, 2",
-    ),
-)
-def threshold(r: Roles):
-    return replicate.probabilities(_toy(r)).select("cell", "unit", "p_up", "p_down", "p_flat")
-
-
 @query(
     "a12_coverage_report",
     with_ctes(

@@ -413,14 +413,14 @@ def _changes(r: Roles):
     return r.published.where("branch = 'educacion' AND cell = 'A__F' AND horizon = 'h3'")
 
 
-@query("t04_change_table", with_ctes("pub", body=f"SELECT unit, {r6('delta_pct')} AS delta_pct FROM {_CHG} p ORDER BY p.delta_pct ASC NULLS LAST, unit LIMIT 40"))
+@query("t04_change_table", with_ctes("pub", body=f"SELECT unit, {r6('delta_pct')} AS delta_pct FROM {_CHG} p ORDER BY p.delta_pct ASC NULLS LAST, unit"))
 def changes(r: Roles):
-    return compose.change_table(_changes(r), "change", 40).select("unit", "delta_pct")
+    return compose.change_table(_changes(r), "change").select("unit", "delta_pct")
 
 
-@query("t04b_change_by_confidence", with_ctes("pub", body=f"SELECT unit, confidence FROM {_CHG} ORDER BY CASE confidence WHEN 'alta' THEN 0 WHEN 'media' THEN 1 ELSE 2 END, delta_pct ASC NULLS LAST, unit LIMIT 15"))
+@query("t04b_change_by_confidence", with_ctes("pub", body=f"SELECT unit, confidence FROM {_CHG} ORDER BY CASE confidence WHEN 'alta' THEN 0 WHEN 'media' THEN 1 ELSE 2 END, delta_pct ASC NULLS LAST, unit"))
 def changes_confidence(r: Roles):
-    return compose.change_table(_changes(r), "confidence", 15).select("unit", "confidence")
+    return compose.change_table(_changes(r), "confidence").select("unit", "confidence")
 
 
 @query("t08_canonical_order", with_ctes("plong", body="SELECT unit, t, s, s_last FROM plong ORDER BY unit, t"))

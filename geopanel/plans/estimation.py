@@ -85,18 +85,26 @@ def with_fit(*blocks: str, src: str, body: str) -> str:
     return with_ctes(*blocks, body="").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + fit_sql(src) + "\n" + body
 
 
-_FIT_COLS = f"{r6('a_hat')} AS a_hat, {r6('b_hat')} AS b_hat, {r6('var_b')} AS var_b"
+_OK = "coalesce(f.var_b < 10, false)"
+#: Digits where the fit is reliable; for all fits the slope's sign and whether it is steep.
+_FIT_COLS = f"{_OK} AS reliable, " + ", ".join(f"CASE WHEN {_OK} THEN {r6('f.' + c)} END AS {c}" for c in ("a_hat", "b_hat", "var_b")) + ", CAST(sign(CASE WHEN abs(f.b_hat) > 1e-9 THEN f.b_hat ELSE 0 END) AS BIGINT) AS slope_sign, abs(f.b_hat) >= 1 AS steep"
 
 
-@query("e08_poisson_fit", with_fit("swide", src="SELECT * FROM swide", body=f"SELECT cell, unit, {_FIT_COLS} FROM fitted WHERE var_b < 10"))
+def _fit_rows(fit, keys):
+    digits = [F.when(F.col("reliable"), F.col(c)).alias(c) for c in ("a_hat", "b_hat", "var_b")]
+    slope = F.when(F.abs("b_hat") > 1e-9, F.col("b_hat")).when(F.col("b_hat").isNotNull(), F.lit(0.0))
+    return fit.select(*keys, F.coalesce("reliable", F.lit(False)).alias("reliable"), *digits, F.signum(slope).cast("bigint").alias("slope_sign"), (F.abs("b_hat") >= 1).alias("steep"))
+
+
+@query("e08_poisson_fit", with_fit("swide", src="SELECT * FROM swide", body=f"SELECT w.cell, w.unit, {_FIT_COLS} FROM swide w LEFT JOIN fitted f ON f.cell = w.cell AND f.unit = w.unit"))
 def poisson(r: Roles):
-    """Separated counts end at a huge variance whose digits are not comparable; e09 counts them."""
-    return estimate.fit_supply(r.supply_cells, CAL).where("reliable").select("cell", "unit", "a_hat", "b_hat", "var_b")
+    """Separated counts end at a huge variance whose digits are not comparable: their slope's sign and size are."""
+    return _fit_rows(estimate.fit_supply(r.supply_cells, CAL), ["cell", "unit"])
 
 
-@query("e08b_poisson_fit_sparse", with_fit("pwide", src="SELECT * FROM pwide", body=f"SELECT unit, {_FIT_COLS} FROM fitted WHERE var_b < 10"))
+@query("e08b_poisson_fit_sparse", with_fit("pwide", src="SELECT * FROM pwide", body=f"SELECT w.unit, {_FIT_COLS} FROM pwide w LEFT JOIN fitted f ON f.unit = w.unit"))
 def poisson_sparse(r: Roles):
-    return estimate.fit_supply(r.part_supply, CAL).where("reliable").select("unit", "a_hat", "b_hat", "var_b")
+    return _fit_rows(estimate.fit_supply(r.part_supply, CAL), ["unit"])
 
 
 @query("e09_fit_reliability", with_fit("pwide", src="SELECT * FROM pwide", body="SELECT w.unit, f.unit IS NULL AS no_data, coalesce(f.var_b < 10, false) AS reliable FROM pwide w LEFT JOIN fitted f USING (unit)"))
@@ -140,11 +148,13 @@ def posterior(r: Roles):
     return out.select("cell", "unit", "b_tilde", "var_post", "tau2")
 
 
-@query("e13_supply_scenarios", with_fit("swide", src="SELECT * FROM swide", body=f"""SELECT cell, unit, {r6('round_even(b_hat * 100, 2)')} AS rate_a_pct,
-    {r6('round_even(ln((s1 + 0.5e0) / (s0 + 0.5e0)) / 2 * 100, 2)')} AS rate_b_pct, {r6('round_even(abs(b_hat - ln((s1 + 0.5e0) / (s0 + 0.5e0)) / 2) * 100, 2)')} AS range_pp FROM fitted WHERE var_b < 10"""))
+@query("e13_supply_scenarios", with_fit("swide", src="SELECT * FROM swide", body=f"""SELECT cell, unit, var_b < 10 AS reliable, CAST(sign(CASE WHEN abs(b_hat) > 1e-9 THEN b_hat ELSE 0 END) AS BIGINT) AS slope_sign, CASE WHEN var_b < 10 THEN {r6('round_even(b_hat * 100, 2)')} END AS rate_a_pct,
+    {r6('round_even(ln((s1 + 0.5e0) / (s0 + 0.5e0)) / 2 * 100, 2)')} AS rate_b_pct, CASE WHEN var_b < 10 THEN {r6('round_even(abs(b_hat - ln((s1 + 0.5e0) / (s0 + 0.5e0)) / 2) * 100, 2)')} END AS range_pp FROM fitted"""))
 def scenarios(r: Roles):
-    fit = estimate.fit_supply(r.supply_cells, CAL).where("reliable")
-    return estimate.supply_scenarios(fit, CAL).select("cell", "unit", "rate_a_pct", "rate_b_pct", "range_pp")
+    fit = estimate.fit_supply(r.supply_cells, CAL).where("NOT no_data")
+    sure = lambda c: F.when(F.col("reliable"), F.col(c)).alias(c)
+    sign = F.signum(F.when(F.abs("b_hat") > 1e-9, F.col("b_hat")).otherwise(F.lit(0.0))).cast("bigint").alias("slope_sign")
+    return estimate.supply_scenarios(fit, CAL).select("cell", "unit", "reliable", sign, sure("rate_a_pct"), "rate_b_pct", sure("range_pp"))
 
 
 # --- zone trends -------------------------------------------------------------------------------

@@ -185,14 +185,14 @@ def selection(r: Roles):
 
 @query(
     "p16_essential_goods",
-    """SELECT p_type AS cell, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey
-    WHERE p_type IN (SELECT DISTINCT p_type FROM part ORDER BY 1 LIMIT 4) GROUP BY 1""",
+    f"""SELECT cell, count(*) AS n FROM (SELECT {list(catalog.cell_names('comercio'))}[p_size % {len(catalog.cell_names('comercio'))} + 1] AS cell FROM lineitem JOIN part ON p_partkey = l_partkey)
+    WHERE cell IN {catalog.ESSENTIAL_GOODS} GROUP BY 1""",
 )
 def essential(r: Roles):
-    """The preset keeps four of the commerce cells; here the cells are part types."""
-    preset = r.table("part").select(F.col("p_type").alias("cell")).distinct().orderBy("cell").limit(len(catalog.ESSENTIAL_GOODS))
-    typed = r.entities().drop("cell").join(r.table("part").select(F.col("p_partkey").alias("unit"), F.col("p_type").alias("cell")), "unit")
-    return typed.join(preset, "cell", "left_semi").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    """The preset keeps four of the commerce cells; part sizes are dealt to the cells."""
+    cells = F.array(*[F.lit(c) for c in catalog.cell_names("comercio")])
+    part = r.table("part").select(F.col("p_partkey").alias("unit"), F.get(cells, F.col("p_size") % F.size(cells)).alias("cell"))
+    return r.entities().drop("cell").join(part, "unit").where(F.col("cell").isin(*catalog.ESSENTIAL_GOODS)).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

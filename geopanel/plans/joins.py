@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geopanel.operators import compose, estimate, panel, profile, replicate
+from geopanel.operators import compose, estimate, panel, profile
 from geopanel.plans.registry import query, r6, with_ctes
 from geopanel.plans.roles import CAL, Roles
 
@@ -68,41 +68,11 @@ def anti(r: Roles):
 @query(
     "j12_membership_rate",
     f"""SELECT count(*) AS n_keys, {r6('avg(CASE WHEN k IN (SELECT l_partkey FROM lineitem WHERE year(l_shipdate) = 2000) THEN 1e0 ELSE 0e0 END)')} AS rate
-    FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND year(l_shipdate) = 1995)""",
+    FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE year(l_shipdate) = 1995)""",
 )
 def membership(r: Roles):
     e = r.entities()
-    return profile.membership_rate(e.where("level = 'A' AND cut = 1995"), e.where("cut = 2000"), "unit")
-
-
-def _toy_simulation(r: Roles, n_sim: int = 40):
-    """Supply cells with deterministic replicate rates."""
-    from geopanel.functions import draws
-
-    rate = lambda rep: draws.normal(F.col("unit"), rep, 7, "r2") * 0.02
-    return r.supply_cells.where(F.element_at("s", -1) > 0).select(
-        "cell", "unit", "grp", F.element_at("s", -1).cast("double").alias("base"),
-        F.transform(F.sequence(F.lit(0), F.lit(n_sim - 1)), rate).alias("r"),
-    )
-
-
-Z7 = """sqrt(-2 * ln(greatest((0.5e0 + (unit + 7000021e0) * 0.7548776662e0 + rep * 0.5698402910e0) - floor(0.5e0 + (unit + 7000021e0) * 0.7548776662e0 + rep * 0.5698402910e0), 1e-12)))
-    * cos(2 * pi() * ((0.5e0 + (unit + 7000021e0) * 0.5698402910e0 + rep * 0.7548776662e0) - floor(0.5e0 + (unit + 7000021e0) * 0.5698402910e0 + rep * 0.7548776662e0)))"""
-
-
-@query(
-    "j13_sum_cells_over_universe",
-    with_ctes(
-        "supps", "swide",
-        body=f"""SELECT u.unit, r.rep, {r6('coalesce(sum(s2 * exp(' + Z7.replace('unit', 'w.unit') + ' * 0.02e0 * 4)), 0)')} AS level
-        FROM supps u CROSS JOIN (SELECT unnest(range(0, 40)) AS rep) r LEFT JOIN swide w ON w.unit = u.unit AND w.s2 > 0 GROUP BY 1, 2""",
-    ),
-)
-def sum_cells(r: Roles):
-    sim = _toy_simulation(r)
-    out = replicate.summed_levels(sim, r.suppliers.select("unit"), [], CAL.cuts[-1], CAL.cuts[-1] + 4.0)
-    zeros = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda _: F.lit(0.0))
-    return out.select("unit", F.posexplode(F.coalesce("levels", zeros)).alias("rep", "level"))
+    return profile.membership_rate(e.where("cut = 1995"), e.where("cut = 2000"), "unit")
 
 
 @query(

@@ -10,7 +10,7 @@ from geopanel.plans.estimation import RHO, SHRUNK, level_sql, posterior_sql
 from geopanel.plans.registry import query, r6, with_ctes
 from geopanel.plans.roles import CAL, Roles
 
-N_SIM = 400
+N_SIM = replicate.N_SIM
 KEYS = ["segment"]
 A, B = "0.7548776662e0", "0.5698402910e0"
 

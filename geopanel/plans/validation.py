@@ -143,8 +143,7 @@ def supply_summary(r: Roles):
 
 _T = metrics_sql("tfold", "frac, estimator")
 _S = metrics_sql("sfold", "estimator")
-ADOPT = f"""SELECT d AS demand_ok, l AS logo_ok, s AS supply_ok, d AND l AND s AS adopted, CASE WHEN d AND l AND s THEN 'supera al baseline en las 3 validaciones (demanda, LOAO, oferta)' ELSE
-    concat_ws('; ', CASE WHEN NOT d THEN 'demanda no supera al baseline en MAE/F1' END, CASE WHEN NOT l THEN 'LOAO fuera de [0.90, 0.97]' END, CASE WHEN NOT s THEN 'oferta no supera al baseline en MAE/F1' END) END AS reason FROM (
+ADOPT = f"""SELECT d AS demand_ok, l AS logo_ok, s AS supply_ok, d AND l AND s AS adopted, concat_ws(',', CASE WHEN NOT d THEN 'demand' END, CASE WHEN NOT l THEN 'logo' END, CASE WHEN NOT s THEN 'supply' END) AS failed_checks FROM (
     SELECT (SELECT bool_and(a.mae_pp <= b.mae_pp AND a.f1_macro >= b.f1_macro) FROM ({_T}) a JOIN ({_T}) b ON a.frac = b.frac AND a.estimator = 'r_tilde_eb' AND b.estimator = 'baseline_r0') AS d,
     (SELECT coalesce(hit_rate BETWEEN 0.90 AND 0.97, false) FROM ({metrics_sql('lfold', '')})) AS l,
     (SELECT bool_and(a.mae_pp <= b.mae_pp AND a.f1_macro >= b.f1_macro) FROM ({_S}) a JOIN ({_S}) b ON a.estimator LIKE 'modelo%' AND b.estimator LIKE 'baseline%') AS s)"""

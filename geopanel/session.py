@@ -25,8 +25,11 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a private one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where none is set, a private one serves a local master; on a
+    cluster executors could not read it, so the setting is asked for."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-geopanel-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
@@ -45,8 +48,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
+#: Expanded rows that one task should take.
+TASK_ROWS = 4_000_000
+
+
+def spread(df: DataFrame, *cols: str, weight: int = 0) -> DataFrame:
     """Distribute rows evenly before work that multiplies each of them. Adaptive execution sizes
-    partitions by the bytes going in, which says nothing about rows that grow a thousandfold."""
+    partitions by the bytes going in, which says nothing about rows that grow a thousandfold. ``weight`` is the number of
+    rows after growing, where it is known."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * slots, *cols)
+    return df.repartition(max(2 * slots, -(-weight // TASK_ROWS)), *cols)

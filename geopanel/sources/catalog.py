@@ -15,7 +15,6 @@ SEGMENTS = {
     "secundaria": ("p_12a14",),
     "adolescencia": ("p_15a17",),
 }
-TOTAL_0_14 = {"total_0a14": ("p_0a2", "p_3a5", "p_6a11", "p_12a14")}
 DEFAULT_SEGMENT = "todas"
 
 # Branches and sectors.
@@ -59,6 +58,7 @@ COMMERCE_CELLS = {
     ),
     "farmacias": ("Farmacia con minisúper", "Farmacia sin minisúper"),
 }
+# The commerce cells of the essential-goods preset.
 ESSENTIAL_GOODS = ("supermercados_minisupers", "abarrotes", "frutas_verduras", "carnes_otros_alimentos")
 # Green cells -> count and area columns.
 GREEN_CELLS = {

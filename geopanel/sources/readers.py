@@ -74,9 +74,9 @@ def entity_editions(
     columns: dict[str, tuple[str, str]],
     header: Sequence[str] | None = None,
     cuts: dict[str, float] = CUT_LABELS,
-    check: bool = False,
+    check: bool = True,
 ) -> DataFrame:
-    """Any number of edition files in one scan. ``check`` fails on an id repeated within an edition."""
+    """Any number of edition files in one scan. An id repeated within an edition fails, unless ``check`` is off."""
     raw = text_csv(spark, paths, list(header or columns), list(columns))
     named = raw.select(*[F.col(f"`{c}`").cast(kind).alias(name) for c, (name, kind) in columns.items()], "_file")
     out = tagged(named, cuts)
@@ -112,7 +112,7 @@ def geojson_properties(spark: SparkSession, paths, properties: Sequence[str], li
     return _features(spark, paths, spec, lines).select("properties.*", "_file")
 
 
-def commerce_entities(spark: SparkSession, paths, lines: bool = True, cuts: dict[str, float] = CUT_LABELS, check: bool = False) -> DataFrame:
+def commerce_entities(spark: SparkSession, paths, lines: bool = True, cuts: dict[str, float] = CUT_LABELS, check: bool = True) -> DataFrame:
     raw = geojson_properties(spark, paths, list(COMMERCE_PROPERTIES), lines)
     named = raw.select(*[F.col(c).cast(kind).alias(name) for c, (name, kind) in COMMERCE_PROPERTIES.items()], "_file")
     out = tagged(named, cuts)
