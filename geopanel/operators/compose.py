@@ -41,6 +41,7 @@ class State:
     search: str = "oportunidad"
     min_confidence: float | None = None
     zero_missing_demand_rate: bool = True
+    only_published: bool = False
 
     @property
     def supply_horizon(self) -> str:
@@ -52,22 +53,25 @@ class State:
 
 
 def demand_levels(summary: DataFrame, state: State) -> DataFrame:
-    rate = "coalesce(rate_pct, 0D)" if state.zero_missing_demand_rate else "rate_pct"
-    return summary.where(f"branch = 'demanda' AND cell = '{state.segment}' AND horizon = '{state.horizon}'").selectExpr(
-        "unit", "grp", "level_base * (1 + coalesce(delta_pct, 0D) / 100) AS level_d", f"{rate} AS rate_d",
+    """Level and rate at the horizon; with ``only_published`` a unit without a published change has neither."""
+    change = "delta_pct" if state.only_published else "coalesce(delta_pct, 0D)"
+    rate = "coalesce(rate_pct, 0D)" if state.zero_missing_demand_rate else "if(delta_pct IS NULL, NULL, rate_pct)" if state.only_published else "rate_pct"
+    own = (F.col("branch") == "demanda") & (F.col("cell") == F.lit(state.segment)) & (F.col("horizon") == F.lit(state.horizon))
+    return summary.where(own).selectExpr(
+        "unit", "grp", f"level_base * (1 + {change} / 100) AS level_d", f"{rate} AS rate_d",
         "coalesce(confidence, 'baja') AS confidence", "reason",
     )
 
 
 def branch_levels(summary: DataFrame, state: State) -> DataFrame:
     """Base and horizon level per unit × branch, summed over the selected cells, with the implied rate."""
-    wanted = []
+    wanted = F.lit(False)
     for b in BRANCHES:
-        at = "actual" if b == UNPROJECTED else state.supply_horizon
-        chosen = ", ".join(f"'{c}'" for c in state.cells.get(b, ()))
-        wanted.append(f"(branch = '{b}' AND horizon = '{at}'{f' AND cell IN ({chosen})' if chosen else ''})")
+        own = (F.col("branch") == b) & (F.col("horizon") == ("actual" if b == UNPROJECTED else state.supply_horizon))
+        chosen = list(state.cells.get(b, ()))
+        wanted = wanted | (own & F.col("cell").isin(chosen) if chosen else own)
     sums = (
-        summary.where(" OR ".join(wanted))
+        summary.where(wanted)
         .groupBy("unit", "branch")
         .agg(
             F.expr("sum(coalesce(level_base, 0D))").alias("level_s0"),
@@ -79,9 +83,12 @@ def branch_levels(summary: DataFrame, state: State) -> DataFrame:
 
 
 def coverage_by_branch(summary: DataFrame, state: State) -> DataFrame:
-    """Unit × branch rows: every unit of the demand layer, NULL coverage where the branch is absent."""
+    """Unit × branch rows: every unit of the demand layer. Where a branch is absent, coverage is NULL, or with
+    ``only_published`` the branch counts as level and rate zero."""
     d = demand_levels(summary, state).withColumn("branch", F.explode(array_of(BRANCHES, "string")))
     joined = d.join(branch_levels(summary, state), ["unit", "branch"], "left")
+    if state.only_published:
+        joined = joined.withColumns({"rate_s": F.when(F.col("level_s").isNull(), F.lit(0.0)).otherwise(F.col("rate_s")), "level_s": F.coalesce("level_s", F.lit(0.0))})
     return joined.withColumn("coverage", per_thousand("level_s", "level_d"))
 
 
@@ -367,7 +374,7 @@ def sensitivity_totals(moves: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def published_sensitivity(summary: DataFrame, state: State = State(zero_missing_demand_rate=False)) -> DataFrame:
+def published_sensitivity(summary: DataFrame, state: State = State(zero_missing_demand_rate=False, only_published=True)) -> DataFrame:
     """Sensitivity on published levels, for the projected branches."""
     cov = coverage_by_branch(summary, state).where(F.col("branch").isin(*PROJECTED_BRANCHES))
     return sensitivity(cov, ["branch"])

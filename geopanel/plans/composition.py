@@ -216,13 +216,20 @@ def full(r: Roles):
     return compose.compose(r.summary, STATE)
 
 
+#: Published levels only: a unit without a change is not ranked, a branch without cells is level zero.
+_CBS = (
+    _CB.replace("CASE WHEN delta_pct IS NULL THEN level_base ELSE level_base * (1 + delta_pct / 100) END AS ld", "level_base * (1 + delta_pct / 100) AS ld")
+    .replace("rate_pct AS rdraw", "CASE WHEN delta_pct IS NOT NULL THEN rate_pct END AS rdraw")
+    .replace("OR b0 IS NULL THEN NULL WHEN b0 <= 0", "THEN NULL WHEN b0 IS NULL OR b0 <= 0").replace("s.branch = 'verde'", "b.branch = 'verde'")
+    .replace("THEN ls / ld * 1000 END", "THEN coalesce(ls, 0) / ld * 1000 END")
+)
 _SENS = f"""WITH_BASE SELECT {{cols}} FROM (
     SELECT branch, unit, max(CASE WHEN k = 3 THEN p END) AS lo, max(CASE WHEN k = 8 THEN p END) AS hi FROM (
         SELECT branch, unit, k, CASE WHEN o IS NOT NULL THEN {pct_sql('o', 'branch, k, (o IS NULL)')} END AS p FROM (
             SELECT branch, unit, k, {_CLIP.format(x='(1 - pr + greatest(-0.15e0, least(0.15e0, (rdraw - rs) / k)))')} AS o FROM (
-                SELECT *, CASE WHEN cov IS NOT NULL THEN {pct_sql('cov', 'branch, (cov IS NULL)')} END AS pr FROM ({_CB}) WHERE b.branch <> 'verde')
+                SELECT *, CASE WHEN cov IS NOT NULL THEN {pct_sql('cov', 'branch, (cov IS NULL)')} END AS pr FROM ({_CBS}) WHERE b.branch <> 'verde')
             CROSS JOIN (VALUES (3e0), (8e0)) k(k) )) GROUP BY 1, 2)"""
-_SENS = _SENS.replace("WITH_BASE ", "").replace(" WHERE b.branch <> 'verde'", "").replace(f"({_CB})", f"(SELECT * FROM ({_CB}) WHERE branch <> 'verde')")
+_SENS = _SENS.replace("WITH_BASE ", "").replace(" WHERE b.branch <> 'verde'", "").replace(f"({_CBS})", f"(SELECT * FROM ({_CBS}) WHERE branch <> 'verde')")
 # A missing rate must not be swallowed by greatest/least.
 _SENS = _SENS.replace("(1 - pr + greatest(-0.15e0, least(0.15e0, (rdraw - rs) / k)))", "(1 - pr + CASE WHEN rdraw - rs IS NOT NULL THEN greatest(-0.15e0, least(0.15e0, (rdraw - rs) / k)) END)")
 
