@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geopanel.llm.common import once_per_worker, texts
+from geopanel.session import materialised
 
 _SPELLED = regex.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)").findall
 #: Marks at the ends of a word that say nothing about it.
@@ -210,14 +211,25 @@ def choose_landmarks(sample: DataFrame, s: Settings) -> tuple[str, ...]:
     """Words that toxic texts hold more often than others, and eight that other texts hold most often."""
 
     def run(batches):
+        held: dict[str, list[int]] = {}
+
+        def counted():
+            cols = [pa.array(list(held), pa.string()), *(pa.array([n[k] for n in held.values()], pa.int64()) for k in (0, 1))]
+            return pa.RecordBatch.from_arrays(cols, ["word", "n0", "n1"])
+
         for b in batches:
             for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
                 bare = {w.lower().strip(_EDGES) for w in words_of(text)}
-                ws = list({w[:k] for w in bare for k in (4, 5, 6, s.stretch - 1) if len(w) >= 4} | {w for w in bare if 2 < len(w) < s.stretch})
-                yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array([label] * len(ws), pa.int32())], ["word", "label"])
-
-    counts = sample.select("label", "text").mapInArrow(run, "word string, label int").groupBy("word").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
-    sizes = sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+                for w in {w[:k] for w in bare for k in (4, 5, 6, s.stretch - 1) if len(w) >= 4} | {w for w in bare if 2 < len(w) < s.stretch}:
+                    held.setdefault(w, [0, 0])[label > 0] += 1
+                if len(held) > 500_000:
+                    yield counted()
+                    held = {}
+        yield counted()
+
+    parts = sample.select("label", "text").mapInArrow(run, "word string, n0 long, n1 long")
+    counts = materialised(parts.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 + n0 > 1"))
+    sizes = sample.groupBy(F.col("label").cast("boolean").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()
     total = {r["label"]: r["n"] for r in sizes}
     if set(total) != {0, 1}:
         return ()
@@ -285,7 +297,7 @@ def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
     """The model, or None without labels of both kinds. The driver sees ``sample`` rows of ``landmarks`` numbers."""
-    sample = labelled_sample(docs, labels, s)
+    sample = materialised(labelled_sample(docs, labels, s))
     words = choose_landmarks(sample, s)
     if not words:
         return None
