@@ -197,14 +197,24 @@ def record_violations(records: DataFrame, member: str, supply: bool, key_lengths
     return records.select(F.col("unit").cast("string").alias("unit"), member, "horizon", F.explode(_broken(checks)).alias("rule"))
 
 
-def completeness_violations(records: DataFrame, member: str, expected: Sequence[str], horizons: Sequence[str]) -> DataFrame:
-    """Units whose member set or horizon set differs from the catalogue."""
-    same = lambda c, want: F.array_sort(F.collect_set(c)) == array_of(sorted(want), "string")
+def completeness_violations(records: DataFrame, member: str, expected: Sequence[str], horizons: Sequence[str], universe: DataFrame | None = None) -> DataFrame:
+    """``unit, <member>, horizon, rule``: every expected pair that a unit lacks, every record outside the catalogue (with the
+    number of such records, not their names), and the units of ``universe`` without any record."""
+    pairs = [(m, h) for m in expected for h in horizons]
+    known = F.coalesce(F.col(member).isin(list(expected)) & F.col("horizon").isin(list(horizons)), F.lit(False))
+    held = lambda m, h: F.count_if((F.col(member) == m) & (F.col("horizon") == h))
     per_unit = records.groupBy("unit").agg(
-        same(member, expected).alias("members_ok"), same("horizon", horizons).alias("horizons_ok")
+        F.array(*[F.when(held(m, h) == 0, F.struct(F.lit(m).alias("m"), F.lit(h).alias("h"), F.lit("missing_pair").alias("rule"))) for m, h in pairs]).alias("missing"),
+        F.count_if(~known).alias("unknown"),
     )
-    checks = {"member_set": ~F.col("members_ok"), "horizon_set": ~F.col("horizons_ok")}
-    return per_unit.select(F.col("unit").cast("string").alias("unit"), F.explode(_broken(checks)).alias("rule"))
+    null = F.lit(None).cast("string")
+    outside = F.when(F.col("unknown") > 0, F.array(F.struct(null.alias("m"), null.alias("h"), F.lit("outside_catalogue").alias("rule")))).otherwise(F.array())
+    broken = per_unit.select(F.col("unit").cast("string").alias("unit"), F.explode(F.concat(F.filter("missing", lambda x: x.isNotNull()), outside)).alias("x"))
+    out = broken.select("unit", F.col("x.m").alias(member), F.col("x.h").alias("horizon"), F.col("x.rule").alias("rule"))
+    if universe is None:
+        return out
+    absent = universe.join(records.select("unit").distinct(), "unit", "left_anti")
+    return out.unionAll(absent.select(F.col("unit").cast("string"), null.alias(member), null.alias("horizon"), F.lit("no_records").alias("rule")))
 
 
 def header_violations(headers: DataFrame, group_level: bool = False) -> DataFrame:

@@ -159,10 +159,22 @@ def violations(r: Roles):
     return quality.record_violations(_broken(r), "segment", supply=False).select("unit", "horizon", "rule")
 
 
-@query("q07b_completeness_violations", with_ctes("pub", "supps", "segnames", body="SELECT CAST(unit AS VARCHAR) AS unit, unnest(CASE WHEN unit % 9 = 4 AND unit % 8 = 1 THEN ['member_set', 'horizon_set'] WHEN unit % 9 = 4 THEN ['member_set'] ELSE ['horizon_set'] END) AS rule FROM supps WHERE unit % 9 = 4 OR unit % 8 = 1"))
+@query(
+    "q07b_completeness_violations",
+    with_ctes(
+        "pub", "supps", "segnames",
+        body=f"""SELECT CAST(unit AS VARCHAR) AS unit, segment, horizon, 'missing_pair' AS rule FROM supps CROSS JOIN (SELECT unnest({list(catalog.SEGMENTS)}) AS segment) CROSS JOIN (SELECT unnest({list(H5)}) AS horizon)
+        WHERE unit % 12 <> 7 AND ((unit % 9 = 4 AND segment = 'primaria') OR (unit % 8 = 1 AND horizon = 'h5') OR (unit % 10 = 3 AND segment = 'todas' AND horizon = 'h1'))
+        UNION ALL SELECT CAST(unit AS VARCHAR), NULL, NULL, 'outside_catalogue' FROM supps WHERE unit % 12 <> 7 AND unit % 15 = 2
+        UNION ALL SELECT CAST(unit AS VARCHAR), NULL, NULL, 'no_records' FROM supps WHERE unit % 12 = 7""",
+    ),
+)
 def completeness(r: Roles):
-    gaps = _demand_layer(r).where("NOT (unit % 9 = 4 AND segment = 'primaria') AND NOT (unit % 8 = 1 AND horizon = 'h5')")
-    return quality.completeness_violations(gaps, "segment", list(catalog.SEGMENTS), H5)
+    """A missing member, a missing horizon, one missing pair, a record outside the catalogue, and units without records."""
+    layer = _demand_layer(r).where("unit % 12 <> 7").select("unit", "segment", "horizon")
+    extra = layer.where("unit % 15 = 2 AND segment = 'todas' AND horizon = 'h3'").withColumn("segment", F.lit("otra"))
+    gaps = layer.where("NOT (unit % 9 = 4 AND segment = 'primaria') AND NOT (unit % 8 = 1 AND horizon = 'h5') AND NOT (unit % 10 = 3 AND segment = 'todas' AND horizon = 'h1')")
+    return quality.completeness_violations(gaps.unionAll(extra), "segment", list(catalog.SEGMENTS), H5, r.suppliers.select("unit"))
 
 
 @query("q07c_header_violations", with_ctes("kparts", body="""SELECT unnest(list_filter([CASE WHEN min(grp) <> 'zzz' THEN 'version' END, CASE WHEN list_sort(list(DISTINCT grp)) <> list_transform(range(2, 18), lambda i: lpad(CAST(i AS VARCHAR), 3, '0')) THEN 'group_keys' END], lambda x: x IS NOT NULL)) AS rule FROM kparts"""))

@@ -90,7 +90,11 @@ def test_completeness_and_headers(spark):
     rows = [("a", s, h) for s in ("x", "y") for h in ("h1", "h3")] + [("b", "x", "h1"), ("b", "x", "h3"), ("c", "x", "h1"), ("c", "y", "h1")]
     df = spark.createDataFrame(rows, "unit string, segment string, horizon string")
     got = sorted(tuple(r) for r in quality.completeness_violations(df, "segment", ("x", "y"), ("h1", "h3")).collect())
-    assert got == [("b", "member_set"), ("c", "horizon_set")]
+    assert got == [("b", "y", "h1", "missing_pair"), ("b", "y", "h3", "missing_pair"), ("c", "x", "h3", "missing_pair"), ("c", "y", "h3", "missing_pair")]
+    planted = spark.createDataFrame([*rows[:4], ("d", "x", "h1"), ("d", "x", "h3"), ("d", "y", "h1"), ("e", "x", "h1"), ("e", "x", "h3"), ("e", "y", "h1"), ("e", "y", "h3"), ("e", "z", "h1")], df.schema)
+    universe = spark.createDataFrame([(u,) for u in "adef"], "unit string")
+    got = sorted((r.unit, r.rule) for r in quality.completeness_violations(planted, "segment", ("x", "y"), ("h1", "h3"), universe).collect())
+    assert got == [("d", "missing_pair"), ("e", "outside_catalogue"), ("f", "no_records")]
     heads = spark.createDataFrame([("1.4", ["h1", "h3", "h5"], list(quality.GROUP_CODES)), ("1.2", ["h3", "h1", "h5"], ["002"])], "version string, horizons array<string>, groups array<string>")
     assert sorted(r["rule"] for r in quality.header_violations(heads, group_level=True).collect()) == ["group_keys", "horizon_order", "version"]
 
