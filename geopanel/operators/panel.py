@@ -103,11 +103,15 @@ def demand_panel(
         "unit", F.col("segs").alias("_segs1"), F.lit(True).alias("_in_census")
     )
     earlier = census_segments(census, year0, segments).select(F.col("unit").alias("unit_prev"), F.col("segs").alias("_segs0"))
+    # Units without predecessor share the NULL key: a salt, zero for all others, keeps them from meeting in one task.
+    earlier = earlier.withColumn("_salt", F.pmod(F.xxhash64("unit_prev"), F.lit(1)))
+    salt = F.when(F.col("unit_prev").isNull(), F.pmod(F.xxhash64("unit"), F.lit(64))).otherwise(F.lit(0))
     joined = (
         universe.select("unit", "grp", "ambit")
         .join(later, "unit", "left")
         .join(crosswalk.select("unit", "unit_prev", "relation"), "unit", "left")
-        .join(earlier, "unit_prev", "left")
+        .withColumn("_salt", salt)
+        .join(earlier, ["unit_prev", "_salt"], "left")
         .withColumn("relation", F.expr("if(ambit = 'rural', NULL, coalesce(relation, 'sin_contraparte'))"))
     )
     names = ", ".join(f"'{n}'" for n in segments)

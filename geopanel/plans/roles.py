@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geopanel.functions import geometry as g
 from geopanel.operators import panel
 from geopanel.operators.calendar import Calendar
-from geopanel.session import materialised
+from geopanel.session import scratch_path
 from geopanel.sources.catalog import BANDS, SEGMENTS
 
 CAL = Calendar(t0=1995.5, t1=2000.5, t_base=2001.5, cuts=(1996.5, 1998.5, 2000.5), control_from=2000.5)
@@ -176,8 +176,10 @@ class Roles:
 
     @cached_property
     def summary(self) -> DataFrame:
-        """The published table written once: composition queries read it several times."""
-        return materialised(self.published)
+        """The published table written once, by branch and horizon, so that a query reads only those it names."""
+        path = scratch_path(self.spark, "summary")
+        self.published.write.partitionBy("branch", "horizon").parquet(path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def green_points(self) -> DataFrame:
