@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geopanel.llm.common import join_counted
 from geopanel.session import materialised
 
 
@@ -28,10 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
     before, now = None, _state(e)
     while now[0] and now != before:
         around = e.select(F.col("hi").alias("lo"), F.col("lo").alias("v")).unionAll(e.select("lo", F.col("hi").alias("v")))
-        least = around.groupBy("lo").agg(F.min("v").alias("m")).select("lo", F.least("lo", "m").alias("m"))
-        large = e.join(least, "lo").select("hi", F.col("m").alias("lo"))
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        down = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        least = around.groupBy("lo").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("lo", F.least("lo", "m").alias("m"), "n")
+        large = materialised(join_counted(e, least, "lo", now[0]).select("hi", F.col("m").alias("lo")))
+        small = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        down = join_counted(large, small, "hi", now[0]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         e = materialised(down.unionAll(small.select("hi", F.col("m").alias("lo"))).distinct())
         before, now = now, _state(e)
     nodes = e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

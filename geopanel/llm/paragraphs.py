@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geopanel.llm.common import SMALL, SPACE, Memo, once_per_worker, texts
+from geopanel.llm.common import SMALL, SPACE, Memo, join_counted, once_per_worker, texts
 from geopanel.llm.components import components
 from geopanel.session import materialised
 
@@ -170,7 +170,7 @@ def _arrow(docs: DataFrame, s: Settings, names: dict[str, str], **want) -> DataF
 
 
 def _mixed_groups(rows: DataFrame) -> DataFrame:
-    """Rows of band values that several paragraphs share, and all rows of band -1, from a stream sorted by band and value."""
+    """Rows of band values that several paragraphs share, and all rows of bands below zero, from a stream sorted by band and value."""
     def run(batches):
         held: list[pa.RecordBatch] = []
 
@@ -285,22 +285,26 @@ def repeated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
     b = [f"b{i}" for i in range(s.bands)]
     each = _arrow(plain, s, {"h": "long"} | dict.fromkeys(b, "long"), bands=True)
     nodes = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in b])
-    again = F.when(F.col("n") > 1, F.array(F.struct(F.lit(-1).alias("band"), F.col("h").alias("value")))).otherwise(F.array().cast("array<struct<band:int,value:bigint>>"))
+    count = F.least(F.col("n"), F.lit(2**30)).cast("int")  # bands below zero are counts of equal paragraphs
+    again = F.when(F.col("n") > 1, F.array(F.struct((-count).alias("band"), F.col("h").alias("value")))).otherwise(F.array().cast("array<struct<band:int,value:bigint>>"))
     deal = F.concat(again, F.array(*[F.struct(F.lit(i).alias("band"), F.col(x).alias("value")) for i, x in enumerate(b)]))
     rows = materialised(_mixed_groups(nodes.select("h", F.explode(deal).alias("x")).select("x.band", "x.value", "h")))
-    equal = rows.where("band = -1").select("h")
+    equal = rows.where("band < 0").select("h", (-F.col("band")).cast("long").alias("n"))
     close = rows.where("band >= 0")
     near = materialised(close.select("h").distinct())
     held = _arrow(plain, s, {"h": "long", "sets": "array<long>"}, sets=True)
     sets = materialised(_joined(held, near, "h", "left_semi", near.count()).groupBy("h").agg(F.first("sets").alias("sets")))
     edges = verified(_dealt_again(close.join(sets, "h"), s, most), s)
     tied = components(edges).select(F.col("node").alias("h"), "root")
-    keys = materialised(equal.unionAll(tied.select("h")).distinct().join(tied, "h", "left").select("h", F.coalesce("root", "h").alias("root")))
+    keys = equal.unionAll(tied.select("h", F.lit(1).cast("long"))).groupBy("h").agg(F.max("n").alias("n"))
+    keys = materialised(keys.join(tied, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "n"))
+    size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = _arrow(plain, s, {"h": "long", "doc_id": "long", "no": "int", "words": "int", "begin": "int", "end": "int"}, spans=True)
-    found = materialised(_joined(found, keys, "h", "inner", keys.count()).select("root", "doc_id", "no", "words", "begin", "end").distinct())
+    found = found.join(F.broadcast(keys), "h") if size[0] <= SMALL else join_counted(found, keys, "h", size[1])
+    found = materialised(found.select("root", "doc_id", "no", "words", "begin", "end").distinct())
     place = F.struct("doc_id", "no")
-    first = found.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("root", "first")
-    marked = found.join(first, "root").withColumn("removed", place != F.col("first"))
+    first = found.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("root", "first", "n")
+    marked = join_counted(found, materialised(first), "root", found.count()).withColumn("removed", place != F.col("first"))
     run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id", "removed").orderBy("no"))
     runs = marked.withColumn("run", run).groupBy("doc_id", "removed", "run").agg(
         F.min("no").alias("paragraph"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("n_words"),

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geopanel.llm.common import texts
+from geopanel.llm.common import join_counted, texts
 from geopanel.llm.components import components
 from geopanel.session import materialised
 
@@ -195,12 +195,13 @@ def links(rows: DataFrame, fixed: int, batch: int = 200_000) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = GROUP_ROWS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that can be reached) of every row."""
     prints = materialised(fingerprints(docs, id_col, text_col))
-    nodes = materialised(prints.groupBy("fp").agg(F.min("doc_id").alias("own")))
+    nodes = materialised(prints.groupBy("fp").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("n")))
     edges = None
     for fixed, rows in groups(nodes, limit):
         part = links(rows, fixed)
         edges = part if edges is None else edges.unionAll(part)
     tied = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp")
     least = tied.groupBy("root").agg(F.min("own").alias("component"))
-    named = nodes.join(tied.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "own").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(tied.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "own").alias("component_id"), "n")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_counted(prints, materialised(named), "fp", total).select("doc_id", "fp", "component_id")
