@@ -29,7 +29,7 @@ from geopanel.session import materialised
 
 BACKOFF, MILLION = 0.4, 1_000_000.0
 #: Bytes of text that close a batch, and words for each part of the count table.
-BATCH_BYTES, PART_WORDS = 8_000_000, 4_000_000
+BATCH_BYTES, PART_WORDS = 5_000_000, 1_000_000
 
 
 def batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -60,7 +60,7 @@ def batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
 
 
 def _hashes(_):
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w), 500_000)
+    return Memo(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,6 +82,7 @@ class Grams:
             at += n
         self.counts = np.array(counts, np.int64)
         word = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        del words, raw
         place = np.arange(word.size) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         self.at = [np.flatnonzero(place >= k) for k in range(order)]
         run, self.hash = word, []
