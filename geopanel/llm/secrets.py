@@ -2,7 +2,7 @@
 
 A candidate is a stretch of 16 or more characters of keys and tokens. Its features are its length, the shares of its character
 kinds and of the steps between kinds, how much of it the corpus' own word parts cover, and the words and marks beside it. The
-forest is trained on labelled findings and removes false positives. Trained trees become one SQL expression, so candidates
+forest is trained on labelled findings and removes false positives. A value in a published key format needs no judge. Trained trees become one SQL expression, so candidates
 are found, judged and replaced where the text stands: no row leaves its place, and nothing but SQL functions runs.
 
 Findings may be given with labels; without them they are labelled from the text: a candidate in a published key format, or one
@@ -114,12 +114,12 @@ def train(findings: DataFrame, words: list[str], sample: int = SAMPLE) -> str |
 def judged(docs: DataFrame, forest: str | None, words: list[str], text_col: str = "text") -> DataFrame:
     """Adds ``_gaps`` and ``_judged``: number, value and score of each candidate."""
     rows = with_candidates(docs, text_col)
+    known = f"c.value RLIKE r'{KNOWN}'"  # a published format needs no judge
     if forest is None:
-        rule = f"CAST(c.value RLIKE r'{KNOWN}' AS DOUBLE)"
-        return rows.withColumn("_judged", F.expr(f"transform(_found, c -> named_struct('i', c.i, 'value', c.value, 'score', {rule}))")).drop("_found")
+        return rows.withColumn("_judged", F.expr(f"transform(_found, c -> named_struct('i', c.i, 'value', c.value, 'score', CAST({known} AS DOUBLE)))")).drop("_found")
     vector = ", ".join(f"CAST({e} AS DOUBLE)" for e in features(words).values())
     measured = f"transform(_found, c -> named_struct('i', c.i, 'value', c.value, 'f', array({vector})))"
-    return rows.withColumn("_judged", F.expr(f"transform({measured}, c -> named_struct('i', c.i, 'value', c.value, 'score', {forest}))")).drop("_found")
+    return rows.withColumn("_judged", F.expr(f"transform({measured}, c -> named_struct('i', c.i, 'value', c.value, 'score', CASE WHEN {known} THEN 1D ELSE {forest} END))")).drop("_found")
 
 
 def scan(docs: DataFrame, forest: str | None, words: list[str], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
