@@ -34,12 +34,12 @@ def ascii_lower(c: Column) -> Column:
 FREQUENT = 1000
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each key and in ``n`` how many of all ``total`` rows hold it.
     Frequent keys, ``FREQUENT`` at most, go to every task, so their rows stay where they are; the others are shuffled."""
     frequent = F.col("n") * FREQUENT > total
     hot, cold = F.broadcast(table.where(frequent).drop("n")), table.where(~frequent).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*[key] if isinstance(key, str) else key), key, "left_anti").join(cold, key))
 
 
 class Memo(dict):

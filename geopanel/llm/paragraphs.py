@@ -8,6 +8,12 @@ bands find a pair at similarity 0.8 with probability 1 - 0.2**3, over 0.99. Coll
 are verified by the exact Jaccard similarity of the shingle sets, and links are clustered by connected components. Each cluster keeps its first occurrence
 (least document, then place); the others are removed where they form a run of at least ``run_words`` words.
 
+A linked paragraph is also an anchor: its text and the one of its first occurrence are compared word by word on both sides,
+over changed, missing and added words, and the longest stretch around it with a shingle similarity of 0.8 or more is a run
+too. Of two passages of more than fifty words with that similarity, unchanged words stand together for 25 words or more, so a
+passage with a changed word is taken whole although the paragraphs at the change and at its ends are not linked. Slices of
+the texts are compared, not whole ones; a stretch that goes on beyond its slices has anchors of its own there.
+
 A band's collisions are taken from one sorted stream. Within a band value the sets are compared through an index over
 their rarest shingles, so a frequent shingle alone makes no pairs; pairs that already lie in one cluster are left out.
 
@@ -39,6 +45,10 @@ class Settings:
     similarity: float = 0.8
     bands: int = 3
     run_words: int = 20
+    #: Words of a grid cell by which texts are sliced, words around it, and the longest change that a stretch goes over.
+    cell: int = 256
+    around: int = 128
+    change: int = 4
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -130,6 +140,7 @@ def paragraph_rows(raws: list[bytes], s: Settings, sets: bool = False, spans: bo
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if at.size else at
     place = np.arange(h.size) - np.repeat(start, size)
     out = {"at": at, "no": np.arange(at.size) - np.repeat(first, np.diff(np.r_[first, at.size])), "words": size}
+    out["word"] = start - (np.cumsum(counts) - counts)[at]
     out["h"] = np.add.reduceat(_mixed(h + _mixed(place.astype(np.uint64) + _MIX)), start) if start.size else h
     if spans:
         begin, end = word_spans(raws)
@@ -160,7 +171,7 @@ def _arrow(docs: DataFrame, s: Settings, names: dict[str, str], **want) -> DataF
             for lo in range(0, len(raws), 500):
                 got = paragraph_rows(raws[lo : lo + 500], s, **want)
                 cols = {"doc_id": pa.array(ids[lo + got["at"]], pa.int64()), "h": _signed(got["h"])}
-                cols |= {k: pa.array(got[k], pa.int32()) for k in ("no", "words", "begin", "end") if k in got}
+                cols |= {k: pa.array(got[k], pa.int32()) for k in ("no", "words", "word", "begin", "end") if k in got}
                 cols |= {f"b{i}": _signed(v) for i, v in enumerate(got.get("bands", ()))}
                 if want.get("sets"):
                     cols["sets"] = pa.ListArray.from_arrays(pa.array(got["edges"], pa.int32()), _signed(got["sets"]))
@@ -278,6 +289,131 @@ def _joined(left: DataFrame, right: DataFrame, on: str, how: str, rows: int) ->
     return left.join(F.broadcast(right) if rows <= SMALL else right, on, how)
 
 
+def slices(plain: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, cell, w0 (first word), b0 (its byte), p0 (its paragraph), starts (first words of the later paragraphs, counted
+    from w0) and raw of the wanted (doc_id, cell): two cells from the named one on and ``around`` words on both sides."""
+    each = materialised(wanted.groupBy("doc_id").agg(F.collect_set("cell").alias("cells")))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc_id, raw, cells in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("cells").to_pylist()):
+                begin, end = word_spans([raw])
+                h = word_hashes(raw.split())
+                start = cuts(h, np.zeros(h.size, np.int64), s.radius)
+                for cell in cells:
+                    lo, hi = max(0, cell * s.cell - s.around), min(h.size, (cell + 2) * s.cell + s.around)
+                    if lo < hi:
+                        p = int(np.searchsorted(start, lo, "right"))
+                        later = start[p : int(np.searchsorted(start, hi))] - lo
+                        rows.append((doc_id, cell, lo, int(begin[lo]), p - 1, later.tolist(), raw[begin[lo] : end[hi - 1]]))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "cell", "w0", "b0", "p0", "starts", "raw"])
+
+    rows = _joined(plain, each, "doc_id", "inner", each.count()).select("doc_id", "text", "cells")
+    return rows.mapInArrow(run, "doc_id long, cell long, w0 int, b0 int, p0 int, starts array<int>, raw binary").distinct()
+
+
+def _onward(a: np.ndarray, b: np.ndarray, i: int, j: int, s: Settings) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, words) of the equal stretches from (i, j) on, changes of a few words between them."""
+    steps = sorted(((x, y) for x in range(s.change + 1) for y in range(s.change + 1) if x or y), key=lambda t: (max(t), sum(t)))
+    out = []
+    while True:
+        n = min(a.size - i, b.size - j)
+        other = np.flatnonzero(a[i : i + n] != b[j : j + n])
+        n = int(other[0]) if other.size else n
+        if n:
+            out.append((i, j, n))
+        i, j, w = i + n, j + n, s.shingle
+        for x, y in steps:
+            if i + x + w <= a.size and j + y + w <= b.size and np.array_equal(a[i + x : i + x + w], b[j + y : j + y + w]):
+                i, j = i + x, j + y
+                break
+        else:
+            return out
+
+
+def stretch(a: np.ndarray, b: np.ndarray, i: int, j: int, size: int, s: Settings) -> tuple[int, int, int, int] | None:
+    """(begin, end) in both texts of the longest stretch around an anchor of ``size`` words at (i, j) whose shingle similarity
+    is high enough; None if the anchor's places have no shingle in common."""
+    for d in sorted(range(-s.shingle, s.shingle + 1), key=abs):
+        x, y = max(i, d - j, 0), max(i, d - j, 0) - i + j + d
+        if y < 0:
+            x, y = x - y, 0
+        n = min(size, a.size - x, b.size - y)
+        if n < s.shingle:
+            continue
+        run = np.convolve(a[x : x + n] == b[y : y + n], np.ones(s.shingle, np.int64), "valid") == s.shingle
+        if run.any():
+            k = int(np.argmax(run))
+            x, y = x + k, y + k
+            break
+    else:
+        return None
+    after = _onward(a, b, x, y, s)
+    before = [(x - p - n, y - q - n, n) for p, q, n in _onward(a[:x][::-1], b[:y][::-1], 0, 0, s)][::-1]
+    if before and before[-1][0] + before[-1][2] == x and before[-1][1] + before[-1][2] == y:
+        p, q, n = before.pop()
+        after[0] = (p, q, n + after[0][2])
+    p, q, n = (np.array(v, np.int64) for v in zip(*before, *after))
+    kept = np.r_[0, np.cumsum(np.maximum(n - s.shingle + 1, 0))]
+    both = kept[None, 1:] - kept[:-1, None]
+    of_a = np.maximum((p + n)[None, :] - p[:, None] - s.shingle + 1, 0)
+    of_b = np.maximum((q + n)[None, :] - q[:, None] - s.shingle + 1, 0)
+    good = np.triu(both >= s.similarity * (of_a + of_b - both)) & (both > 0)
+    if not good.any():
+        return None
+    u, v = np.unravel_index(int(np.argmax(np.where(good, of_b, -1))), good.shape)
+    return int(p[u]), int(p[v] + n[v]), int(q[u]), int(q[v] + n[v])
+
+
+def stretched(plain: DataFrame, marked: DataFrame, s: Settings) -> DataFrame:
+    """Both places of each stretch around linked paragraphs: doc_id, removed, lo, hi (words), paragraph, last (paragraphs),
+    begin, end (bytes) and first_id."""
+    anchors = marked.where("removed").where(F.col("words") >= s.shingle).select("doc_id", F.col("first.doc_id").alias("src"), "word", "words", (F.col("word") - F.col("first.word")).alias("shift"))
+    cell = lambda c: F.floor(c / s.cell)
+    asked = anchors.groupBy("doc_id", "src", "shift", cell(F.col("word")).alias("cell")).agg(F.min("word").alias("lo"), F.max(F.col("word") + F.col("words")).alias("hi"))
+    asked = asked.withColumn("src_cell", cell(F.col("lo") - F.col("shift"))).groupBy("doc_id", "src", "cell", "src_cell").agg(F.collect_list(F.struct("lo", "hi", "shift")).alias("asked"))
+    asked = materialised(asked)
+    counts = asked.groupBy("src", "src_cell").agg(F.count(F.lit(1)).alias("n"))
+    wanted = asked.select("doc_id", "cell").unionAll(asked.select("src", "src_cell")).distinct()
+    cut = materialised(slices(plain, wanted, s))
+    part = lambda p: F.struct("w0", "b0", "p0", "starts", "raw").alias(p)
+    first = cut.select(F.col("doc_id").alias("src"), F.col("cell").alias("src_cell"), part("a")).join(counts, ["src", "src_cell"])
+    total = asked.count()
+    rows = join_counted(asked, first, ["src", "src_cell"], total).join(cut.select("doc_id", "cell", part("b")), ["doc_id", "cell"])
+
+    def place(x: dict, begin: np.ndarray, end: np.ndarray, lo: int, hi: int) -> tuple[int, ...]:
+        no = lambda w: x["p0"] + int(np.searchsorted(x["starts"], w, "right"))
+        return x["w0"] + lo, x["w0"] + hi, no(lo), no(hi - 1), x["b0"] + int(begin[lo]), x["b0"] + int(end[hi - 1])
+
+    def run(batches):
+        for batch in batches:
+            out = set()
+            for r in batch.to_pylist():
+                a, b = r["a"], r["b"]
+                ha, hb = word_hashes(a["raw"].split()), word_hashes(b["raw"].split())
+                spans_a = spans_b = None
+                done: list[tuple[int, int, int]] = []
+                for x in sorted(r["asked"], key=lambda x: x["lo"]):
+                    if any(d == x["shift"] and lo <= x["lo"] and x["hi"] <= hi for lo, hi, d in done):
+                        continue
+                    got = stretch(ha, hb, x["lo"] - x["shift"] - a["w0"], x["lo"] - b["w0"], x["hi"] - x["lo"], s)
+                    if got is None or got[3] - got[2] < s.run_words:
+                        continue
+                    done.append((got[2] + b["w0"], got[3] + b["w0"], x["shift"]))
+                    spans_a, spans_b = spans_a or word_spans([a["raw"]]), spans_b or word_spans([b["raw"]])
+                    out.add((r["src"], False, *place(a, *spans_a, *got[:2]), r["src"]))
+                    out.add((r["doc_id"], True, *place(b, *spans_b, *got[2:]), r["src"]))
+            if out:
+                kinds = [pa.int64(), pa.bool_(), *[pa.int32()] * 6, pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "removed", "lo", "hi", "paragraph", "last", "begin", "end", "first_id"])
+
+    found = rows.select("doc_id", "src", "asked", "a", "b").mapInArrow(run, "doc_id long, removed boolean, lo int, hi int, paragraph int, last int, begin int, end int, first_id long")
+    return found.distinct()
+
+
 def repeated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", most: int = 20_000) -> DataFrame:
     """Runs of repeated paragraphs: doc_id, paragraph (first one's number), begin, end (bytes), n_words, n_paragraphs,
     removed (false where the run is the first occurrence), first_ids (documents that hold the first occurrences)."""
@@ -299,18 +435,37 @@ def repeated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
     keys = equal.unionAll(tied.select("h", F.lit(1).cast("long"))).groupBy("h").agg(F.max("n").alias("n"))
     keys = materialised(keys.join(tied, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "n"))
     size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    found = _arrow(plain, s, {"h": "long", "doc_id": "long", "no": "int", "words": "int", "begin": "int", "end": "int"}, spans=True)
+    found = _arrow(plain, s, {"h": "long", "doc_id": "long", "no": "int", "words": "int", "word": "int", "begin": "int", "end": "int"}, spans=True)
     found = found.join(F.broadcast(keys), "h") if size[0] <= SMALL else join_counted(found, keys, "h", size[1])
-    found = materialised(found.select("root", "doc_id", "no", "words", "begin", "end").distinct())
-    place = F.struct("doc_id", "no")
-    first = found.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("root", "first", "n")
-    marked = join_counted(found, materialised(first), "root", found.count()).withColumn("removed", place != F.col("first"))
+    found = materialised(found.select("root", "doc_id", "no", "words", "word", "begin", "end").distinct())
+    place = F.struct("doc_id", "no", "word")
+    first = found.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    first = first.where("first.doc_id <> last.doc_id OR first.no <> last.no").select("root", "first", "n")
+    other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("no") != F.col("first.no"))
+    marked = materialised(join_counted(found, materialised(first), "root", found.count()).withColumn("removed", other))
     run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id", "removed").orderBy("no"))
     runs = marked.withColumn("run", run).groupBy("doc_id", "removed", "run").agg(
-        F.min("no").alias("paragraph"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_paragraphs"), F.array_sort(F.collect_set("first.doc_id")).alias("first_ids"),
+        F.min("word").alias("lo"), F.max(F.col("word") + F.col("words")).alias("hi"), F.min("no").alias("paragraph"), F.max("no").alias("last"),
+        F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.collect_set("first.doc_id").alias("first_ids"),
+    )
+    spans = ["lo", "hi", "paragraph", "last", "begin", "end", "first_ids"]
+    runs = runs.where(F.col("n_words") >= s.run_words).select("doc_id", "removed", *spans)
+    more = stretched(plain, marked, s).groupBy("doc_id", "removed", "lo").agg(
+        F.max("hi").alias("hi"), F.min("paragraph").alias("paragraph"), F.max("last").alias("last"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.collect_set("first_id").alias("first_ids")
+    )
+    return _united(runs.unionByName(more))
+
+
+def _united(runs: DataFrame) -> DataFrame:
+    """Runs that overlap or follow each other in a document as one."""
+    so_far = Window.partitionBy("doc_id", "removed").orderBy("lo", "hi")
+    new = F.coalesce(F.col("lo") > F.max("hi").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = runs.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = runs.groupBy("doc_id", "removed", "run").agg(
+        F.min("paragraph").alias("paragraph"), F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("hi") - F.min("lo")).cast("long").alias("n_words"),
+        (F.max("last") - F.min("paragraph") + 1).cast("long").alias("n_paragraphs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("first_ids")))).alias("first_ids"),
     )
-    return runs.where(F.col("n_words") >= s.run_words).select("doc_id", "paragraph", "begin", "end", "n_words", "n_paragraphs", "removed", "first_ids")
+    return joined.select("doc_id", "paragraph", "begin", "end", "n_words", "n_paragraphs", "removed", "first_ids")
 
 
 def without_repeats(docs: DataFrame, runs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -90,3 +90,24 @@ def test_batches_do_not_change_paragraphs():
         assert sum(alone["words"]) == len(words)
         if words:
             assert t[alone["begin"][0] : alone["end"][0]].split() == words[: alone["words"][0]]
+
+
+def test_changed_passages_are_cut_whole(documents):
+    """Passages of 51 to 100 words with as many changed words as a similarity of 0.8 allows, at many places."""
+    rows, places = [], {}
+    for k, (size, changes) in enumerate([(51, (25,)), (60, (12,)), (60, (30,)), (60, (47,)), (75, (40,)), (100, (31, 67)), (100, (20, 80))] * 4):
+        passage = made_up(size, 2000 + k).split()
+        near = [f"new{k}" if i in changes else w for i, w in enumerate(passage)]
+        before = made_up(30 + k, 3000 + k).split()
+        rows.append((2 * k, f"{made_up(30 + 2 * k, 4000 + k)} {' '.join(passage)} {made_up(40, 5000 + k)}"))
+        rows.append((2 * k + 1, " ".join([*before, *near, made_up(40, 6000 + k)])))
+        places[2 * k + 1] = (" ".join(before) + " ", " ".join(near))
+    got = {r.doc_id: (r.begin, r.end, r.first_ids) for r in p.repeated(documents(rows)).where("removed").collect()}
+    whole = [i for i, (a, b) in places.items() if i in got and 0 <= len(a) - got[i][0] < 10 and 0 <= got[i][1] - len(a + b) < 10 and got[i][2] == [i - 1]]
+    assert len(whole) >= 0.95 * len(places) and set(got) <= set(places)
+
+
+def test_a_repeated_period_keeps_its_first_one(documents):
+    period = made_up(40, 77)
+    docs = documents([(1, " ".join([period] * 3))])
+    assert [r.text.strip() for r in p.without_repeats(docs, p.repeated(docs)).collect()] == [period]
