@@ -27,9 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each component the document with the least identifier stays, once; rows without one all stay."""
-    named = simhash_gray.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.where("doc_id IS NOT NULL").join(named, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """Operator 3: of each component the row with the least identifier stays (of rows with the same one, that with the least hash
+    of the text), once; rows without an identifier all stay. Rows are told apart by their texts, not by identifiers alone."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    kept = simhash_gray.least_rows(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_kept"), F.col("key").alias("_key"))
+    rows = docs.where("doc_id IS NOT NULL").withColumn("_row", key)
+    rows = rows.join(kept, (F.col("doc_id").cast("long") == F.col("_kept")) & (F.col("_row") == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
     return rows.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -46,12 +46,18 @@ def fingerprint(raw: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > h.size, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bool = False) -> DataFrame:
+    """doc_id and fp of every row; with ``key`` also the SHA-256 of its text."""
+    names = ["doc_id", "fp", *["key"] * key]
+
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(fingerprint, b.column("text").cast(pa.binary()).to_pylist()), pa.int64())], ["doc_id", "fp"])
+            fp = pa.array(map(fingerprint, b.column("text").cast(pa.binary()).to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp, *([b.column("key")] if key else [])], names)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = texts(docs, id_col, text_col)
+    rows = rows.withColumn("key", F.sha2("text", 256)) if key else rows
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", key string" * key)
 
 
 def _turned(code: Column, fixed: int, by: int) -> Column:
@@ -192,9 +198,10 @@ def links(rows: DataFrame, fixed: int, batch: int = 200_000) -> DataFrame:
     return rows.select("path", "key", "code", "fp").repartition("path", "key").sortWithinPartitions("path", "key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that can be reached) of every row."""
-    prints = materialised(fingerprints(docs, id_col, text_col))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = GROUP_ROWS, key: bool = False) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id that can be reached) of every row; with ``key`` also
+    tree (the least fingerprint of its component, which tells apart components with the same least doc_id) and the SHA-256 of its text."""
+    prints = materialised(fingerprints(docs, id_col, text_col, key))
     nodes = materialised(prints.groupBy("fp").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("n")))
     edges = None
     for fixed, rows in groups(nodes, limit):
@@ -202,6 +209,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         edges = part if edges is None else edges.unionAll(part)
     tied = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp")
     least = tied.groupBy("root").agg(F.min("own").alias("component"))
-    named = nodes.join(tied.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "own").alias("component_id"), "n")
+    named = nodes.join(tied.join(least, "root").select("fp", "root", "component"), "fp", "left")
+    named = named.select("fp", F.coalesce("component", "own").alias("component_id"), F.coalesce("root", "fp").alias("tree"), "n")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return join_counted(prints, materialised(named), "fp", total).select("doc_id", "fp", "component_id")
+    return join_counted(prints, materialised(named), "fp", total).select("doc_id", "fp", "component_id", *["tree", "key"] * key)
+
+
+def least_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and key of the first row of each component: its least doc_id, and the least key of the texts with it there."""
+    rows = near_duplicates(docs, id_col, text_col, key=True).where("doc_id = component_id")
+    # Two components may have the same least identifier; the tree that a fingerprint is in tells them apart.
+    return rows.groupBy("doc_id", "tree").agg(F.min("key").alias("key")).select("doc_id", "key")

@@ -51,3 +51,12 @@ def test_stages_take_odd_rows(spark, documents, odd_rows):
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
         stage(spark, docs, "/root/testdata/sf0.001").collect()
     assert packing.pieces(docs, corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"), 1024, 2).count() >= len(odd_rows)
+
+
+def test_texts_with_one_identifier_are_told_apart(spark, documents, odd_rows):
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, documents(odd_rows), "").collect()]
+    assert sorted(t for i, t in left if i == 5) == sorted(t for i, t in odd_rows if i == 5)
+    assert left.count((1, "a b c d e")) == 1
+    old, new = " ".join(f"u{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, documents([(3, old), (7, new), (7, old)]), "").collect()]
+    assert sorted(left) == [(3, old), (7, new)]
