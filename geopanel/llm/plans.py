@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geopanel.llm import ann_blocks, bpe_split, lm_score, packing, paragraphs, quality_ledger, secrets, simhash_gray, toxicity, url_filter
+from geopanel.llm import ann_blocks, bpe_split, lm_score, packing, paragraphs, piece_rounds, quality_ledger, secrets, simhash_gray, toxicity, url_filter
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -170,3 +170,9 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(score, 0::DOUBLE) AS
 def op2_lm_scoring(spark, sf_dir):
     """Bigram stupid-backoff score of every document, counts over all documents."""
     return lm_score.scored(table(spark, sf_dir, "documents"), order=2, min_count=2)
+
+
+@query("op13_sentencepiece_codec")
+def op13_sentencepiece_codec(spark, sf_dir):
+    """Token counts and digests of ids (end id included) and decoded text for every document."""
+    return piece_rounds.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
