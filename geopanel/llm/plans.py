@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geopanel.llm import ann_blocks, bpe_split, lm_score, packing, paragraphs, piece_rounds, quality_ledger, secrets, simhash_gray, toxicity, url_filter
+from geopanel.llm import ann_blocks, bpe_split, lm_score, packing, paragraphs, piece_rounds, quality_ledger, secrets, simhash_gray, token_links, toxicity, url_filter
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -176,3 +176,10 @@ def op2_lm_scoring(spark, sf_dir):
 def op13_sentencepiece_codec(spark, sf_dir):
     """Token counts and digests of ids (end id included) and decoded text for every document."""
     return piece_rounds.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two tokenizers for every document, and how common its links are in the corpus."""
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_links.aligned(table(spark, sf_dir, "documents"), *paths)
