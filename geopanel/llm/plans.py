@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geopanel.llm import ann_blocks, bpe_split, lm_score, packing, paragraphs, piece_rounds, quality_ledger, secrets, simhash_gray, token_links, toxicity, url_filter
+from geopanel.llm import ann_blocks, bpe_split, divergence, lm_score, packing, paragraphs, piece_rounds, quality_ledger, secrets, simhash_gray, token_links, toxicity, url_filter
 from geopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -183,3 +183,29 @@ def op12_token_alignment(spark, sf_dir):
     """Groups and links between the tokens of two tokenizers for every document, and how common its links are in the corpus."""
     paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return token_links.aligned(table(spark, sf_dir, "documents"), *paths)
+
+
+_DIVERGENCE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+w AS (SELECT k, lang, source, unnest(ts) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN t USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM t GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+g AS (SELECT DISTINCT lang, source FROM d),
+e AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 * (coalesce(c.n, 0) + 2) AS HUGEINT) // (coalesce(s.total, 0) + 2 * v.v) AS p,
+      1 + CAST(1000000000 * (t.n + 2) AS HUGEINT) // (v.total + 2 * v.v) AS q
+      FROM g JOIN t USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM e a JOIN e b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM e WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op11_source_divergence", _DIVERGENCE_SQL)
+def op11_source_divergence(spark, sf_dir):
+    """Divergence of every source from the others of its language, and the terms that set it apart."""
+    return divergence.audited(table(spark, sf_dir, "documents"))
