@@ -1,6 +1,7 @@
 """Secret scans: candidate strings judged by a random forest.
 
-A candidate is a stretch of 16 or more characters of keys and tokens. Its features are its length, the shares of its character
+A candidate is a value in a published key format, wherever it stands; a value of eight or more characters assigned to a word for secrets; or
+a stretch of 16 or more characters of keys and tokens. Its features are its length, the shares of its character
 kinds and of the steps between kinds, how much of it the corpus' own word parts cover, and the words and marks beside it. The
 forest is trained on labelled findings and removes false positives. A value in a published key format needs no judge. Trained trees become one SQL expression, so candidates
 are found, judged and replaced where the text stands: no row leaves its place, and nothing but SQL functions runs.
@@ -21,13 +22,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopanel.llm.common import texts
+from geopanel.llm.common import fresh, texts
 from geopanel.session import materialised
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}"
-#: Labelling rule: formats that issuers publish, and words for secrets before an assignment. Fixed values.
-KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
-ASSIGNED = r"(?i)(password|passwd|pwd|secret|token|api_?key|access_?key|credential|auth)[a-z_]*\s*[:=]+\s*[\"']?$"
+#: Formats that issuers publish, and words for secrets before an assignment. Fixed values.
+KNOWN = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-]))"
+ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key|credential|auth)[A-Za-z_]*\s*[:=]+\s*[\"']?"
+CANDIDATE = rf"{KNOWN}|{ASSIGNED}[^\s\"'<>]{{7,}}[^\s\"'<>.,;:)\]}}]|(?:(?!{KNOWN}|{ASSIGNED})[A-Za-z0-9+/_\-]){{16,}}"
 REPLACEMENT = "[SECRET]"
 SAMPLE, TREES, DEPTH, SEED = 10_000, 20, 6, 7
 #: Frequent words of the corpus that count as its dictionary.
@@ -62,12 +63,16 @@ def features(dictionary: list[str]) -> dict[str, str]:
     }
 
 
-def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``_gaps`` (the text between candidates) and ``_found`` (number, value, and up to 40 characters on both sides)."""
-    rows = docs.withColumn("_gaps", F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), CANDIDATE, -1))
-    rows = rows.withColumn("_values", F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(CANDIDATE), F.lit(0)))
-    found = "transform(_values, (v, i) -> named_struct('i', i, 'value', v, 'before', right(_gaps[i], 40), 'after', left(_gaps[i + 1], 40)))"
-    return rows.withColumn("_found", F.expr(found)).drop("_values")
+def with_candidates(docs: DataFrame, text_col: str, gaps: str, found: str) -> DataFrame:
+    """Adds ``gaps`` (the text between candidates) and ``found``: number, head (the assignment before it), value, and up to 40 characters
+    on both sides."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    (values,) = fresh(docs, "values")
+    rows = docs.withColumn(gaps, F.split(text, CANDIDATE, -1)).withColumn(values, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    rows = rows.withColumn(values, F.transform(values, lambda v: F.struct(F.regexp_extract(v, f"^{ASSIGNED}", 0).alias("head"), v.alias("whole"))))
+    each = f"""transform(`{values}`, (v, i) -> named_struct('i', i, 'head', v.head, 'value', substr(v.whole, length(v.head) + 1),
+               'before', right(concat(`{gaps}`[i], v.head), 40), 'after', left(`{gaps}`[i + 1], 40)))"""
+    return rows.withColumn(found, F.expr(each)).drop(values)
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY, text_col: str = "text") -> list[str]:
@@ -79,10 +84,12 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY, text_col: str = "text")
 
 def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(value, before, after, label) of every distinct candidate, labelled by the published formats and assignments."""
-    c = with_candidates(docs.select(F.col(f"`{text_col}`").alias("text"))).select(F.explode("_found").alias("c")).select("c.value", "c.before", "c.after").dropDuplicates(["value"])
+    c = with_candidates(docs.select(F.col(f"`{text_col}`").alias("text")), "text", "gaps", "found").select(F.explode("found").alias("c")).select("c.value", "c.before", "c.after")
     # a long word is no secret merely because it follows an assignment: it must mix letters and digits
-    secret = F.col("value").rlike(KNOWN) | (F.col("before").rlike(ASSIGNED) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
-    return c.withColumn("label", secret.cast("double"))
+    secret = F.col("value").rlike(KNOWN) | (F.col("before").rlike(ASSIGNED + "$") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
+    # of several contexts one that makes the value a secret counts
+    best = c.groupBy("value").agg(F.max(F.struct(secret.cast("double").alias("label"), "before", "after")).alias("c"))
+    return best.select("value", "c.before", "c.after", "c.label")
 
 
 def _tree_sql(node) -> str:
@@ -111,22 +118,24 @@ def train(findings: DataFrame, words: list[str], sample: int = SAMPLE) -> str |
     return "(" + " + ".join(trees) + f") / {len(trees)}"
 
 
-def judged(docs: DataFrame, forest: str | None, words: list[str], text_col: str = "text") -> DataFrame:
-    """Adds ``_gaps`` and ``_judged``: number, value and score of each candidate."""
-    rows = with_candidates(docs, text_col)
+def judged(docs: DataFrame, forest: str | None, words: list[str], text_col: str, gaps: str, found: str) -> DataFrame:
+    """Adds ``gaps`` and ``found``: number, head, value and score of each candidate."""
+    rows = with_candidates(docs, text_col, gaps, found)
     known = f"c.value RLIKE r'{KNOWN}'"  # a published format needs no judge
+    kept = "'i', c.i, 'head', c.head, 'value', c.value"
     if forest is None:
-        return rows.withColumn("_judged", F.expr(f"transform(_found, c -> named_struct('i', c.i, 'value', c.value, 'score', CAST({known} AS DOUBLE)))")).drop("_found")
+        return rows.withColumn(found, F.expr(f"transform(`{found}`, c -> named_struct({kept}, 'score', CAST({known} AS DOUBLE)))"))
     vector = ", ".join(f"CAST({e} AS DOUBLE)" for e in features(words).values())
-    measured = f"transform(_found, c -> named_struct('i', c.i, 'value', c.value, 'f', array({vector})))"
-    return rows.withColumn("_judged", F.expr(f"transform({measured}, c -> named_struct('i', c.i, 'value', c.value, 'score', CASE WHEN {known} THEN 1D ELSE {forest} END))")).drop("_found")
+    measured = f"transform(`{found}`, c -> named_struct({kept}, 'f', array({vector})))"
+    return rows.withColumn(found, F.expr(f"transform({measured}, c -> named_struct({kept}, 'score', CASE WHEN {known} THEN 1D ELSE {forest} END))"))
 
 
 def scan(docs: DataFrame, forest: str | None, words: list[str], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, begin (characters before it), length, known_format, score and sha256 of every secret."""
-    rows = judged(texts(docs, id_col, text_col), forest, words)
-    begin = "aggregate(slice(_gaps, 1, c.i + 1), 0L, (s, g) -> s + length(g)) + aggregate(slice(_judged, 1, c.i), 0L, (s, o) -> s + length(o.value))"
-    kept = f"transform(filter(_judged, c -> c.score >= {threshold}D), c -> named_struct('begin', {begin}, 'value', c.value, 'score', c.score))"
+    rows = judged(texts(docs, id_col, text_col), forest, words, "text", "gaps", "found")
+    before = "aggregate(slice(gaps, 1, c.i + 1), 0L, (s, g) -> s + length(g)) + aggregate(slice(found, 1, c.i), 0L, (s, o) -> s + length(o.head) + length(o.value))"
+    begin = f"{before} + length(c.head)"
+    kept = f"transform(filter(found, c -> c.score >= {threshold}D), c -> named_struct('begin', {begin}, 'value', c.value, 'score', c.score))"
     return rows.select("doc_id", F.explode(F.expr(kept)).alias("c")).select(
         "doc_id", F.col("c.begin").alias("begin"), F.length("c.value").alias("length"), F.col("c.value").rlike(KNOWN).alias("known_format"),
         F.col("c.score").alias("score"), F.sha2("c.value", 256).alias("value_sha256"),
@@ -135,8 +144,9 @@ def scan(docs: DataFrame, forest: str | None, words: list[str], threshold: float
 
 def redact(docs: DataFrame, forest: str | None, words: list[str], threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows with each secret in the text replaced."""
-    rows = judged(docs, forest, words, text_col)
-    pieces = f"flatten(transform(_judged, c -> array(_gaps[c.i], CASE WHEN c.score >= {threshold}D THEN '{REPLACEMENT}' ELSE c.value END)))"
-    secret = F.expr(f"exists(_judged, c -> c.score >= {threshold}D)")
-    text = F.when(secret, F.expr(f"array_join(concat({pieces}, array(_gaps[size(_judged)])), '')")).otherwise(F.col(f"`{text_col}`"))
+    gaps, found = fresh(docs, "gaps", "found")
+    rows = judged(docs, forest, words, text_col, gaps, found)
+    pieces = f"flatten(transform(`{found}`, c -> array(`{gaps}`[c.i], c.head, CASE WHEN c.score >= {threshold}D THEN '{REPLACEMENT}' ELSE c.value END)))"
+    secret = F.expr(f"exists(`{found}`, c -> c.score >= {threshold}D)")
+    text = F.when(secret, F.expr(f"array_join(concat({pieces}, array(`{gaps}`[size(`{found}`)])), '')")).otherwise(F.col(f"`{text_col}`"))
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -116,8 +116,8 @@ def stretches(word: str, size: int) -> list[str]:
 class Landmarks:
     """Kernel values of words against the landmarks, through a table from subsequence to the landmarks that hold it."""
 
-    def __init__(self, words: tuple[str, ...], s: Settings):
-        self.s, self.n = s, len(words)
+    def __init__(self, words: tuple[str, ...], s: Settings, limit: int = 160_000):
+        self.s, self.n, self.limit = s, len(words), limit
         owner, key, weight = subsequences([" " + w for w in words], s)  # landmarks are written as words begin: after a blank
         order = np.argsort(key, kind="stable")
         self.mark, self.weight = owner[order], weight[order]
@@ -133,8 +133,8 @@ class Landmarks:
     def kernel(self, stretches_: list[str]) -> np.ndarray:
         """Shared subsequences of each stretch with each landmark, both of length one."""
         out = np.zeros((len(stretches_), self.n), np.float32)
-        for at in range(0, len(stretches_), 20_000):
-            part = stretches_[at : at + 20_000]
+        for at in range(0, len(stretches_), 5_000):  # each meets many landmarks
+            part = stretches_[at : at + 5_000]
             owner, key, weight = subsequences(part, self.s)
             count = self.count[key]
             hit = count > 0
@@ -159,26 +159,46 @@ class Landmarks:
             longer = np.flatnonzero(count > k)
             best[longer] = np.maximum(best[longer], value[first[longer] + k])
         base = len(self.known)
-        while base + len(new) > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        if base + len(new) > len(self.values):
+            more = np.zeros((max(base + len(new), min(2 * len(self.values), self.limit)), self.n), np.float32)
+            more[:base] = self.values[:base]
+            self.values = more
         self.values[base : base + len(new)] = best[[index[w] for w in bare]]
         self.known.update(zip(new, range(base, base + len(new))))
 
-    def describe(self, several: list[str], limit: int = 200_000) -> np.ndarray:
+    def _closest(self, sets: list[set[str]], out: np.ndarray) -> None:
+        """Into ``out``, for each set of words and each landmark, the value of the closest word. No more than ``limit`` words are known at
+        a time: sets that together have more are taken one after the other, and one of more words in parts."""
+        new = set().union(*sets).difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self._forget()
+            new = set().union(*sets)
+        if len(new) <= self.limit:
+            for part in _cut(list(new), 20_000):
+                self._learn(part)
+            for i, ws in enumerate(sets):
+                if ws:
+                    out[i] = np.maximum(out[i], self.values[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].max(axis=0))
+        elif len(sets) > 1:
+            half = len(sets) // 2
+            self._closest(sets[:half], out[:half])
+            self._closest(sets[half:], out[half:])
+        else:
+            for part in _cut(list(sets[0]), self.limit // 2):
+                self._closest([set(part)], out)
+
+    def describe(self, several: list[str]) -> np.ndarray:
         """For each text and landmark the value of the text's closest word."""
         out = np.zeros((len(several), self.n), np.float32)
         for at in range(0, len(several), 200):
-            sets = [words_of(t) for t in several[at : at + 200]]
-            if len(self.known) > limit:
-                self._forget()
-            if new := list(set().union(*sets).difference(self.known)):
-                self._learn(new)
-            for i, ws in enumerate(sets):
-                if ws:
-                    out[at + i] = self.values[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].max(axis=0)
+            self._closest([words_of(t) for t in several[at : at + 200]], out[at : at + 200])
         return self.sharpened(out)
 
 
+def _cut(items: list, size: int):
+    return (items[at : at + size] for at in range(0, len(items), size))
+
+
 @dataclasses.dataclass(frozen=True)
 class Model:
     """Landmark words and the weights of their values (the Nyström map is already in them), offset, and logistic calibration."""
@@ -204,7 +224,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFram
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
-    return texts(docs).join(F.broadcast(chosen), "doc_id")
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id")
+    # An identifier may stand on any number of rows; its first text is taken.
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def choose_landmarks(sample: DataFrame, s: Settings) -> tuple[str, ...]:
@@ -328,23 +350,26 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; with ``keep`` all the row's own columns and ``predicted``."""
+    """doc_id, held_out, score and predicted of every row; with ``keep`` all the row's own columns and, last, ``predicted``
+    (with lines added to its name where the row has such a column)."""
     source = docs if keep else texts(docs, id_col, text_col)
     fields = [f.name for f in source.schema.fields]
-    if keep and "predicted" in fields:
-        raise ValueError("the rows already have a column 'predicted'")
+    flag = "predicted"
+    while keep and flag.lower() in map(str.lower, fields):
+        flag += "_"
 
     def run(batches):
         marks = once_per_worker(_landmarks, (model.words, model.settings)) if model else None
-        for b in batches:
-            texts_ = [t or "" for t in b.column(text_col if keep else "text").to_pylist()]
-            values = model.score(marks.describe(texts_)) if model else np.zeros(len(texts_))
-            predicted = pa.array((values >= model.settings.threshold).astype(np.int32) if model else np.zeros(len(texts_), np.int32))
-            if keep:
-                yield pa.RecordBatch.from_arrays([*b.columns, predicted], [*fields, "predicted"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values, pa.float64()), predicted], ["doc_id", "score", "predicted"])
+        for whole in batches:
+            for b in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                texts_ = [t or "" for t in b.column(text_col if keep else "text").to_pylist()]
+                values = model.score(marks.describe(texts_)) if model else np.zeros(len(texts_))
+                predicted = pa.array((values >= model.settings.threshold).astype(np.int32) if model else np.zeros(len(texts_), np.int32))
+                if keep:
+                    yield pa.RecordBatch.from_arrays([*b.columns, predicted], [*fields, flag])
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values, pa.float64()), predicted], ["doc_id", "score", "predicted"])
 
     if keep:
-        return source.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in source.schema.fields), T.StructField("predicted", T.IntegerType())]))
+        return source.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in source.schema.fields), T.StructField(flag, T.IntegerType())]))
     return source.mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")

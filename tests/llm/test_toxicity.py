@@ -63,3 +63,11 @@ def test_odd_rows(documents, odd_rows, trained, spark):
     assert {r.score for r in t.score(documents(odd_rows), None).collect()} == {0.0}
     kept = t.score(documents(odd_rows), trained[2], keep=True)
     assert kept.columns == ["doc_id", "text", "fp", "length", "predicted"] and kept.count() == len(odd_rows)
+
+
+def test_no_more_than_the_limit_of_words_is_known_and_values_stay_the_same():
+    s = t.Settings()
+    texts = [" ".join(f"w{i * k % 997}x{k}" for i in range(40 * k)) for k in range(1, 12)] + ["", "idiot id.i.ot"]
+    free, narrow = t.Landmarks(("idiot", "fool", "plain"), s), t.Landmarks(("idiot", "fool", "plain"), s, limit=64)
+    assert np.array_equal(free.describe(texts), narrow.describe(texts))
+    assert len(narrow.known) <= 64 and len(narrow.values) <= 4096
