@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the files of shuffles deleted that nothing refers to any more. Spark deletes them once the driver has collected its
+    garbage, which a driver with memory to spare rarely does; call it between the large steps of a long job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Expanded rows that one task should take.
 TASK_ROWS = 4_000_000
 
