@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geopanel.llm.common import SMALL, SPACE, Memo, join_counted, once_per_worker, texts
+from geopanel.llm.common import SMALL, SPACE, Memo, fresh, join_counted, once_per_worker, texts
 from geopanel.llm.components import components
-from geopanel.session import materialised
+from geopanel.session import let_go, materialised
 
 
 @dataclasses.dataclass(frozen=True)
@@ -379,6 +379,7 @@ def stretched(plain: DataFrame, marked: DataFrame, s: Settings) -> DataFrame:
     counts = asked.groupBy("src", "src_cell").agg(F.count(F.lit(1)).alias("n"))
     wanted = asked.select("doc_id", "cell").unionAll(asked.select("src", "src_cell")).distinct()
     cut = materialised(slices(plain, wanted, s))
+    let_go(plain.sparkSession)
     part = lambda p: F.struct("w0", "b0", "p0", "starts", "raw").alias(p)
     first = cut.select(F.col("doc_id").alias("src"), F.col("cell").alias("src_cell"), part("a")).join(counts, ["src", "src_cell"])
     total = asked.count()
@@ -430,10 +431,12 @@ def repeated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
     near = materialised(close.select("h").distinct())
     held = _arrow(plain, s, {"h": "long", "sets": "array<long>"}, sets=True)
     sets = materialised(_joined(held, near, "h", "left_semi", near.count()).groupBy("h").agg(F.first("sets").alias("sets")))
+    let_go(docs.sparkSession)
     edges = verified(_dealt_again(close.join(sets, "h"), s, most), s)
     tied = components(edges).select(F.col("node").alias("h"), "root")
     keys = equal.unionAll(tied.select("h", F.lit(1).cast("long"))).groupBy("h").agg(F.max("n").alias("n"))
     keys = materialised(keys.join(tied, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "n"))
+    let_go(docs.sparkSession)
     size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = _arrow(plain, s, {"h": "long", "doc_id": "long", "no": "int", "words": "int", "word": "int", "begin": "int", "end": "int"}, spans=True)
     found = found.join(F.broadcast(keys), "h") if size[0] <= SMALL else join_counted(found, keys, "h", size[1])
@@ -443,6 +446,7 @@ def repeated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
     first = first.where("first.doc_id <> last.doc_id OR first.no <> last.no").select("root", "first", "n")
     other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("no") != F.col("first.no"))
     marked = materialised(join_counted(found, materialised(first), "root", found.count()).withColumn("removed", other))
+    let_go(docs.sparkSession)
     run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id", "removed").orderBy("no"))
     runs = marked.withColumn("run", run).groupBy("doc_id", "removed", "run").agg(
         F.min("word").alias("lo"), F.max(F.col("word") + F.col("words")).alias("hi"), F.min("no").alias("paragraph"), F.max("no").alias("last"),
@@ -468,16 +472,33 @@ def _united(runs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "paragraph", "begin", "end", "n_words", "n_paragraphs", "removed", "first_ids")
 
 
+def row_keys(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with a number ``key`` for each text under an identifier: the identifier where it has one text, otherwise a number
+    below all identifiers made of both, so that an identifier's other texts are told apart (and come first, in the order of these numbers).
+    Rows without an identifier have none."""
+    ident = F.col(f"`{id_col}`").cast("long")
+    print_ = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), ident)
+    least, most, by = fresh(docs, "least", "most", "ident")
+    shared = docs.where(ident.isNotNull()).groupBy(ident.alias(by)).agg(F.min(print_).alias(least), F.max(print_).alias(most))
+    shared = materialised(shared.where(F.col(least) != F.col(most)).select(by))
+    few = shared.count()
+    rows = docs.join(F.broadcast(shared) if few <= SMALL else shared, ident == F.col(by), "left") if few else docs.withColumn(by, F.lit(None).cast("long"))
+    own = F.lit(-(2**63)) + F.shiftrightunsigned(print_, 2)
+    return rows.withColumn(key, F.when(F.col(by).isNull(), ident).otherwise(own)).drop(by)
+
+
 def without_repeats(docs: DataFrame, runs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows with the removed runs cut out of their texts; a row of whose words nothing is left goes."""
-    spans = runs.where("removed").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_cut"))
-    rows = docs.join(spans, docs[f"`{id_col}`"].cast("long") == spans["_cut_id"], "left").drop("_cut_id")
+    """The rows with the removed runs cut out of their texts; a row of whose words nothing is left goes. ``id_col`` is the column
+    that the runs were found by, one text for each of its values."""
+    owner, spans_of = fresh(docs, "cut_id", "cut")
+    spans = runs.where("removed").groupBy(F.col("doc_id").alias(owner)).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(spans_of))
+    rows = docs.join(spans, F.col(f"`{id_col}`").cast("long") == F.col(owner), "left").drop(owner)
     fields = docs.schema.fields
 
     def run(batches):
         for b in batches:
             texts_, keep = [], []
-            for text, cut in zip(b.column(text_col).to_pylist(), b.column("_cut").to_pylist()):
+            for text, cut in zip(b.column(text_col).to_pylist(), b.column(spans_of).to_pylist()):
                 if cut:
                     raw, at, parts = text.encode(), 0, []
                     for c in cut:

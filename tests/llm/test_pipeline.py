@@ -60,3 +60,24 @@ def test_texts_with_one_identifier_are_told_apart(spark, documents, odd_rows):
     old, new = " ".join(f"u{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
     left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, documents([(3, old), (7, new), (7, old)]), "").collect()]
     assert sorted(left) == [(3, old), (7, new)]
+
+
+def test_texts_that_share_an_identifier_are_cut_on_their_own(spark, documents):
+    passage, other = " ".join(f"ü{i}" for i in range(80)), " ".join(f"ßo{i * i}" for i in range(150))
+    rows = [(1, passage), (5, "before it " + passage), (5, other), (6, other + " and more"), (None, passage), (7, None)]
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.cut_repeats(spark, documents(rows), "").collect()), key=str)
+    assert (5, other) in left and (1, passage) not in left and (None, passage) in left and (7, None) in left
+    assert {t for i, t in left if i == 5} == {"before it " + passage, other}  # they come before the other identifiers
+    assert [t for i, t in left if i == 6] == ["and more"]
+
+
+@pytest.mark.parametrize("stage", ["drop_toxic", "drop_near_copies", "cut_repeats", "hide_secrets"])
+def test_stages_keep_columns_with_the_names_of_helpers(spark, stage):
+    names = ["predicted", "kept", "own", "row", "cut", "cut_id", "key", "gaps", "found", "values", "Row", "least", "most", "ident"]
+    docs = spark.createDataFrame([(1, "a b c d e", *names[:10], *names[11:])], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names if n != "Row"))
+    assert getattr(corpus_pipeline, stage)(spark, docs, "/root/testdata/sf0.001").collect() == docs.collect()
+
+
+@pytest.mark.parametrize("stage", ["drop_toxic", "drop_near_copies", "cut_repeats", "hide_secrets", "pack"])
+def test_stages_take_empty_tables(spark, documents, stage):
+    assert getattr(corpus_pipeline, stage)(spark, documents([]), "/root/testdata/sf0.001").collect() == []
