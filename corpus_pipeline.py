@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopanel.llm import packing, paragraphs, secrets, simhash_gray, toxicity
-from geopanel.llm.common import table
-from geopanel.session import scratch_path
+from geopanel.llm.common import fresh, table
+from geopanel.session import materialised, scratch_path
 
 CAPACITY, END = 1024, 2
 
@@ -30,16 +30,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each component the row with the least identifier stays (of rows with the same one, that with the least hash
     of the text), once; rows without an identifier all stay. Rows are told apart by their texts, not by identifiers alone."""
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    kept = simhash_gray.least_rows(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_kept"), F.col("key").alias("_key"))
-    rows = docs.where("doc_id IS NOT NULL").withColumn("_row", key)
-    rows = rows.join(kept, (F.col("doc_id").cast("long") == F.col("_kept")) & (F.col("_row") == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
+    owner, own, row = fresh(docs, "kept", "own", "row")
+    kept = simhash_gray.least_rows(docs.select("doc_id", "text")).select(F.col("doc_id").alias(owner), F.col("key").alias(own))
+    rows = docs.where("doc_id IS NOT NULL").withColumn(row, F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = rows.join(kept, (F.col("doc_id").cast("long") == F.col(owner)) & (F.col(row) == F.col(own)), "left_semi").dropDuplicates(["doc_id", row]).drop(row)
     return rows.unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: passages that an earlier document holds are cut out; a document of which nothing is left goes."""
-    return _counted(docs.columns, paragraphs.without_repeats(docs, paragraphs.repeated(docs)))
+    """Operator 6: passages that an earlier document holds are cut out; a document of which nothing is left goes. Texts that only share an
+    identifier are documents of their own; repeated rows are one document. Rows without an identifier stay as they are."""
+    (key,) = fresh(docs, "key")
+    keyed = materialised(paragraphs.row_keys(docs, key))
+    return _counted(docs.columns, paragraphs.without_repeats(keyed, paragraphs.repeated(keyed, id_col=key), id_col=key))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
