@@ -251,13 +251,13 @@ def reconcile_levels(units: DataFrame, groups: DataFrame, rtol: float = 0.05, ke
 
 def replicate_additivity(sim: DataFrame, rolled: DataFrame, keys: Sequence[str], span: float, tol: float = 1e-9) -> DataFrame:
     """Per group: largest relative gap, over replicates, between summed unit levels and the group level."""
-    long = sim.select(*keys, "grp", "base", F.posexplode("r").alias("rep", "x"))
-    sums = long.groupBy(*keys, "grp", "rep").agg(F.sum(F.col("base") * F.exp(F.col("x") * span)).alias("total"))
-    own = rolled.select(*keys, "grp", "base", F.posexplode("r").alias("rep", "x")).select(
-        *keys, "grp", "rep", (F.col("base") * F.exp(F.col("x") * span)).alias("level")
-    )
-    gap = F.abs(F.col("total") - F.col("level")) / F.abs(F.col("total"))
-    return own.join(sums, [*keys, "grp", "rep"]).groupBy(*keys, "grp").agg((F.max(gap) < tol).alias("additive"), F.count(F.lit(1)).alias("n_rep"))
+    from geopanel.operators.replicate import vector_sums
+
+    shape = lambda x: F.col("base") * F.exp(x * span)
+    sums = vector_sums(sim, [*keys, "grp"], {"total": F.col("r")}, shape, {}, ["base"])
+    own = rolled.select(*keys, "grp", F.transform("r", shape).alias("level"))
+    gap = F.zip_with("total", "level", lambda a, b: F.abs(a - b) / F.abs(a))
+    return own.join(sums, [*keys, "grp"]).select(*keys, "grp", (F.array_max(gap) < tol).alias("additive"), F.size("total").cast("long").alias("n_rep"))
 
 
 # --- keys and cells ----------------------------------------------------------------------------

@@ -1,9 +1,10 @@
 """Replicate-based projection.
 
 A simulation is one row per unit holding its replicate rates as arrays of a fixed length
-(``n_sim``), so summaries need no shuffle. Only where units combine within a replicate (ratio
-control, roll-up) are replicates exploded, and those sums are combined map-side per
-(group, replicate), whatever the size of a group.
+(``n_sim``), so summaries need no shuffle. Where units combine within a replicate (ratio control,
+roll-ups, levels of several cells) arrays are added element by element: a row is dealt into
+chunks of ``CHUNK`` replicates, each chunk is one row of sums, and these are combined map-side per
+(group, chunk). A group of any size costs ``n_sim / CHUNK`` rows for each task that holds some of it.
 
 Columns of a simulation: keys, ``unit, grp, n_obs, base, conf_base, cap``, ``r`` (array) and
 ``r_fixed`` (array of arrays, one per fixed persistence; empty for supply).
@@ -11,7 +12,7 @@ Columns of a simulation: keys, ``unit, grp, n_obs, base, conf_base, cap``, ``r``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,37 @@ MAX_RATE = 20.0  # fixed value: numeric guard before exp()
 FIXED_PERSISTENCE = (0.25, 0.60, 1.00)  # fixed values
 
 
+#: Replicates that one row of partial sums holds.
+CHUNK = 32
+
+
 def replicates(df: DataFrame, n_sim: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_sim - 1))))
 
 
+def vector_sums(df: DataFrame, keys: Sequence[str], vectors: dict[str, Column], shape: Callable[[Column], Column], totals: dict[str, Column], plain: Sequence[str] = ()) -> DataFrame:
+    """Element-wise sums over the rows of each key: for each of ``vectors`` (arrays of one length) the sums of ``shape(element)`` as
+    an array. ``totals`` are aggregates of the same rows; ``plain`` names the columns that ``shape`` and ``totals`` read besides."""
+    keys, names = list(keys), list(vectors)
+    # Columns of their own first: inside the chunks an expression would be evaluated for each of them.
+    held = df.select(*keys, *plain, *[v.alias(f"_v{i}") for i, v in enumerate(vectors.values())])
+
+    def chunks(i: int) -> Column:
+        last = F.ceil(F.size(f"_v{i}") / CHUNK).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda c: F.struct(F.lit(i).alias("v"), c.alias("c"), F.slice(f"_v{i}", c * CHUNK + 1, CHUNK).alias("x")))
+
+    rows = held.select(*keys, *plain, F.explode(F.flatten(F.array(*[chunks(i) for i in range(len(names))]))).alias("_chunk"))
+    element = lambda i: shape(F.get(F.col("_chunk.x"), F.lit(i)))
+    sums = rows.groupBy(*keys, F.col("_chunk.v").alias("_v"), F.col("_chunk.c").alias("_c")).agg(
+        *[c.alias(n) for n, c in totals.items()], *[F.sum(element(i)).alias(f"_s{i}") for i in range(CHUNK)]
+    )
+    # One entry for each chunk: bounded by the number of replicates.
+    part = F.struct("_v", "_c", F.array(*[f"_s{i}" for i in range(CHUNK)]).alias("s"))
+    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("_parts"), *[F.max(n).alias(n) for n in totals])  # totals are equal on every chunk
+    whole = lambda i: F.filter(F.flatten(F.transform(F.filter("_parts", lambda p: p["_v"] == i), lambda p: p["s"])), lambda x: x.isNotNull())
+    return packed.select(*keys, *totals, *[whole(i).alias(n) for i, n in enumerate(names)])
+
+
 def _bounded(r: Column) -> Column:
     return F.least(F.greatest(r, F.lit(-MAX_RATE)), F.lit(MAX_RATE))
 
@@ -85,40 +113,29 @@ def simulate_demand(
     materialised once."""
     keys = list(keys)
     inputs = materialised(inputs)
-    # Replicates multiply each row: partitions follow rows times replicates, not bytes.
-    inputs = spread(inputs, "unit", weight=inputs.count() * n_sim)
     span = cal.demand_span
     uid = unit_id if unit_id is not None else F.col("unit")
     gid = group_id if group_id is not None else F.xxhash64("grp")
-    units = inputs.withColumn("_uid", uid).withColumn("_gid", gid)
-
-    z = draws.normal(F.col("_uid"), F.col("rep"), 1, source, seed)
-    long = replicates(units, n_sim).withColumn("_dev", F.col("r_tilde") + z * F.col("sd") - F.col("rho"))
-    lams = _persistences(F.col("rep"), source, seed, fixed, lam)
-    level = lambda l: F.sum(F.col("base") * F.exp((F.col("rho_future") + l * F.col("_dev")) * span))
-    sums = long.groupBy(*keys, "grp", "_gid", "rep").agg(
-        F.sum("base").alias("_base"),
-        F.first("ratio").alias("_ratio"),
-        F.first("shock_sd").alias("_shock"),
-        *[level(l).alias(f"_p{i}") for i, l in enumerate(lams)],
-    )
-    shock = draws.normal(F.col("_gid"), F.col("rep"), 2, source, seed) * F.col("_shock")
-    shift = lambda i: F.log(F.col("_ratio") * F.col("_base") / F.col(f"_p{i}")) / span + shock
-    row = F.struct("rep", *[shift(i).alias(f"k{i}") for i in range(len(lams))])
-    # n_sim entries per group: bounded by the parameter.
-    packed = sums.groupBy(*keys, "grp").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    part = lambda k: F.transform("_rows", lambda s: s[k]).alias(f"_{k}")
-    shifts = packed.select(*keys, "grp", *[part(f"k{i}") for i in range(len(lams))])
-
-    joined = with_groups(units, shifts, [*keys, "grp"], width=n_sim * len(lams))
-    z_at = lambda rep: draws.normal(F.col("_uid"), rep, 1, source, seed)
-    dev = F.transform("_k0", lambda _, rep: F.col("r_tilde") + z_at(rep) * F.col("sd") - F.col("rho"))
-    joined = joined.withColumn("_dev", dev)
-
-    def rates(i: int) -> Column:
-        share = lambda rep: _persistences(rep, source, seed, fixed, lam)[i]
-        pull = F.transform("_dev", lambda d, rep: F.col("rho_future") + share(rep) * d)
-        return F.zip_with(pull, f"_k{i}", lambda p, k: _bounded(p + k))
+    reps = F.sequence(F.lit(0), F.lit(n_sim - 1))
+    # Draws multiply each row: partitions follow rows times replicates, not bytes.
+    units = spread(inputs, "unit", weight=inputs.count() * n_sim).withColumn("_gid", gid)
+    draw = lambda rep: F.col("r_tilde") + draws.normal(uid, rep, 1, source, seed) * F.col("sd") - F.col("rho")
+    units = materialised(units.withColumn("_dev", F.transform(reps, draw)))
+
+    def pull(i: int) -> Column:
+        share = lambda rep: _persistences(rep, source, seed, fixed, lam)[i]
+        return F.transform("_dev", lambda dev, rep: F.col("rho_future") + share(rep) * dev)
+
+    pulls = {f"_p{i}": pull(i) for i in range(1 + len(fixed))}
+    level = lambda x: F.col("base") * F.exp(x * span)
+    first = {"_base": F.sum("base"), "_ratio": F.first("ratio"), "_shock": F.first("shock_sd")}
+    sums = vector_sums(units, [*keys, "grp", "_gid"], pulls, level, first, ["base", "ratio", "shock_sd"])
+    sums = sums.withColumn("_z", F.transform(reps, lambda rep: draws.normal(F.col("_gid"), rep, 2, source, seed) * F.col("_shock")))
+    shift = lambda p: F.zip_with(p, "_z", lambda total, z: F.log(F.col("_ratio") * F.col("_base") / total) / span + z)
+    shifts = sums.select(*keys, "grp", *[shift(f"_p{i}").alias(f"_k{i}") for i in range(len(pulls))])
+    joined = with_groups(units, shifts, [*keys, "grp"], width=n_sim * len(pulls))
+
+    rates = lambda i: F.zip_with(pull(i), f"_k{i}", lambda p, k: _bounded(p + k))
 
     return joined.select(
         *keys, "unit", "grp", "n_obs", "base", "conf_base", "cap",
@@ -161,36 +178,24 @@ def simulate_supply(
 
 def roll_up(sim: DataFrame, keys: Sequence[str], span: float, demand: bool, root: str | None = None) -> DataFrame:
     """Add projected levels per replicate within each group; the group rate is their log ratio to the
-    summed base. Groups with base 0 have no rate and drop out. ``root`` aggregates everything into one."""
-    keys = list(keys)
+    summed base. Groups with base 0 have no rate and drop out. ``root`` aggregates everything into one; it may be given the
+    groups' own roll-up, whose levels add up to the same."""
+    keys, n_fixed = list(keys), len(FIXED_PERSISTENCE) if demand else 0
     src = sim.withColumn("grp", F.lit(root)) if root else sim
-    n_fixed = len(FIXED_PERSISTENCE) if demand else 0
-    parts = [F.col("r").alias("m"), *[F.get(F.col("r_fixed"), F.lit(i)).alias(f"f{i}") for i in range(n_fixed)]]
-    names = ["m", *[f"f{i}" for i in range(n_fixed)]]
-    long = src.select(*keys, "grp", "base", "n_obs", "conf_base", F.posexplode(F.arrays_zip(*parts)).alias("rep", "v"))
-    sums = long.groupBy(*keys, "grp", "rep").agg(
-        F.sum("base").alias("base"),
-        F.max("n_obs").alias("n_obs"),
-        F.sum("conf_base").alias("conf_base"),
-        *[F.expr(f"sum(base * exp(v.{c} * {float(span)!r}D))").alias(c) for c in names],
-    )
-    rate = lambda c: F.expr(f"ln({c} / base) / {float(span)!r}D").alias(c)
-    # n_sim entries per group: bounded by the parameter.
-    packed = sums.where("base > 0").groupBy(*keys, "grp").agg(
-        F.array_sort(F.collect_list(F.struct("rep", *[rate(c) for c in names]))).alias("_rows"),
-        *[F.max(c).alias(c) for c in ("base", "n_obs", "conf_base")],  # equal on every replicate
-    )
-    pick = lambda c: F.transform("_rows", lambda x: x[c])
-    fixed = F.array(*[pick(f"f{i}") for i in range(n_fixed)]) if n_fixed else F.array().cast("array<array<double>>")
-    return packed.select(
+    vectors = {"m": F.col("r")} | {f"f{i}": F.get(F.col("r_fixed"), F.lit(i)) for i in range(n_fixed)}
+    totals = {"total": F.sum("base"), "most_obs": F.max("n_obs"), "total_conf": F.sum("conf_base")}
+    sums = vector_sums(src, [*keys, "grp"], vectors, lambda x: F.col("base") * F.exp(x * float(span)), totals, ["base", "n_obs", "conf_base"])
+    rate = lambda c: F.transform(c, lambda level: F.log(level / F.col("total")) / float(span))
+    fixed = F.array(*[rate(f"f{i}") for i in range(n_fixed)]) if n_fixed else F.array().cast("array<array<double>>")
+    return sums.where("total > 0").select(
         *keys,
         F.col("grp").alias("unit"),
         "grp",
-        "n_obs",
-        "base",
-        "conf_base",
+        F.col("most_obs").alias("n_obs"),
+        F.col("total").alias("base"),
+        F.col("total_conf").alias("conf_base"),
         F.lit(None if demand else "media").cast("string").alias("cap"),
-        pick("m").alias("r"),
+        rate("m").alias("r"),
         fixed.alias("r_fixed"),
     )
 
@@ -268,14 +273,15 @@ def summed_levels(sim: DataFrame, universe: DataFrame, keys: Sequence[str], t0:
 
     ``keys`` are kept (e.g. branch); the universe is expected to carry them.
     """
-    long = replicate_levels(sim, t0, t).select(*keys, "unit", F.posexplode("levels").alias("rep", "level"))
-    sums = long.groupBy(*keys, "unit", "rep").agg(F.sum("level").alias("level"))
-    packed = sums.groupBy(*keys, "unit").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rep", "level"))), lambda x: x["level"]).alias("levels")
-    )
+    packed = vector_sums(sim, [*keys, "unit"], {"levels": F.col("r")}, lambda x: F.col("base") * F.exp(x * (t - t0)), {}, ["base"])
     return universe.join(packed, [*keys, "unit"], "left")
 
 
+def group_levels(sim: DataFrame, keys: Sequence[str], t0: float, t: float) -> DataFrame:
+    """Replicate levels added up within each group."""
+    return vector_sums(sim, [*keys, "grp"], {"levels": F.col("r")}, lambda x: F.col("base") * F.exp(x * (t - t0)), {}, ["base"])
+
+
 def coverage_replicates(supply: str, demand: str) -> Column:
     """Per replicate: supply / demand × 1000; NULL where demand is not positive, missing supply is 0."""
     s, d = F.col(supply), F.col(demand)

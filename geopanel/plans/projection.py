@@ -182,9 +182,8 @@ def level(r: Roles):
 
 @query("m12_level_per_replicate", supply_sql(f"SELECT cell, grp, rep, {r6('sum(s2 * exp(r * 4))')} AS level FROM ssim GROUP BY 1, 2, 3"))
 def levels(r: Roles):
-    sim = replicate.replicate_levels(_supply_sim(r), CAL.cuts[-1], CAL.t_base + 3)
-    long = sim.select("cell", "grp", F.posexplode("levels").alias("rep", "level"))
-    return long.groupBy("cell", "grp", "rep").agg(F.sum("level").alias("level"))
+    sums = replicate.group_levels(_supply_sim(r), ["cell"], CAL.cuts[-1], CAL.t_base + 3)
+    return sums.select("cell", "grp", F.posexplode("levels").alias("rep", "level"))
 
 
 def both_sims_sql(body: str) -> str:
@@ -211,13 +210,13 @@ def coverage(r: Roles):
 @query("e07_ratio_control", sim_sql(f"SELECT segment, grp, rep, {r6('sum(base * exp((r - z) * 6)) / sum(base)')} AS ratio FROM (SELECT s.*, {normal_sql('grp', 'rep', 2)} * shock AS z FROM sim s JOIN (SELECT segment, unit, shock FROM post) USING (segment, unit)) WHERE lam = 0 GROUP BY 1, 2, 3"))
 def ratio_control(r: Roles):
     """Before the shared shock, projected over base equals the control ratio in every replicate."""
-    inputs = _inputs(r)
-    sim = _demand_sim(r)
-    shocks = inputs.select("segment", "unit", "shock_sd")
-    long = sim.join(shocks, ["segment", "unit"]).select("segment", "grp", "base", "shock_sd", F.posexplode("r").alias("rep", "r"))
+    shocks = _inputs(r).groupBy("segment", "grp").agg(F.first("shock_sd").alias("shock_sd"))
+    level = lambda x: F.col("base") * F.exp(x * CAL.demand_span)
+    sums = replicate.vector_sums(_demand_sim(r), ["segment", "grp"], {"levels": F.col("r")}, level, {"total": F.sum("base")}, ["base"]).join(shocks, ["segment", "grp"])
+    rows = sums.select("segment", "grp", "total", "shock_sd", F.posexplode("levels").alias("rep", "level"))
+    # the shock is one for a group and replicate
     z = draws.normal(F.col("grp"), F.col("rep"), 2, "r2") * F.col("shock_sd")
-    level = F.col("base") * F.exp((F.col("r") - z) * CAL.demand_span)
-    return long.groupBy("segment", "grp", "rep").agg((F.sum(level) / F.sum("base")).alias("ratio"))
+    return rows.select("segment", "grp", "rep", (F.col("level") * F.exp(-z * CAL.demand_span) / F.col("total")).alias("ratio"))
 
 
 @query("q09_replicate_additivity", sim_sql("SELECT segment, grp, true AS additive, count(DISTINCT rep) AS n_rep FROM sim WHERE lam = 0 GROUP BY 1, 2"))

@@ -26,7 +26,8 @@ def rollup(r: Roles):
     supply_sql(f"SELECT cell, rep, {r6('ln(sum(s2 * exp(x * 4)) / sum(s2)) / 4')} AS r, CAST(sum(s2) AS DOUBLE) AS base FROM ({_SIM}) GROUP BY 1, 2 HAVING sum(s2) > 0"),
 )
 def root(r: Roles):
-    rolled = replicate.roll_up(_supply_sim(r), ["cell"], CAL.supply_span, demand=False, root="root")
+    groups = replicate.roll_up(_supply_sim(r), ["cell"], CAL.supply_span, demand=False)
+    rolled = replicate.roll_up(groups, ["cell"], CAL.supply_span, demand=False, root="root")
     return rolled.select("cell", "base", F.posexplode("r").alias("rep", "r"))
 
 

@@ -155,7 +155,7 @@ def adoption(r: Roles):
 
 
 @query("b12_backtest_run", folds_sql(f"""SELECT 'thinning' AS part, estimator || ' ' || frac AS item, {r6('mae_pp')} AS value FROM ({_T}) UNION ALL SELECT 'leave_group_out', '', {r6('mae_pp')} FROM ({metrics_sql('lfold', '')})
-    UNION ALL SELECT 'supply', estimator, {r6('mae_pp')} FROM ({_S}) UNION ALL SELECT 'adoption', reason, CASE WHEN adopted THEN 1e0 ELSE 0e0 END FROM ({ADOPT})"""))
+    UNION ALL SELECT 'supply', estimator, {r6('mae_pp')} FROM ({_S}) UNION ALL SELECT 'adoption', failed_checks, CASE WHEN adopted THEN 1e0 ELSE 0e0 END FROM ({ADOPT})"""))
 def run(r: Roles):
     """Every table of the run folded into one list."""
     t = backtest.run(r.demand_all, r.part_supply, r.control, CAL, source="r2")
@@ -164,7 +164,7 @@ def run(r: Roles):
         row(t["thinning"], "thinning", F.concat_ws(" ", "estimator", F.col("frac").cast("string")), F.col("mae_pp"))
         .union(row(t["leave_group_out"], "leave_group_out", F.lit(""), F.col("mae_pp")))
         .union(row(t["supply"], "supply", F.col("estimator"), F.col("mae_pp")))
-        .union(row(t["adoption"], "adoption", F.col("reason"), F.col("adopted").cast("int")))
+        .union(row(t["adoption"], "adoption", F.col("failed_checks"), F.col("adopted").cast("int")))
     )
 
 
