@@ -151,12 +151,26 @@ def document_rows(nested_rows: DataFrame, field: str) -> DataFrame:
     return nested_rows.select("unit", F.to_json(body, {"ignoreNullFields": "false"}).alias("doc"))
 
 
-def verdict_distribution(layer_rows: DataFrame) -> DataFrame:
-    """Units per group × horizon × verdict, absent verdicts as zeros."""
-    counts = layer_rows.groupBy("grp", "horizon").agg(
-        *[F.count_if(F.col("verdict") == v).alias(v) for v in rules.VERDICTS]
-    )
-    return counts
+def verdict_distribution(layer_rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Units per group × horizon (× keys) × verdict, absent verdicts as zeros."""
+    return layer_rows.groupBy(*keys, "grp", "horizon").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in rules.VERDICTS])
+
+
+def group_documents(nested_rows: DataFrame, distribution: DataFrame, member: str, field: str) -> DataFrame:
+    """``unit, doc`` of every group: its own nested record next to the verdicts of its units, by member and horizon.
+
+    Collected lists hold the members and horizons of one group: sizes of the catalogue.
+    """
+    counts = F.struct(*[F.col(v) for v in rules.VERDICTS])
+    by_member = distribution.groupBy("grp", member).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("horizon"), counts.alias("n"))), lambda a, b: F.when(a["horizon"] < b["horizon"], -1).otherwise(1))).alias("h"))
+    packed = by_member.groupBy(F.col("grp").cast("string").alias("unit")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(member).alias("k"), F.col("h"))), lambda a, b: F.when(a["k"] < b["k"], -1).otherwise(1))).alias("distribucion_ageb"))
+    rows = nested_rows.withColumn("unit", F.col("unit").cast("string")).join(packed, "unit", "left")
+    return rows.select("unit", F.to_json(F.struct("distribucion_ageb", field), {"ignoreNullFields": "false"}).alias("doc"))
+
+
+def header() -> Column:
+    """Version, base date and horizons that open every document."""
+    return F.struct(F.lit(VERSION).alias("version"), F.lit(BASE_DATE).alias("fecha_base"), F.array(*[F.struct(F.lit(h).alias("clave"), F.lit(y).alias("anios"), F.lit(d).alias("fecha")) for h, y, d in HORIZONS]).alias("horizontes"))
 
 
 def root_records(summary: DataFrame, keys: Sequence[str], members: dict[str, Sequence[str]], horizons: Sequence[str]) -> DataFrame:
@@ -166,7 +180,7 @@ def root_records(summary: DataFrame, keys: Sequence[str], members: dict[str, Seq
     """
     grid = summary.sparkSession.range(1).select(F.lit("root").alias("unit"), F.lit("root").alias("grp"))
     none = grid.where(F.lit(False)).select("unit", F.lit(None).cast("string").alias("reason"))
-    levels = summary.groupBy(*keys, "unit").agg(F.max("base").alias("level_base"))
+    levels = summary.groupBy(*keys, "unit").agg(F.max("level_base").alias("level_base"))
     return layer(grid, summary, levels, none, keys, members, horizons)
 
 

@@ -60,13 +60,13 @@ def conditional(r: Roles):
     "a07_verdict_distribution",
     with_ctes(
         "pub",
-        body="""SELECT grp, horizon, count(*) FILTER (WHERE verdict = 'sube') AS sube, count(*) FILTER (WHERE verdict = 'se_mantiene') AS se_mantiene,
+        body="""SELECT branch, cell, grp, horizon, count(*) FILTER (WHERE verdict = 'sube') AS sube, count(*) FILTER (WHERE verdict = 'se_mantiene') AS se_mantiene,
         count(*) FILTER (WHERE verdict = 'baja') AS baja, count(*) FILTER (WHERE verdict = 'sin_datos') AS sin_datos
-        FROM pub WHERE branch = 'demanda' AND cell = 'todas' GROUP BY 1, 2""",
+        FROM pub WHERE branch <> 'verde' GROUP BY 1, 2, 3, 4""",
     ),
 )
 def distribution(r: Roles):
-    return quality.verdict_distribution(r.published.where("branch = 'demanda' AND cell = 'todas'"))
+    return quality.verdict_distribution(r.published.where("branch <> 'verde'"), ["branch", "cell"])
 
 
 @query(

@@ -8,7 +8,7 @@ from geopanel.functions.scalars import implied_rate_pct, per_thousand
 from geopanel.operators import compose, panel, rank
 from geopanel.operators.compose import State
 from geopanel.plans.aggregates import verdict_sql
-from geopanel.plans.registry import query, r6, with_ctes
+from geopanel.plans.registry import class_sql, query, r6, with_ctes
 from geopanel.plans.roles import CAL, Roles
 from geopanel.sources.catalog import BRANCHES
 
@@ -66,15 +66,6 @@ def pct_rank_group(r: Roles):
     return rank.percentile_rank(_part_coverage(r).where("cov IS NOT NULL"), ["grp"], "cov", "pr").select("unit", "pr")
 
 
-def class_sql(value: str, n: int, src: str, keys: str = "'x'") -> str:
-    """Cut rule by row number; emits every column of ``src`` plus ``cls``."""
-    cuts = ", ".join(f"max(CASE WHEN rn = floor({i / n!r}e0 * len) + 1 THEN v END) AS c{i}" for i in range(1, n))
-    cases = " ".join(f"WHEN {value} <= c{i} THEN {i}" for i in range(1, n))
-    return f"""SELECT s.*, CASE WHEN {value} IS NULL THEN NULL {cases} ELSE {n} END AS cls FROM ({src}) s LEFT JOIN (
-        SELECT k, {cuts} FROM (SELECT {keys} AS k, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {value}) AS rn,
-            count(*) OVER (PARTITION BY {keys}) AS len FROM ({src}) WHERE {value} IS NOT NULL) GROUP BY k) c ON c.k = {keys if keys == "'x'" else 's.' + keys}"""
-
-
 @query("w02_quantile_classes", with_ctes("pwide", "pdem", body=f"SELECT unit, cls AS class FROM ({class_sql('cov', 7, _COV)})"))
 def classes(r: Roles):
     return rank.classify(_part_coverage(r), [], "cov", 7, "class").select("unit", "class")
@@ -372,13 +363,13 @@ def local_verdict(r: Roles):
     return compose.branch_levels(r.published, STATE).select("unit", "branch", compose.local_verdict(F.col("rate_s")).alias("verdict"))
 
 
-_ROOT = "SELECT horizon, avg(delta_pct) AS delta_pct, avg(ci_lo) AS ci_lo, avg(ci_hi) AS ci_hi FROM pub WHERE branch = 'demanda' AND cell = 'todas' GROUP BY 1"
+_ROOT = "SELECT horizon, delta_pct, ci_lo, ci_hi FROM pub_root WHERE branch = 'demanda' AND cell = 'todas'"
 
 
 @query(
     "c15_headline",
     with_ctes(
-        "pub",
+        "pub", "pub_root",
         body=f"SELECT v.*, {r6('delta_pct')} AS delta_pct, {r6('ci_lo')} AS ci_lo, {r6('ci_hi')} AS ci_hi FROM ("
         + verdict_sql("horizon", "(SELECT * FROM pub WHERE branch = 'demanda' AND cell = 'todas')")
         + f") v LEFT JOIN ({_ROOT}) r USING (horizon)",
@@ -386,7 +377,7 @@ _ROOT = "SELECT horizon, avg(delta_pct) AS delta_pct, avg(ci_lo) AS ci_lo, avg(c
 )
 def headline(r: Roles):
     records = r.published.where("branch = 'demanda' AND cell = 'todas'")
-    root = records.groupBy("horizon").agg(*[F.avg(c).alias(c) for c in ("delta_pct", "ci_lo", "ci_hi")])
+    root = r.root_summary.where("branch = 'demanda' AND cell = 'todas'")
     return compose.headline(records, root, ["horizon"])
 
 

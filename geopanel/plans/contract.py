@@ -83,13 +83,38 @@ def supply_layer(r: Roles):
     return _supply_layer(r)
 
 
+_POINTS = "SELECT cell, unit, len([s0, s1, s2]) AS n_points, s0 + s1 + s2 AS points FROM swide"
+
+
+def _supply_series(r: Roles):
+    return quality.series(quality.supply_points(panel.supply_long(r.supply_cells, CAL.cuts), ["cell"]), ["cell", "unit"])
+
+
+def _demand_series(r: Roles):
+    return quality.series(quality.demand_points(r.demand(), CAL.t0, CAL.t1), ["segment", "unit"])
+
+
+_total = lambda field, zero: F.aggregate(F.flatten(F.transform(F.map_values(field), lambda v: F.coalesce(v["serie"]["valor"], F.array()))), zero, lambda a, x: a + x)
+
+
 @query("q03_nested_by_cell", with_ctes("pub", "supps", "cells", "swide", body=f"""SELECT unit, grp, count(DISTINCT cell) AS n_cells, count(*) AS n_records, max(CASE WHEN cell = 'A__F' AND horizon = 'h3' THEN verdict END) AS verdict,
-    {r6("max(CASE WHEN cell = 'A__F' AND horizon = 'h3' THEN delta_pct END)")} AS delta_pct FROM ({_SUPPLY_LAYER}) GROUP BY 1, 2"""))
+    {r6("max(CASE WHEN cell = 'A__F' AND horizon = 'h3' THEN delta_pct END)")} AS delta_pct, CAST(coalesce(any_value(t.points), 0) AS BIGINT) AS points
+    FROM ({_SUPPLY_LAYER}) LEFT JOIN (SELECT unit, sum(points) AS points FROM ({_POINTS}) GROUP BY 1) t USING (unit) GROUP BY 1, 2"""))
 def nested(r: Roles):
-    n = quality.nested(_supply_layer(r), "cell", "celdas")
+    """Cells of a unit with their observed series; ``points`` adds up all observed values."""
+    n = quality.nested(_supply_layer(r), "cell", "celdas", _supply_series(r))
     at = lambda c: F.element_at(F.element_at("celdas", "A__F")["h"], "h3")[c]
     sizes = F.aggregate(F.map_values("celdas"), F.lit(0), lambda a, v: a + F.size(v["h"]))
-    return n.select("unit", "grp", F.size("celdas").alias("n_cells"), sizes.alias("n_records"), at("veredicto").alias("verdict"), at("delta_pct").alias("delta_pct"))
+    return n.select("unit", "grp", F.size("celdas").alias("n_cells"), sizes.alias("n_records"), at("veredicto").alias("verdict"), at("delta_pct").alias("delta_pct"), _total("celdas", F.lit(0).cast("bigint")).alias("points"))
+
+
+@query("q03b_nested_by_segment", with_ctes("pub", "supps", "segnames", body=f"""SELECT unit, grp, count(DISTINCT segment) AS n_segments, count(*) AS n_records, max(CASE WHEN segment = 'todas' AND horizon = 'h5' THEN verdict END) AS verdict,
+    {r6('coalesce(any_value(t.points), 0)')} AS points FROM ({_DEMAND_LAYER}) LEFT JOIN (SELECT unit, sum(coalesce(d0, 0) + coalesce(d1, 0)) AS points FROM dem GROUP BY 1) t USING (unit) GROUP BY 1, 2"""))
+def nested_demand(r: Roles):
+    n = quality.nested(_demand_layer(r), "segment", "segmentos", _demand_series(r))
+    verdict = F.element_at(F.element_at("segmentos", "todas")["h"], "h5")["veredicto"]
+    sizes = F.aggregate(F.map_values("segmentos"), F.lit(0), lambda a, v: a + F.size(v["h"]))
+    return n.select("unit", "grp", F.size("segmentos").alias("n_segments"), sizes.alias("n_records"), verdict.alias("verdict"), _total("segmentos", F.lit(0.0)).alias("points"))
 
 
 @query("q04_green_layer", with_ctes("greencells", body=f"SELECT unit, grp, cell, CASE WHEN ambit <> 'rural' THEN level_base END AS level_base, CASE WHEN ambit <> 'rural' THEN {r6('area')} END AS area, CASE WHEN ambit = 'rural' THEN 'rural' END AS reason FROM greencells"))
@@ -100,37 +125,43 @@ def green(r: Roles):
 @query(
     "q05_root_aggregate",
     with_ctes(
-        "swide",
-        body=f"""SELECT c.cell, h.horizon, CASE WHEN s0 > 0 THEN 3 ELSE 0 END AS n_obs, {r6('s2')} AS level_base, {r6('round_even(ln(s2 / s0) / 4 * 100, 1)')} AS rate_pct, CASE WHEN s0 IS NULL THEN 'sin_datos' ELSE 'se_mantiene' END AS verdict
-        FROM (SELECT cell FROM cells UNION ALL SELECT 'X__X') c CROSS JOIN (VALUES ('h1'), ('h3')) h(horizon)
-        LEFT JOIN (SELECT cell, CAST(sum(s0) AS DOUBLE) AS s0, CAST(sum(s2) AS DOUBLE) AS s2 FROM swide GROUP BY 1) t USING (cell)""",
+        "pub_root",
+        body=f"""SELECT c.cell, h.horizon, coalesce(n_obs, 0) AS n_obs, {_NUM}, coalesce(verdict, 'sin_datos') AS verdict, coalesce(confidence, 'baja') AS confidence
+        FROM (SELECT cell FROM cells UNION ALL SELECT 'X__X') c CROSS JOIN (VALUES ('h1'), ('h3')) h(horizon) LEFT JOIN (SELECT * FROM pub_root WHERE branch <> 'demanda') p USING (cell, horizon)""",
     ),
 )
 def root(r: Roles):
-    """A member no unit has (``X__X``) stays as a no-data record."""
-    sums = r.supply_cells.groupBy("cell").agg(F.expr("double(sum(s[0]))").alias("s0"), F.expr("double(sum(s[2]))").alias("base"))
-    null = F.lit(None).cast("double")
-    rows = sums.select(
-        "cell", F.lit("root").alias("unit"), F.explode(F.array(F.lit("h1"), F.lit("h3"))).alias("horizon"), F.lit(3).alias("n_obs"), "base",
-        (F.log(F.col("base") / F.col("s0")) / 4 * 100).alias("rate_pct"), null.alias("delta_pct"), null.alias("ci_lo"), null.alias("ci_hi"),
-        F.lit("se_mantiene").alias("verdict"), F.lit("media").alias("confidence"),
-    )
+    """From the replicates of the groups. A member no unit has (``X__X``) stays as a no-data record."""
+    rows = r.root_summary.where("branch <> 'demanda'")
     out = quality.root_records(rows, ["cell"], {"cell": [*CELLS, "X__X"]}, H3)
-    return out.select("cell", "horizon", "n_obs", "level_base", "rate_pct", "verdict")
+    return out.select("cell", "horizon", "n_obs", "level_base", "rate_pct", "delta_pct", "ci_lo", "ci_hi", "verdict", "confidence")
+
+
+@query("q05b_root_demand", with_ctes("pub_root", body=f"SELECT cell AS segment, horizon, n_obs, {_NUM}, verdict, confidence FROM pub_root WHERE branch = 'demanda'"))
+def root_demand(r: Roles):
+    rows = r.root_summary.where("branch = 'demanda'")
+    return rows.select(F.col("cell").alias("segment"), "horizon", "n_obs", "level_base", "rate_pct", "delta_pct", "ci_lo", "ci_hi", "verdict", "confidence")
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in ("sube", "se_mantiene", "baja", "sin_datos"))
 
 
 @query(
     "q06_group_distribution",
-    with_ctes("pub", "supps", "segnames", body=f"""SELECT grp, horizon, count(*) FILTER (WHERE verdict = 'sube') AS sube, count(*) FILTER (WHERE verdict = 'se_mantiene') AS se_mantiene, count(*) FILTER (WHERE verdict = 'baja') AS baja,
-    count(*) FILTER (WHERE verdict = 'sin_datos') AS sin_datos FROM ({_DEMAND_LAYER}) WHERE segment = 'todas' GROUP BY 1, 2"""),
+    with_ctes("pub", "pub_group", "supps", "segnames", body=f"""SELECT d.*, {r6('g.delta_pct')} AS delta_pct, coalesce(g.verdict, 'sin_datos') AS verdict
+    FROM (SELECT segment, grp, horizon, {_COUNTS} FROM ({_DEMAND_LAYER}) GROUP BY 1, 2, 3) d
+    LEFT JOIN (SELECT * FROM pub_group WHERE branch = 'demanda') g ON g.cell = d.segment AND g.unit = d.grp AND g.horizon = d.horizon"""),
 )
 def group_distribution(r: Roles):
-    return quality.verdict_distribution(_demand_layer(r).where("segment = 'todas'"))
+    """Verdicts of the units of every group next to the group's own change and verdict, all segments."""
+    counts = quality.verdict_distribution(_demand_layer(r), ["segment"])
+    own = r.group_summary.where("branch = 'demanda'").select(F.col("cell").alias("segment"), "grp", "horizon", "delta_pct", "verdict")
+    return counts.join(own, ["segment", "grp", "horizon"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("sin_datos")))
 
 
 def _broken(r: Roles):
     """The demand layer with errors planted by unit number."""
-    bad = _demand_layer(r).where("segment = 'todas'")
+    bad = _demand_layer(r)
     return bad.withColumns(
         {
             "verdict": F.expr("if(unit % 11 = 3, 'otro', verdict)"),
@@ -143,20 +174,34 @@ def _broken(r: Roles):
 
 
 _BROKEN = f"""SELECT *, lpad(CAST(unit AS VARCHAR), CASE WHEN unit % 17 = 4 THEN 5 ELSE 9 END, '0') AS key, CASE WHEN unit % 11 = 3 THEN 'otro' ELSE verdict END AS v, CASE WHEN unit % 13 = 5 THEN 'total' ELSE confidence END AS c,
-    CASE WHEN unit % 7 = 2 THEN NULL ELSE ci_lo END AS lo, CASE WHEN unit % 5 = 1 THEN ci_lo ELSE ci_hi END AS hi FROM ({_DEMAND_LAYER}) WHERE segment = 'todas'"""
+    CASE WHEN unit % 7 = 2 THEN NULL ELSE ci_lo END AS lo, CASE WHEN unit % 5 = 1 THEN ci_lo ELSE ci_hi END AS hi FROM ({_DEMAND_LAYER})"""
 
 
 @query(
     "q07_record_violations",
     with_ctes(
         "pub", "supps", "segnames",
-        body=f"""SELECT key AS unit, horizon, rule FROM (SELECT *, unnest(list_filter([CASE WHEN length(key) NOT IN (3, 9, 13) THEN 'key_length' END, CASE WHEN v NOT IN ('sube', 'se_mantiene', 'baja', 'sin_datos') THEN 'verdict_domain' END,
+        body=f"""SELECT key AS unit, segment, horizon, rule FROM (SELECT *, unnest(list_filter([CASE WHEN length(key) NOT IN (3, 9, 13) THEN 'key_length' END, CASE WHEN v NOT IN ('sube', 'se_mantiene', 'baja', 'sin_datos') THEN 'verdict_domain' END,
         CASE WHEN c NOT IN ('alta', 'media', 'baja') THEN 'confidence_domain' END, CASE WHEN delta_pct IS NOT NULL AND (lo IS NULL OR hi IS NULL) THEN 'interval_missing' END,
         CASE WHEN delta_pct IS NOT NULL AND NOT (lo <= delta_pct AND delta_pct <= hi) THEN 'interval_misses_point' END], lambda x: x IS NOT NULL)) AS rule FROM ({_BROKEN}))""",
     ),
 )
 def violations(r: Roles):
-    return quality.record_violations(_broken(r), "segment", supply=False).select("unit", "horizon", "rule")
+    return quality.record_violations(_broken(r), "segment", supply=False).select("unit", "segment", "horizon", "rule")
+
+
+@query(
+    "q07d_supply_violations",
+    with_ctes("pub", "supps", "cells", "swide", body=f"""SELECT key AS unit, cell, horizon, rule FROM (SELECT *, unnest(list_filter([CASE WHEN length(key) NOT IN (3, 9, 13) THEN 'key_length' END,
+        CASE WHEN c = 'alta' THEN 'supply_never_high' END, CASE WHEN delta_pct IS NOT NULL AND NOT (ci_lo <= d AND d <= ci_hi) THEN 'interval_misses_point' END], lambda x: x IS NOT NULL)) AS rule FROM (
+        SELECT *, lpad(CAST(unit AS VARCHAR), CASE WHEN unit % 17 = 4 THEN 5 ELSE 9 END, '0') AS key, CASE WHEN unit % 13 = 5 THEN 'alta' ELSE confidence END AS c, CASE WHEN unit % 7 = 2 THEN ci_hi + 1 ELSE delta_pct END AS d FROM ({_SUPPLY_LAYER})))"""),
+)
+def supply_violations(r: Roles):
+    """All cells of the supply layer, errors planted by unit number; supply is never of high confidence."""
+    bad = _supply_layer(r).withColumns(
+        {"confidence": F.expr("if(unit % 13 = 5, 'alta', confidence)"), "delta_pct": F.expr("if(unit % 7 = 2 AND delta_pct IS NOT NULL, ci_hi + 1, delta_pct)"), "unit": F.expr("lpad(string(unit), if(unit % 17 = 4, 5, 9), '0')")}
+    )
+    return quality.record_violations(bad, "cell", supply=True).select("unit", "cell", "horizon", "rule")
 
 
 @query(
@@ -186,12 +231,12 @@ def header(r: Roles):
     return quality.header_violations(head, group_level=True)
 
 
-@query("q08_reconcile_levels", with_ctes("pub", body=f"""SELECT horizon, grp, {r6('e')} AS expected, {r6('o')} AS obtained, {r6('abs(o - e) / nullif(abs(e), 0)')} AS rel_error, coalesce(abs(o - e) / nullif(abs(e), 0) <= 0.05e0, true) AS ok FROM (
-    SELECT horizon, grp, sum(level_base * (1 + delta_pct / 100)) AS e, sum(level_base) * (1 + avg(delta_pct) / 100) AS o FROM pub WHERE branch = 'demanda' AND cell = 'todas' AND delta_pct IS NOT NULL GROUP BY 1, 2)"""))
+@query("q08_reconcile_levels", with_ctes("pub", "pub_group", body=f"""SELECT branch, cell, horizon, grp, {r6('e')} AS expected, {r6('o')} AS obtained, {r6('abs(o - e) / nullif(abs(e), 0)')} AS rel_error, coalesce(abs(o - e) / nullif(abs(e), 0) <= 0.05e0, true) AS ok FROM (
+    SELECT u.*, g.level_base * (1 + g.delta_pct / 100) AS o FROM (SELECT branch, cell, horizon, grp, sum(level_base * (1 + delta_pct / 100)) AS e FROM pub WHERE delta_pct IS NOT NULL GROUP BY 1, 2, 3, 4) u
+    JOIN pub_group g ON g.branch = u.branch AND g.cell = u.cell AND g.horizon = u.horizon AND g.unit = u.grp)"""))
 def reconcile(r: Roles):
-    units = r.published.where("branch = 'demanda' AND cell = 'todas'")
-    groups = units.where("delta_pct IS NOT NULL").groupBy("horizon", F.col("grp").alias("unit")).agg(F.sum("level_base").alias("level_base"), F.avg("delta_pct").alias("delta_pct"))
-    return quality.reconcile_levels(units, groups)
+    """Levels of the units against the level of their group, which comes from the group's own replicates."""
+    return quality.reconcile_levels(r.published, r.group_summary, keys=("branch", "cell", "horizon"))
 
 
 @query("q10_duplicate_ids", "SELECT year(l_shipdate) AS cut, l_orderkey AS entity_id, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

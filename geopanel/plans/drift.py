@@ -16,7 +16,7 @@ def _profile_sql(table: str, cols: dict[str, tuple[str, bool]], by: str = "") ->
     rows = []
     for c, (kind, ordered) in cols.items():
         blanks = "CAST(NULL AS BIGINT)" if ordered else f"count(*) FILTER (WHERE trim(CAST({c} AS VARCHAR)) = '')"
-        rows.append(f"SELECT {by + ', ' if by else ''}'{c}' AS \"column\", '{kind}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls, {blanks} AS blanks, count(DISTINCT {c}) AS distincts FROM {table} {'GROUP BY ' + by if by else ''}")
+        rows.append(f"SELECT {by + ', ' if by else ''}'{c}' AS \"column\", '{kind}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls, {blanks} AS blanks, count(DISTINCT {c}) AS distincts, {f'CAST(min({c}) AS VARCHAR)' if ordered else 'NULL'} AS min, {f'CAST(max({c}) AS VARCHAR)' if ordered else 'NULL'} AS max FROM {table} {'GROUP BY ' + by if by else ''}")
     return " UNION ALL ".join(rows)
 
 
@@ -25,13 +25,15 @@ _CUST = {"c_custkey": ("bigint", True), "c_name": ("string", False), "c_nationke
 
 @query("d01_column_profile", _profile_sql("customer", _CUST))
 def column_profile(r: Roles):
-    return profile.column_profile(r.table("customer")).drop("min", "max")
+    return profile.column_profile(r.table("customer"))
 
 
-@query("d01b_column_ranges", "SELECT 'c_custkey' AS \"column\", CAST(min(c_custkey) AS VARCHAR) AS min, CAST(max(c_custkey) AS VARCHAR) AS max FROM customer UNION ALL SELECT 'c_nationkey', CAST(min(c_nationkey) AS VARCHAR), CAST(max(c_nationkey) AS VARCHAR) FROM customer")
+_SUPP = {"s_suppkey": ("bigint", True), "s_name": ("string", False), "s_nationkey": ("int", True), "s_acctbal": ("double", True)}
+
+
+@query("d01b_column_ranges", f"SELECT \"column\", min, max FROM ({_profile_sql('supplier', _SUPP)})")
 def column_ranges(r: Roles):
-    p = profile.column_profile(r.table("customer"), columns=("c_custkey", "c_nationkey"))
-    return p.select("column", "min", "max")
+    return profile.column_profile(r.table("supplier")).select("column", "min", "max")
 
 
 @query("d02_grouped_column_table", f"""SELECT CASE WHEN "column" IN ('c_nationkey', 'c_custkey') THEN 'agrupadas' ELSE "column" END AS line, count(*) AS n_columns, {r6('min(nulls * 100e0 / rows)')} AS null_pct_min,

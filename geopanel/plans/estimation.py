@@ -209,7 +209,7 @@ def per_capita(r: Roles):
 
 
 def _light_sql() -> str:
-    from geopanel.plans.composition import class_sql
+    from geopanel.plans.registry import class_sql
 
     return f"SELECT *, CASE WHEN cls = 1 AND slope > 1e-9 THEN 'verde' WHEN cls = 3 OR (cls = 2 AND slope <= 1e-9) THEN 'rojo' ELSE 'amarillo' END AS light FROM ({class_sql('per_capita', 3, _CAP, 'category')})"
 

@@ -47,16 +47,13 @@ def _inputs(r: Roles):
 
 
 def _demand_sim(r: Roles, source: str = "r2", n_sim: int = N_SIM):
-    gid = F.col("grp") if source == "r2" else None
-    return replicate.simulate_demand(_inputs(r), CAL, KEYS, n_sim, source, group_id=gid)
-
-
-def _posterior(r: Roles):
-    return estimate.supply_posterior(estimate.fit_supply(r.supply_cells, CAL), ["cell"], CAL)
+    if source == "r2" and n_sim == N_SIM:
+        return r.demand_sim
+    return replicate.simulate_demand(_inputs(r), CAL, KEYS, n_sim, source, group_id=F.col("grp") if source == "r2" else None)
 
 
 def _supply_sim(r: Roles, source: str = "r2", n_sim: int = N_SIM):
-    return replicate.simulate_supply(_posterior(r), ["cell"], n_sim, source)
+    return r.supply_sim
 
 
 @query("m01_keyed_draws_hash")

@@ -202,18 +202,40 @@ def ordered(r: Roles):
     return r.spark.read.schema("unit bigint, t double, s bigint").parquet(path)
 
 
-@query("s13_contract_documents", with_ctes("pub", "supps", "cells", "swide", body="SELECT 'ageb' AS level, CAST(unit AS VARCHAR) AS unit, CAST(grp AS VARCHAR) AS grp, 6 AS n_cells FROM supps"))
+@query("s13_contract_documents", with_ctes("pub", "pub_group", "pub_root", "supps", "cells", "swide", body="""
+    SELECT 'ageb' AS level, CAST(u.unit AS VARCHAR) AS unit, '1.4' AS version, 6 AS n_cells, coalesce(t.points, 0) AS points, CAST(NULL AS BIGINT) AS n_counted FROM supps u LEFT JOIN (SELECT unit, CAST(sum(s0 + s1 + s2) AS BIGINT) AS points FROM swide GROUP BY 1) t USING (unit)
+    UNION ALL SELECT 'alcaldia', CAST(g.unit AS VARCHAR), '1.4', g.n, t.points, n.n FROM (SELECT unit, count(DISTINCT cell) AS n FROM pub_group WHERE branch <> 'demanda' GROUP BY 1) g
+    JOIN (SELECT grp, CAST(sum(s0 + s1 + s2) AS BIGINT) AS points FROM swide GROUP BY 1) t ON t.grp = g.unit JOIN (SELECT grp, 12 * count(*) AS n FROM supps GROUP BY 1) n ON n.grp = g.unit
+    UNION ALL SELECT 'cdmx', 'root', '1.4', count(DISTINCT cell), (SELECT CAST(sum(s0 + s1 + s2) AS BIGINT) FROM swide), NULL FROM pub_root WHERE branch <> 'demanda'"""))
 def documents(r: Roles):
-    """Written as one JSON line per unit and parsed back."""
+    """Documents of the units, the groups (with the verdicts of their units) and the root, written as one JSON line each under a header and parsed back.
+
+    ``points`` adds up the observed series of all cells, ``n_counted`` the verdicts in a group's distribution."""
+    from geopanel.operators.panel import supply_long
     from geopanel.plans.contract import _supply_layer
+    from geopanel.plans.roles import CAL
 
-    nested = quality.nested(_supply_layer(r), "cell", "celdas")
+    long, layer = supply_long(r.supply_cells, CAL.cuts), _supply_layer(r)
+    points = lambda key: long.groupBy("cell", key.alias("unit"), "t").agg(F.sum("s").alias("value"))
+    series = lambda key: quality.series(points(key), ["cell", "unit"])
+    units = quality.document_rows(quality.nested(layer, "cell", "celdas", series(F.col("unit"))), "celdas")
+    upper = lambda rows: rows.where("branch <> 'demanda'").withColumn("reason", F.lit(None).cast("string"))
+    groups = quality.nested(upper(r.group_summary), "cell", "celdas", series(F.col("grp")))
+    groups = quality.group_documents(groups, quality.verdict_distribution(layer, ["cell"]), "cell", "celdas")
+    root = quality.document_rows(quality.nested(upper(r.root_summary), "cell", "celdas", series(F.lit("root"))), "celdas")
+    rows = None
+    for level, docs in (("ageb", units), ("alcaldia", groups), ("cdmx", root)):
+        part = docs.select(F.lit(level).alias("level"), F.col("unit").cast("string").alias("unit"), "doc")
+        rows = part if rows is None else rows.unionAll(part)
     path = scratch_path(r.spark, "prediccion")
-    sinks.documents(quality.document_rows(nested, "celdas").withColumn("level", F.lit("ageb")), path)
-    lines = sinks.read_documents(r.spark, path)
-    doc = F.from_json("value", "map<string, struct<cve_mun: string, celdas: map<string, string>>>")
-    rows = lines.select("level", F.explode(doc).alias("unit", "d"))
-    return rows.select("level", "unit", F.col("d.cve_mun").alias("grp"), F.size("d.celdas").alias("n_cells"))
+    sinks.documents(rows.withColumn("doc", F.concat(F.lit('{"cabecera":'), F.to_json(quality.header()), F.lit(","), F.substring("doc", 2, 2**31 - 1))), path)
+    cell = "struct<serie: struct<t: array<double>, valor: array<bigint>>>"
+    kind = f"map<string, struct<cabecera: struct<version: string>, celdas: map<string, {cell}>, distribucion_ageb: map<string, map<string, map<string, bigint>>>>>"
+    rows = sinks.read_documents(r.spark, path).select("level", F.explode(F.from_json("value", kind)).alias("unit", "d"))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    observed = F.flatten(F.transform(F.map_values("d.celdas"), lambda c: F.coalesce(c["serie"]["valor"], F.array())))
+    counted = F.flatten(F.flatten(F.transform(F.map_values("d.distribucion_ageb"), lambda h: F.transform(F.map_values(h), lambda v: F.map_values(v)))))
+    return rows.select("level", "unit", F.col("d.cabecera.version").alias("version"), F.size("d.celdas").alias("n_cells"), total(observed).alias("points"), total(counted).alias("n_counted"))
 
 
 @query("s14_block_upsert", "SELECT block, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM (SELECT 'keep' AS block, n_nationkey AS v FROM nation UNION ALL SELECT 'replace', n_nationkey * 2 FROM nation WHERE n_nationkey > 3) GROUP BY 1")

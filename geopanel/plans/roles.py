@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopanel.functions import geometry as g
-from geopanel.operators import panel
+from geopanel.operators import estimate, panel, publish, replicate
 from geopanel.operators.calendar import Calendar
 from geopanel.session import scratch_path
 from geopanel.sources.catalog import BANDS, SEGMENTS
@@ -20,6 +20,10 @@ from geopanel.sources.catalog import BANDS, SEGMENTS
 CAL = Calendar(t0=1995.5, t1=2000.5, t_base=2001.5, cuts=(1996.5, 1998.5, 2000.5), control_from=2000.5)
 CUT_YEARS = (1996, 1998, 2000)
 CELLS = tuple(f"{a}__{b}" for a in "ANR" for b in "FO")
+H5, H3 = ("h1", "h3", "h5"), ("h1", "h3")
+BRANCH_OF = "CASE left(cell, 1) WHEN 'A' THEN 'educacion' WHEN 'N' THEN 'salud' ELSE 'comercio' END"
+#: Where the tables of a run were written, by application, data folder and kind.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 SUPPRESS_BELOW = 8
 CELL_SIZE = 10.0
 SCHEMAS = {
@@ -134,61 +138,73 @@ class Roles:
         rows = self.entities("l_suppkey").join(self.suppliers.select("unit", "grp"), "unit")
         return rows.groupBy("grp", F.col("cut").alias("year")).agg(F.sum("l_quantity").alias("population"))
 
-    # published summary
+    # the run: simulations and published tables
 
-    def _published(self, rows: DataFrame, horizons: str) -> DataFrame:
-        """``branch, cell, unit, grp, n_obs, reason, level, r, psi, conf`` -> flat summary records."""
-        timed = rows.selectExpr("*", f"inline(array({horizons})) AS (horizon, years)").selectExpr(
-            "*", "bround((exp(r * years) - 1) * 100, 1) AS d", "bround(sqrt(psi) * years * 196, 1) AS half"
-        )
-        return timed.selectExpr(
-            "branch", "cell", "unit", "grp", "horizon", "if(r IS NULL, 0, n_obs) AS n_obs", "reason",
-            "if(r IS NOT NULL, double(level), NULL) AS level_base",
-            "d AS delta_pct",
-            "bround(r * 100, 1) AS rate_pct",
-            "if(r IS NOT NULL, bround(d - half, 1), NULL) AS ci_lo",
-            "if(r IS NOT NULL, bround(d + half, 1), NULL) AS ci_hi",
-            "CASE WHEN r IS NULL THEN 'sin_datos' WHEN r > 0.01D THEN 'sube' WHEN r < -0.01D THEN 'baja' ELSE 'se_mantiene' END AS verdict",
-            "if(r IS NULL, 'baja', conf) AS confidence",
-        )
+    @cached_property
+    def demand_sim(self) -> DataFrame:
+        inputs = replicate.demand_inputs(self.demand(), self.control, CAL, ["segment"])
+        return replicate.simulate_demand(inputs, CAL, ["segment"], source="r2", group_id=F.col("grp"))
 
     @cached_property
+    def supply_sim(self) -> DataFrame:
+        posterior = estimate.supply_posterior(estimate.fit_supply(self.supply_cells, CAL), ["cell"], CAL)
+        return replicate.simulate_supply(posterior, ["cell"], source="r2")
+
+    def _written(self, kind: str, rows) -> DataFrame:
+        """A table of the run, written once for each application and data folder, by branch and horizon, so that a query reads only those it names."""
+        key = self.spark.sparkContext.applicationId, self.dir, kind
+        if key not in _WRITTEN:
+            path = scratch_path(self.spark, kind)
+            rows().write.partitionBy("branch", "horizon").parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """Published records of the units: demand segments, six supply cells in three branches, green cells."""
+        return self._written("run-units", self._units)
+
+    @property
     def published(self) -> DataFrame:
-        """Flat summary from direct rates: demand segments, six supply cells in three branches, green cells."""
-        keys = ["unit", "grp"]
-        demand = self.demand().selectExpr(
-            "'demanda' AS branch", "segment AS cell", *keys, "2 AS n_obs", "reason", "d1 AS level",
-            "if(reason IS NULL, ln((d1 + 0.5D) / (d0 + 0.5D)) / 5, NULL) AS r", "(1 / (d1 + 0.5D) + 1 / (d0 + 0.5D)) / 25 AS psi",
-            "CASE WHEN d1 >= 80 THEN 'alta' WHEN d1 >= 40 THEN 'media' ELSE 'baja' END AS conf",
-        )
-        supply = self.supply_cells.selectExpr(
-            "CASE left(cell, 1) WHEN 'A' THEN 'educacion' WHEN 'N' THEN 'salud' ELSE 'comercio' END AS branch", "cell", *keys,
-            "3 AS n_obs", "if(s[0] + s[1] + s[2] = 0, 'sin_establecimientos', NULL) AS reason", "s[2] AS level",
-            "if(s[0] + s[1] + s[2] > 0, ln((s[2] + 0.5D) / (s[0] + 0.5D)) / 4, NULL) AS r",
-            "(1 / (s[2] + 0.5D) + 1 / (s[0] + 0.5D)) / 16 AS psi", "if(s[2] >= 15, 'media', 'baja') AS conf",
-        )
+        return self.summary
+
+    @cached_property
+    def group_summary(self) -> DataFrame:
+        """Published records of the groups, from their own replicates."""
+        return self._written("run-groups", lambda: self._upper("group"))
+
+    @cached_property
+    def root_summary(self) -> DataFrame:
+        return self._written("run-root", lambda: self._upper("root"))
+
+    def _units(self) -> DataFrame:
+        demand = publish.records(self.demand_sim, "segment", CAL, H5, CAL.t1)
+        demand = publish.with_missing(self.demand().select(F.col("segment").alias("cell"), "unit", "grp", "reason"), demand, H5)
+        total = "s[0] + s[1] + s[2]"
+        frame = self.supply_cells.selectExpr("cell", "unit", "grp", f"if({total} = 0, 'sin_establecimientos', NULL) AS reason")
+        simulated = self.supply_sim.join(frame.where("reason IS NULL").select("cell", "unit"), ["cell", "unit"], "left_semi")
+        supply = publish.with_missing(frame, publish.records(simulated, "cell", CAL, H3, CAL.cuts[-1]), H3)
         green = panel.green_cells(self.green).where("ambit = 'urbano'").selectExpr(
-            "'verde' AS branch", "cell", *keys, "'actual' AS horizon", "1 AS n_obs", "string(NULL) AS reason", "double(level_base) AS level_base",
-            *[f"double(NULL) AS {c}" for c in ("delta_pct", "rate_pct", "ci_lo", "ci_hi")], "string(NULL) AS verdict", "'baja' AS confidence",
+            "'verde' AS branch", "cell", "unit", "grp", "'actual' AS horizon", "1 AS n_obs", "string(NULL) AS reason", "double(level_base) AS level_base",
+            *[f"double(NULL) AS {c}" for c in publish.VALUES], "string(NULL) AS verdict", "'baja' AS confidence",
         )
-        h = [f"struct('h{y}' AS h, {y}D AS y)" for y in (1, 3, 5)]
-        return self._published(demand, ", ".join(h)).unionByName(self._published(supply, ", ".join(h[:2]))).unionByName(green)
+        rows = publish.flatten(demand, F.lit("demanda")).unionByName(publish.flatten(supply, F.expr(BRANCH_OF)))
+        return rows.unionByName(green)
 
-    @cached_property
-    def summary(self) -> DataFrame:
-        """The published table written once, by branch and horizon, so that a query reads only those it names."""
-        path = scratch_path(self.spark, "summary")
-        self.published.write.partitionBy("branch", "horizon").parquet(path)
-        return self.spark.read.parquet(path)
+    def _upper(self, level: str) -> DataFrame:
+        demand = publish.upper_levels(self.demand_sim, "segment", CAL.demand_span, True)[level]
+        supply = publish.upper_levels(self.supply_sim, "cell", CAL.supply_span, False)[level]
+        rows = publish.flatten(publish.records(demand, "segment", CAL, H5, CAL.t1), F.lit("demanda"))
+        return rows.unionByName(publish.flatten(publish.records(supply, "cell", CAL, H3, CAL.cuts[-1]), F.expr(BRANCH_OF)))
 
     @cached_property
     def green_points(self) -> DataFrame:
-        """Undiscounted lines of the last cut as green points with an area."""
+        """Lines of the last cut as green points with an area."""
         tax = F.col("l_tax")
         layer = F.when(tax < 0.03, "cobertura_verde").when(tax < 0.06, "areas_recreativas").otherwise("espacios_publicos")
         return (
             self.table("lineitem")
-            .where((F.year("l_shipdate") == 2000) & (F.col("l_discount") <= 0.02))
+            .where(F.year("l_shipdate") == 2000)
             .select(layer.alias("layer"), F.col("l_suppkey").alias("unit"), F.col("l_quantity").alias("area"))
         )
 

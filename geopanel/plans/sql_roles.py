@@ -79,29 +79,10 @@ BLOCKS = {
         count(*) FILTER (WHERE k = 3) AS n_espacios_publicos, round_even(coalesce(sum(q) FILTER (WHERE k = 3), 0), 1) AS area_espacios_publicos_m2
         FROM supps u LEFT JOIN (SELECT l_suppkey AS unit, l_quantity AS q,
             CASE WHEN l_tax < 0.03e0 THEN 1 WHEN l_tax < 0.06e0 THEN 2 ELSE 3 END AS k
-            FROM lineitem WHERE year(l_shipdate) = 2000 AND l_discount <= 0.02e0) g USING (unit) GROUP BY ALL""",
+            FROM lineitem WHERE year(l_shipdate) = 2000) g USING (unit) GROUP BY ALL""",
     "greencells": """SELECT unit, grp, ambit, 'cobertura_verde' AS cell, n_cobertura_verde AS level_base, area_cobertura_verde_m2 AS area FROM green
         UNION ALL SELECT unit, grp, ambit, 'areas_recreativas', n_areas_recreativas, area_areas_recreativas_m2 FROM green
         UNION ALL SELECT unit, grp, ambit, 'espacios_publicos', n_espacios_publicos, area_espacios_publicos_m2 FROM green""",
-    "pubraw": """SELECT 'demanda' AS branch, segment AS cell, unit, grp, reason, 2 AS nobs, d1 AS lev, 80 AS hi, 40 AS mid, 0 AS sup,
-            CASE WHEN reason IS NULL THEN ln((d1 + 0.5) / (d0 + 0.5)) / 5 END AS r, (1 / (d1 + 0.5) + 1 / (d0 + 0.5)) / 25 AS psi FROM dem
-        UNION ALL
-        SELECT CASE cell[1] WHEN 'A' THEN 'educacion' WHEN 'N' THEN 'salud' ELSE 'comercio' END, cell, unit, grp,
-            CASE WHEN s0 + s1 + s2 = 0 THEN 'sin_establecimientos' END, 3, s2, 1000000000, 15, 1,
-            CASE WHEN s0 + s1 + s2 > 0 THEN ln((s2 + 0.5) / (s0 + 0.5)) / 4 END, (1 / (s2 + 0.5) + 1 / (s0 + 0.5)) / 16 FROM swide""",
-    "pub": """SELECT branch, cell, unit, grp, horizon, CASE WHEN r IS NULL THEN 0 ELSE nobs END AS n_obs, reason,
-            CASE WHEN r IS NOT NULL THEN CAST(lev AS DOUBLE) END AS level_base,
-            delta AS delta_pct, CAST(round_even(r * 100, 1) AS DOUBLE) AS rate_pct,
-            CAST(round_even(delta - half, 1) AS DOUBLE) AS ci_lo, CAST(round_even(delta + half, 1) AS DOUBLE) AS ci_hi,
-            CASE WHEN r IS NULL THEN 'sin_datos' WHEN r > 0.01e0 THEN 'sube' WHEN r < -0.01e0 THEN 'baja' ELSE 'se_mantiene' END AS verdict,
-            CASE WHEN r IS NULL THEN 'baja' WHEN lev >= hi THEN 'alta' WHEN lev >= mid THEN 'media' ELSE 'baja' END AS confidence
-        FROM (SELECT *, CAST(round_even((exp(r * yrs) - 1) * 100, 1) AS DOUBLE) AS delta,
-                CASE WHEN r IS NOT NULL THEN CAST(round_even(sqrt(psi) * yrs * 196, 1) AS DOUBLE) END AS half
-              FROM pubraw CROSS JOIN (VALUES ('h1', 1e0), ('h3', 3e0), ('h5', 5e0)) h(horizon, yrs)
-              WHERE sup = 0 OR horizon <> 'h5')
-        UNION ALL
-        SELECT 'verde', cell, unit, grp, 'actual', 1, NULL, CAST(level_base AS DOUBLE), NULL, NULL, NULL, NULL, NULL, 'baja'
-        FROM greencells WHERE ambit = 'urbano'""",
     # dashboard
     "zpts": """SELECT c_nationkey AS zone, o_orderpriority AS category, year(o_orderdate) AS x, count(*) AS y
         FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2, 3""",
@@ -124,7 +105,5 @@ NEEDS = {
     "ctl": ("ent", "supps"),
     "green": ("supps",),
     "greencells": ("green",),
-    "pubraw": ("dem", "swide"),
-    "pub": ("pubraw", "greencells"),
     "squares": ("supps",),
 }
