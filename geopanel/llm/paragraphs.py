@@ -436,6 +436,7 @@ def repeated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
     tied = components(edges).select(F.col("node").alias("h"), "root")
     keys = equal.unionAll(tied.select("h", F.lit(1).cast("long"))).groupBy("h").agg(F.max("n").alias("n"))
     keys = materialised(keys.join(tied, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "n"))
+    del each, nodes, rows, equal, close, near, held, sets, edges, tied  # the files of what is not read again go
     let_go(docs.sparkSession)
     size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = _arrow(plain, s, {"h": "long", "doc_id": "long", "no": "int", "words": "int", "word": "int", "begin": "int", "end": "int"}, spans=True)
@@ -446,6 +447,7 @@ def repeated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
     first = first.where("first.doc_id <> last.doc_id OR first.no <> last.no").select("root", "first", "n")
     other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("no") != F.col("first.no"))
     marked = materialised(join_counted(found, materialised(first), "root", found.count()).withColumn("removed", other))
+    del found, first, keys
     let_go(docs.sparkSession)
     run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id", "removed").orderBy("no"))
     runs = marked.withColumn("run", run).groupBy("doc_id", "removed", "run").agg(

@@ -27,8 +27,11 @@ from geopanel.session import materialised
 
 #: Formats that issuers publish, and words for secrets before an assignment. Fixed values.
 KNOWN = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-]))"
-ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key|credential|auth)[A-Za-z_]*\s*[:=]+\s*[\"']?"
-CANDIDATE = rf"{KNOWN}|{ASSIGNED}[^\s\"'<>]{{7,}}[^\s\"'<>.,;:)\]}}]|(?:(?!{KNOWN}|{ASSIGNED})[A-Za-z0-9+/_\-]){{16,}}"
+ASSIGNED = r"(?:[Pp](?i:assword|asswd|wd)|[Ss](?i:ecret)|[Tt](?i:oken)|[Aa](?i:pi_?key|ccess_?key|uth)|[Cc](?i:redential))[A-Za-z_]*\s*[:=]+\s*[\"']?"
+#: A stretch begins where no such character stands before it, or where a candidate has ended; it ends before a published format and an
+#: assignment. Only at letters with which one of these begins they are looked for.
+STRETCH = rf"(?:(?<![A-Za-z0-9+/_\-])|\G)(?=[A-Za-z0-9+/_\-]{{16}})(?:[BD-OQRU-Zbd-fh-oqru-wyz0-9+/_\-]|(?!{KNOWN}|{ASSIGNED})[ACPSTacgpstx]){{16,}}+"
+CANDIDATE = rf"{STRETCH}|(?=[Agsx]){KNOWN}|(?=[AaCcPpSsTt]){ASSIGNED}[^\s\"'<>]{{7,}}[^\s\"'<>.,;:)\]}}]"
 REPLACEMENT = "[SECRET]"
 SAMPLE, TREES, DEPTH, SEED = 10_000, 20, 6, 7
 #: Frequent words of the corpus that count as its dictionary.

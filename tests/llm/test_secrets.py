@@ -1,6 +1,7 @@
 import re
 
 import pytest
+import regex
 
 from geopanel.llm import secrets
 
@@ -78,7 +79,7 @@ def test_a_value_is_labelled_by_the_context_that_makes_it_a_secret(documents):
 
 def test_candidates_as_a_plain_scan_finds_them(trained):
     docs, _, _ = trained
-    pattern = re.compile(secrets.CANDIDATE)
+    pattern = regex.compile(secrets.CANDIDATE)
     want = sorted(re.sub("^" + secrets.ASSIGNED, "", m[0]) for r in docs.collect() for m in pattern.finditer(r.text))
     rows = secrets.with_candidates(docs.select("text"), "text", "gaps", "found").selectExpr("explode(found) AS c").select("c.value").collect()
     assert sorted(r.value for r in rows) == want
