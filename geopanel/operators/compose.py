@@ -164,9 +164,9 @@ def compose(summary: DataFrame, state: State = State()) -> DataFrame:
     flat = per_scope.groupBy().agg(*[F.expr(f"max({c}) FILTER (WHERE scope = '{s}')").alias(f"{s}_{c}") for s, c in wanted])
     one = flat.select(F.struct(*flat.columns))
     pct = dist.where("scope = 'value'").select(
-        F.col("x").alias("value"), rank.percentile_of(F.col("cnt"), F.col("cum"), F.col("n")).alias("percentile")
+        F.col("x").alias("value"), "cnt", rank.percentile_of(F.col("cnt"), F.col("cum"), F.col("n")).alias("percentile")
     )
-    out = wide.join(pct, "value", "left").select("*", one.scalar().alias("_c")).select("*", "_c.*")
+    out = rank.join_by_value(wide, pct, [], "value", "percentile").select("*", one.scalar().alias("_c")).select("*", "_c.*")
 
     def tercile(s: str) -> str:
         return f"CASE WHEN {s} IS NULL THEN 'sin_datos' WHEN {s} <= {s}_t1 THEN 'baja' WHEN {s} <= {s}_t2 THEN 'media' ELSE 'alta' END"

@@ -1,40 +1,46 @@
 """Exact ranks, quantiles and quantile classes over groups of any size.
 
-A window over one whole group would run in a single task. Here equal values are pre-aggregated,
-distinct values are spread over log-spaced buckets, and only the bucket totals (their number is
-bounded by the double format, not by the data) are accumulated per group.
+A window over one whole group would run in a single task. Here equal values are counted first, the distinct values of a group
+are split into ranges by bounds taken from a sketch of the same values, and only the totals of the ranges (``BUCKETS`` a group) are
+accumulated. Ranges hold about equally many distinct values however narrow or wide the values lie.
+
+Values that hold more than one in ``FREQUENT`` of all rows, ``FREQUENT`` of them at most, meet the rows where these are; the others are
+joined by a shuffle, in which rows that have met theirs, and rows without a value, are spread evenly and match nothing.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS_PER_OCTAVE = 1024
-_STEP = BUCKETS_PER_OCTAVE / math.log(2.0)
-_OFFSET = int(745 * _STEP) + 1  # |ln| of the smallest positive double is below 745
+from geopanel.operators.meet import with_groups
+
+BUCKETS = 256
+FREQUENT = 1000
+#: Places to which rows without a partner are spread.
+SPREAD = 65_536
 
 
-def _bucket(value: Column) -> Column:
-    """Monotone in ``value``, including across zero."""
-    v = value.cast("double")
-    depth = F.floor(F.log(F.abs(v)) * _STEP) + _OFFSET
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, depth).otherwise(-depth)
+def bucketed(distinct: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Add ``_bucket``: how many of its group's bounds lie below a value. Monotone in ``value`` within a group."""
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    number = F.col(value).cast("double")
+    bounds = distinct.groupBy(*keys).agg(F.percentile_approx(number, shares, F.lit(20 * buckets)).alias("_bounds"))
+    if keys:
+        rows = with_groups(distinct, bounds, list(keys), width=buckets, salt=value)
+    else:
+        rows = distinct.select("*", bounds.scalar().alias("_bounds"))
+    return rows.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < number))).drop("_bounds")
 
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per distinct non-NULL value: ``keys, value, cnt, cum, n`` (cumulative and total counts)."""
     keys = list(keys)
-    distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("_bucket", _bucket(F.col(value)))
-    )
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    distinct = bucketed(distinct, keys, value)
     by_group = W.partitionBy(*keys)
     totals = (
         distinct.groupBy(*keys, "_bucket")
@@ -56,6 +62,19 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def join_by_value(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the column ``out`` of ``table`` (one row for each of ``keys`` and ``value``, ``cnt`` rows of ``df`` have it); NULL
+    values get NULL."""
+    on = [*keys, value]
+    frequent = F.col("cnt") * FREQUENT > table.agg(F.coalesce(F.sum("cnt"), F.lit(0))).scalar()
+    hot = F.broadcast(table.where(frequent).select(*on, F.col(out).alias("_hot"), F.lit(True).alias("_met")))
+    cold = table.where(~frequent).select(*on, F.lit(-1).cast("bigint").alias("_place"), F.col(out).alias("_cold"))
+    alone = F.col(value).isNull() | F.col("_met").isNotNull()
+    rows = df.join(hot, on, "left").withColumn("_place", F.when(alone, F.monotonically_increasing_id() % SPREAD).otherwise(F.lit(-1).cast("bigint")))
+    joined = rows.join(cold, [*on, "_place"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_hot", "_cold").alias(out))
+
+
 def percentile_of(cnt: Column, cum: Column, n: Column) -> Column:
     """Average-tie fractional rank in [0, 1]; a lone value sits at 0.5."""
     mean_rank = cum - (cnt - 1) / 2.0
@@ -65,9 +84,9 @@ def percentile_of(cnt: Column, cum: Column, n: Column) -> Column:
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Add the average-tie percentile rank of ``value`` within ``keys``; NULL stays NULL."""
     ranks = distribution(df, keys, value).select(
-        *keys, value, percentile_of(F.col("cnt"), F.col("cum"), F.col("n")).alias(out)
+        *keys, value, "cnt", percentile_of(F.col("cnt"), F.col("cum"), F.col("n")).alias(out)
     )
-    return df.join(ranks, [*keys, value], "left")
+    return join_by_value(df, ranks, keys, value, out)
 
 
 def class_cuts(dist: DataFrame, keys: Sequence[str], value: str, n_classes: int, prefix: str = "cut") -> DataFrame:

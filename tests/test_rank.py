@@ -47,13 +47,31 @@ def test_rank_and_classes_match_brute_force(spark, values):
             assert rows[i]["pr"] is None and rows[i]["t"] is None
 
 
-def test_buckets_are_monotone(spark):
+def test_buckets_are_monotone_and_narrow_ranges_are_split(spark):
+    wide = [-1e300, -2.0, -1.9999999, -1e-320, 0.0, 4.9e-324, 1e-12, 1.0, 1.0 + 2e-16, 2.0, 1e308]
+    got = rank.bucketed(run(spark, wide), [], "v").orderBy("v").collect()
+    assert [r["_bucket"] for r in got] == sorted(r["_bucket"] for r in got)
+    narrow = spark.range(100_000).selectExpr("id % 3 AS k", "2020D + id / 100000D AS v")
+    sizes = rank.bucketed(narrow, ["k"], "v").groupBy("k", "_bucket").count().collect()
+    assert len({r["_bucket"] for r in sizes}) > 50 and max(r["count"] for r in sizes) < 100_000 / 3 / 50
+
+
+def test_null_and_frequent_values_are_no_single_join_key(spark):
     from pyspark.sql import functions as F
 
-    values = sorted([-1e300, -2.0, -1.9999999, -1e-320, 0.0, 4.9e-324, 1e-12, 1.0, 1.0 + 2e-16, 2.0, 1e308])
-    got = run(spark, values).select("v", rank._bucket(F.col("v")).alias("b")).orderBy("v").collect()
-    buckets = [r["b"] for r in got]
-    assert buckets == sorted(buckets)
+    df = spark.range(30_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 0D ELSE double(id) END AS v")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(held, ("false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        table = df.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("cnt")).withColumn("x", F.col("v") + 1)
+        out = rank.join_by_value(df, table, [], "v", "x")
+        parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 30_000 and max(parts) < 1.2 * 30_000 / len(parts) and len(parts) == 4
+        assert out.where("x IS NULL").count() == 10_000 and out.where("x = 1").count() == 10_000 and out.where("x = v + 1").count() == 20_000
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
 
 
 def test_one_value_holding_a_third_of_all_rows(spark):
