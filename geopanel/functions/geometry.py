@@ -110,6 +110,14 @@ def to_metres(lon: str | Column, lat: str | Column, lon0: float = -99.13, lat0:
     )
 
 
+def on_equal_area_plane(multi: str | Column, lon0: float = -99.13, lat0: float = 19.35) -> Column:
+    """A MultiPolygon in degrees on the cylindrical equal-area plane that is true to length at ``lat0``, in metres: areas are those
+    on the sphere, wherever the polygon lies."""
+    radius, narrow = 6371008.8, math.cos(math.radians(lat0))
+    place = lambda q: F.array(F.radians(q[0] - lon0) * (radius * narrow), F.sin(F.radians(q[1])) * (radius / narrow))
+    return F.transform(col(multi), lambda p: F.transform(p, lambda r: F.transform(r, place)))
+
+
 def ring_edges_normalised(multi: str | Column, digits: int = 6) -> Column:
     """Edge keys with ordered endpoints, rounded so that shared borders coincide."""
     point = lambda x, y: F.struct(F.round(x, digits).alias("x"), F.round(y, digits).alias("y"))

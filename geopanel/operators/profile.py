@@ -56,6 +56,28 @@ def grouped_profile(profile: DataFrame, grouped: Sequence[str], label: str = "ag
     )
 
 
+def frequent_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 4, share: int = 1000) -> DataFrame:
+    """``column, value, n, rank``: of every column the ``k`` most frequent values among those that more than one in ``share`` rows hold
+    (ties by value), with exact counts. NULL does not count.
+
+    A first scan keeps a bounded sketch of frequent items for each column, which misses none that so many rows hold; a second one counts
+    its candidates exactly. Neither keeps all values of a column anywhere.
+    """
+    names = [c for c in df.columns if columns is None or c in columns]
+    tracked = 1 << (8 * share - 1).bit_length()
+    text = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(names)])
+    sketch = text.agg(F.count(F.lit(1)).alias("rows"), *[F.expr(f"approx_top_k(c{i}, {2 * share}, {tracked})").alias(f"k{i}") for i in range(len(names))])
+    found = F.array(*[F.struct(F.lit(i).alias("at"), F.transform(f"k{i}", lambda x: x["item"]).alias("items")) for i in range(len(names))])
+    wanted = sketch.select("rows", F.inline(found)).select("rows", "at", F.explode("items").alias("value")).where("value IS NOT NULL")
+    held = text.select(F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(names))])).alias("at", "value"))
+    # 2 * share candidates a column at most
+    counts = held.join(F.broadcast(wanted), ["at", "value"]).groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"), F.first("rows").alias("rows"))
+    order = W.partitionBy("at").orderBy(F.col("n").desc(), "value")
+    top = counts.where(F.col("n") * share > F.col("rows")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    name = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at") + 1)
+    return top.select(name.alias("column"), "value", "n", "rank")
+
+
 def top_values(df: DataFrame, column: str, k: int = 4) -> DataFrame:
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()).limit(k)

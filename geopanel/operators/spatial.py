@@ -70,8 +70,24 @@ def _slab_intervals(edges: np.ndarray, xl: float, xr: float) -> np.ndarray:
     return y[np.argsort(y.sum(axis=1), kind="stable")].reshape(-1, 2, 2)
 
 
-def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """x of every proper intersection between two edge sets."""
+def _crossings(a: np.ndarray, b: np.ndarray, chunk: int = 256) -> np.ndarray:
+    """x of every proper intersection between two edge sets. ``a`` is swept from left to right; a chunk of its edges meets
+    those of ``b`` that share its range in x and y, so memory follows what lies side by side, not the product of both sets."""
+    box = lambda e: (np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2]), np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3]))
+    a, b = a[np.argsort(np.minimum(a[:, 0], a[:, 2]), kind="stable")], b[np.argsort(np.minimum(b[:, 0], b[:, 2]), kind="stable")]
+    a_lo, a_hi, a_low, a_high = box(a)
+    b_lo, b_hi, b_low, b_high = box(b)
+    found = []
+    for at in range(0, len(a), chunk):
+        part = slice(at, at + chunk)
+        until = np.searchsorted(b_lo, a_hi[part].max(), "right")
+        near = np.flatnonzero((b_hi[:until] >= a_lo[part].min()) & (b_high[:until] >= a_low[part].min()) & (b_low[:until] <= a_high[part].max()))
+        for first in range(0, near.size, 16 * chunk):
+            found.append(_crossings_of(a[part], b[near[first : first + 16 * chunk]]))
+    return np.concatenate(found) if found else np.zeros(0)
+
+
+def _crossings_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     dx1, dy1 = a[:, 2] - a[:, 0], a[:, 3] - a[:, 1]
     dx2, dy2 = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
     den = dx1[:, None] * dy2[None, :] - dy1[:, None] * dx2[None, :]
@@ -83,21 +99,37 @@ def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[i, 0] + t[i, j] * dx1[i]
 
 
-def intersection_area(left, right) -> float:
-    """Area of two (multi)polygons' intersection by vertical slabs: between two neighbouring vertex or
-    crossing abscissae no edges cross, so every overlap is a trapezoid."""
+def _between(edges: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """The edges over some of [lo, hi]."""
+    return edges[(np.minimum(edges[:, 0], edges[:, 2]) < hi) & (np.maximum(edges[:, 0], edges[:, 2]) > lo)]
+
+
+def intersection_area(left, right, block: int = 64) -> float:
+    """Area of two (multi)polygons' intersection by a sweep over vertical slabs: between two neighbouring vertex or
+    crossing abscissae no edges cross, so every overlap is a trapezoid. Edges beside the common range are left out, and
+    a block of slabs looks at the edges over it only."""
     a, b = _edges_of(left), _edges_of(right)
-    xs = np.unique(np.concatenate([a[:, 0], a[:, 2], b[:, 0], b[:, 2], _crossings(a, b)]))
+    if not len(a) or not len(b):
+        return 0.0
     x_lo, x_hi = max(a[:, [0, 2]].min(), b[:, [0, 2]].min()), min(a[:, [0, 2]].max(), b[:, [0, 2]].max())
+    a, b = _between(a, x_lo, x_hi), _between(b, x_lo, x_hi)
+    if x_lo >= x_hi or not len(a) or not len(b):
+        return 0.0
+    xs = np.unique(np.concatenate([a[:, 0], a[:, 2], b[:, 0], b[:, 2], _crossings(a, b), [x_lo, x_hi]]))
     xs = xs[(xs >= x_lo) & (xs <= x_hi)]
     total = 0.0
-    for xl, xr in zip(xs[:-1], xs[1:]):
-        pa, pb = _slab_intervals(a, xl, xr), _slab_intervals(b, xl, xr)
-        if not len(pa) or not len(pb):
+    for at in range(0, xs.size - 1, block):
+        part = xs[at : at + block + 1]
+        over_a, over_b = _between(a, part[0], part[-1]), _between(b, part[0], part[-1])
+        if not len(over_a) or not len(over_b):
             continue
-        low = np.maximum(pa[:, None, 0, :], pb[None, :, 0, :])
-        high = np.minimum(pa[:, None, 1, :], pb[None, :, 1, :])
-        total += float(np.maximum(high - low, 0.0).sum() * (xr - xl) / 2.0)
+        for xl, xr in zip(part[:-1], part[1:]):
+            pa, pb = _slab_intervals(over_a, xl, xr), _slab_intervals(over_b, xl, xr)
+            if not len(pa) or not len(pb):
+                continue
+            low = np.maximum(pa[:, None, 0, :], pb[None, :, 0, :])
+            high = np.minimum(pa[:, None, 1, :], pb[None, :, 1, :])
+            total += float(np.maximum(high - low, 0.0).sum() * (xr - xl) / 2.0)
     return total
 
 

@@ -103,6 +103,20 @@ def top_values(r: Roles):
     return profile.top_values(r.table("part"), "p_type", 4)
 
 
+_TEXT_COLUMNS = {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "l_linenumber": "l_linenumber", "l_quantity": "CAST(l_quantity AS INTEGER)", "l_suppkey": "l_suppkey", "l_partkey": "l_partkey"}
+_TOP = " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{c}' AS "column", value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM (
+    SELECT CAST({e} AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1) WHERE n * 1000 > (SELECT count(*) FROM lineitem)) WHERE rank <= 4"""
+    for c, e in _TEXT_COLUMNS.items()
+)
+
+
+@query("t06b_frequent_values", _TOP)
+def frequent(r: Roles):
+    """Frequent values of several columns at once, few or many distinct values."""
+    return profile.frequent_values(r.table("lineitem").withColumn("l_quantity", F.col("l_quantity").cast("int")), tuple(_TEXT_COLUMNS))
+
+
 @query("t07_sample_rows", "SELECT n_nationkey, 'n_nationkey=' || n_nationkey || '; n_name=' || n_name || '; n_regionkey=' || n_regionkey AS sample FROM nation ORDER BY n_nationkey LIMIT 2")
 def samples(r: Roles):
     return profile.samples(r.table("nation"), 2, ["n_nationkey"])

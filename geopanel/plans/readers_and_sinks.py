@@ -18,13 +18,11 @@ EDITIONS = tuple(range(1995, 2002))
 
 
 def _edition_files(r: Roles, rows: DataFrame, kind: str, write) -> list[str]:
-    """One folder per edition, named ``<kind>_<year>_01``: the reader takes the label from the path."""
-    paths = []
-    for year in EDITIONS:
-        path = scratch_path(r.spark, f"{kind}_{year}_01")
-        write(rows.where(F.col("cut") == year).drop("cut"), path)
-        paths.append(path)
-    return paths
+    """One folder per edition, named ``<kind>_<year>_01``, from one pass over the rows: the reader takes the label from the path."""
+    path = scratch_path(r.spark, kind)
+    named = rows.withColumn("edition", F.concat(F.lit(f"{kind}_"), F.col("cut").cast("string"), F.lit("_01"))).drop("cut")
+    write(named.where(F.col("edition").isNotNull()), path)
+    return [f"{path}/edition={kind}_{year}_01" for year in EDITIONS]
 
 
 def _base_columns(r: Roles):
@@ -45,7 +43,8 @@ def _base_columns(r: Roles):
 
 
 def _csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    out = df.write.option("header", True)
+    (out.partitionBy("edition") if "edition" in df.columns else out).csv(path)
 
 
 _ED = "year(l_shipdate) || '-01'"
@@ -125,6 +124,29 @@ def polygons(r: Roles):
     return b.select("cvegeo", "kind", "area", "b.x1", "b.y1")
 
 
+@query("s06b_polygon_rejects", with_ctes("supps", body="""SELECT CASE unit % 10 WHEN 0 THEN 'no_geometry' WHEN 1 THEN 'other_type' WHEN 2 THEN 'empty' WHEN 3 THEN 'short_ring' WHEN 4 THEN 'open_ring' END AS reject,
+    count(*) AS n FROM supps GROUP BY 1"""))
+def rejects(r: Roles):
+    """Usable and unusable features of one layer from one scan, counted by reason."""
+    x, y = F.col("x1").cast("string"), F.col("y1").cast("string")
+    point = lambda dx, dy: F.concat(F.lit("["), (F.col("x1") + dx).cast("string"), F.lit(","), (F.col("y1") + dy).cast("string"), F.lit("]"))
+    ring = lambda *ps: F.concat(F.lit("[["), F.concat_ws(",", *[point(*p) for p in ps]), F.lit("]]"))
+    kind = F.col("unit") % 10
+    geometry = lambda t, c: F.concat(F.lit(f'{{"type":"{t}","coordinates":'), c, F.lit("}"))
+    shape = (
+        F.when(kind == 0, "null")
+        .when(kind == 1, geometry("Point", F.concat(F.lit("["), x, F.lit(","), y, F.lit("]"))))
+        .when(kind == 2, geometry("Polygon", F.lit("[]")))
+        .when(kind == 3, geometry("Polygon", ring((0, 0), (9, 0), (0, 0))))
+        .when(kind == 4, geometry("Polygon", ring((0, 0), (9, 0), (9, 9), (0, 9))))
+        .otherwise(geometry("Polygon", ring((0, 0), (9, 0), (9, 9), (0, 9), (0, 0))))
+    )
+    path = scratch_path(r.spark, "layer")
+    key = F.concat(F.lit('{"type":"Feature","properties":{"cvegeo":"'), F.col("unit").cast("string"), F.lit('"},"geometry":'), shape, F.lit("}"))
+    r.squares(r.suppliers).select(key.alias("value")).write.text(path)
+    return readers.polygon_layer(r.spark, path, {"cvegeo": "string"}).groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
+
+
 _BLOCK_HEADER = ["mun", "loc", "ageb", "mza", "pobtot", *BANDS, "pob0_14"]
 
 

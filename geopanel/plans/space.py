@@ -118,6 +118,22 @@ def metric(r: Roles):
     return p.select("point", g.to_metres("lon", "lat").alias("m")).select("point", F.col("m.x").alias("mx"), F.col("m.y").alias("my"))
 
 
+_DEGREES = "(SELECT unit, (unit % 20) * 0.5e0 - 104 AS w, (unit // 20) * 0.5e0 % 60 - 30 AS s FROM supps)"
+
+
+@query(
+    "f13b_equal_area_overlay",
+    with_ctes("supps", body=f"""SELECT a.unit, b.unit AS other, {r6('round(6371.0088e0 ** 2 * radians(least(a.w, b.w + 0.2e0) + 0.5e0 - greatest(a.w, b.w + 0.2e0)) * (sin(radians(least(a.s, b.s) + 0.5e0)) - sin(radians(greatest(a.s, b.s)))), 3)')} AS km2
+    FROM {_DEGREES} a JOIN {_DEGREES} b ON least(a.w, b.w + 0.2e0) + 0.5e0 > greatest(a.w, b.w + 0.2e0) + 1e-9 AND least(a.s, b.s) + 0.5e0 > greatest(a.s, b.s) + 1e-9"""),
+)
+def equal_area(r: Roles):
+    """Squares of half a degree between 30 degrees south and north against the same moved eastwards, in square kilometres on the sphere."""
+    w, s = (F.col("unit") % 20) * 0.5 - 104.0, (F.floor(F.col("unit") / 20) * 0.5) % 60 - 30.0
+    layer = lambda key, east: r.suppliers.select(F.col("unit").alias(key), g.on_equal_area_plane(g.rectangle(w + east, s, w + east + 0.5, s + 0.5)).alias("geom"))
+    pairs = spatial.overlay(layer("unit", 0.0), layer("other", 0.2), 50_000.0, "unit", "other")
+    return pairs.where("area_inter > 1").select("unit", "other", F.round(F.col("area_inter") / 1e6, 3).alias("km2"))
+
+
 @query("u06_largest_polygon_per_key", with_ctes("squares", body="SELECT k, max(w) * 10 AS area FROM (SELECT unit % 30 AS k, 10e0 + unit % 7 AS w FROM squares) GROUP BY 1"))
 def largest(r: Roles):
     wide = r.squares(r.suppliers).select((F.col("unit") % 30).alias("k"), g.rectangle(F.col("x1"), F.col("y1"), F.col("x2") + F.col("unit") % 7, F.col("y2")).alias("geom"))

@@ -127,16 +127,29 @@ def inferred_properties(spark: SparkSession, paths, lines: bool = True) -> DataF
     return df.select("properties.*")
 
 
-def geojson_polygons(spark: SparkSession, paths, properties: dict[str, str], lines: bool = True) -> DataFrame:
-    """Properties plus ``kind`` and ``geom`` (MultiPolygon arrays). Features without a usable polygon —
-    missing, another type, or a ring of fewer than four points — are dropped."""
+def polygon_layer(spark: SparkSession, paths, properties: dict[str, str], lines: bool = True) -> DataFrame:
+    """Every feature, usable or not, from one scan: properties, ``kind``, ``geom`` (MultiPolygon arrays) and ``reject``, NULL for a usable
+    polygon, else the first of: ``no_geometry``, ``other_type``, ``empty``, ``short_ring`` (fewer than four points), ``open_ring``."""
     sep = " " if lines else ": "
     inner = ", ".join(f"`{p}`: {t}" for p, t in properties.items())
     spec = f"properties{sep}struct<{inner}>, geometry{sep}struct<type: string, coordinates: string>"
-    raw = _features(spark, paths, spec, lines).where(F.col("geometry.type").isin("Polygon", "MultiPolygon"))
-    geom = g.parse_multipolygon("geometry.type", "geometry.coordinates")
-    out = raw.select("properties.*", F.col("geometry.type").alias("kind"), geom.alias("geom"))
-    return out.where(F.size("geom") > 0).where(F.forall("geom", lambda p: F.forall(p, lambda r: F.size(r) >= 4)))
+    kind = F.col("geometry.type")
+    raw = _features(spark, paths, spec, lines).select("properties.*", kind.alias("kind"), g.parse_multipolygon("geometry.type", "geometry.coordinates").alias("geom"))
+    every = lambda test: F.forall("geom", lambda p: F.forall(p, test))
+    holds = lambda test: F.coalesce(test, F.lit(False))
+    reject = (
+        F.when(F.col("kind").isNull(), "no_geometry")
+        .when(~F.col("kind").isin("Polygon", "MultiPolygon"), "other_type")
+        .when(~holds((F.size("geom") > 0) & F.forall("geom", lambda p: F.size(p) > 0)), "empty")
+        .when(~holds(every(lambda r: F.size(r) >= 4)), "short_ring")
+        .when(~holds(every(lambda r: F.get(r, F.lit(0)) == F.element_at(r, -1))), "open_ring")
+    )
+    return raw.withColumn("reject", reject)
+
+
+def geojson_polygons(spark: SparkSession, paths, properties: dict[str, str], lines: bool = True) -> DataFrame:
+    """Properties plus ``kind`` and ``geom`` of the usable polygons; :func:`polygon_layer` has the others too, with reasons."""
+    return polygon_layer(spark, paths, properties, lines).where("reject IS NULL").drop("reject")
 
 
 def unit_universe(spark: SparkSession, paths, lines: bool = True) -> DataFrame:

@@ -99,3 +99,30 @@ def test_best_match_counts_partners_and_keeps_unmatched(spark):
     got = {r["unit"]: r for r in spatial.best_match(spatial.overlay(units, zones, 2.0, "unit", "zone"), units, "unit", "zone").collect()}
     assert got["a"]["zone"] == "q" and got["a"]["coverage_pct"] == 75.0 and got["a"]["n_partners"] == 2
     assert got["z"]["zone"] is None and got["z"]["n_partners"] == 0
+
+
+def ring_of(n, radius, x, y, waves):
+    """A star-like polygon of ``n`` vertices."""
+    t = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    r = radius * (1 + 0.1 * np.sin(waves * t))
+    pts = np.c_[x + r * np.cos(t), y + r * np.sin(t)].tolist()
+    return [[[*pts, pts[0]]]]
+
+
+def test_large_polygons_are_swept_in_little_memory():
+    import tracemalloc
+
+    a, b = ring_of(10_000, 10.0, 0.0, 0.0, 40), ring_of(10_000, 10.0, 3.0, 1.0, 25)
+    tracemalloc.start()
+    got = spatial.intersection_area(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    xs = np.random.default_rng(1).uniform(-12, 12, (400_000, 2))
+    inside = lambda p, cx, cy, w: np.hypot(p[:, 0] - cx, p[:, 1] - cy) < 10 * (1 + 0.1 * np.sin(w * np.arctan2(p[:, 1] - cy, p[:, 0] - cx)))
+    assert got == pytest.approx(24**2 * np.mean(inside(xs, 0, 0, 40) & inside(xs, 3, 1, 25)), rel=0.01)
+
+
+def test_sweep_in_chunks_finds_the_crossings_of_all_pairs():
+    a, b = (spatial._edges_of(ring_of(n, 5.0, x, 0.0, w)) for n, x, w in ((300, 0.0, 7), (211, 1.0, 11)))
+    assert np.allclose(np.sort(spatial._crossings(a, b, chunk=8)), np.sort(spatial._crossings_of(a, b)))
