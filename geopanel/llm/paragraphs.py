@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from geopanel.llm.common import SMALL, SPACE, Memo, fresh, join_counted, once_per_worker, texts
 from geopanel.llm.components import components
-from geopanel.session import let_go, materialised
+from geopanel.session import let_go, materialised, scratch_path
 
 
 @dataclasses.dataclass(frozen=True)
@@ -311,8 +311,14 @@ def slices(plain: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "cell", "w0", "b0", "p0", "starts", "raw"])
 
-    rows = _joined(plain, each, "doc_id", "inner", each.count()).select("doc_id", "text", "cells")
-    return rows.mapInArrow(run, "doc_id long, cell long, w0 int, b0 int, p0 int, starts array<int>, raw binary").distinct()
+    wanted_ids = each.count()
+    rows = _joined(plain, each, "doc_id", "inner", wanted_ids).select("doc_id", "text", "cells")
+    cut = rows.mapInArrow(run, "doc_id long, cell long, w0 int, b0 int, p0 int, starts array<int>, raw binary")
+    # Only rows that repeat give slices that repeat; where there are none, the slices need no shuffle.
+    once = _joined(plain.select("doc_id"), each.select("doc_id"), "doc_id", "left_semi", wanted_ids).count() == wanted_ids
+    path = scratch_path(plain.sparkSession, "slices")
+    (cut if once else cut.distinct()).write.option("compression", "zstd").parquet(path)
+    return plain.sparkSession.read.parquet(path)
 
 
 def _onward(a: np.ndarray, b: np.ndarray, i: int, j: int, s: Settings) -> list[tuple[int, int, int]]:
@@ -378,7 +384,7 @@ def stretched(plain: DataFrame, marked: DataFrame, s: Settings) -> DataFrame:
     asked = materialised(asked)
     counts = asked.groupBy("src", "src_cell").agg(F.count(F.lit(1)).alias("n"))
     wanted = asked.select("doc_id", "cell").unionAll(asked.select("src", "src_cell")).distinct()
-    cut = materialised(slices(plain, wanted, s))
+    cut = slices(plain, wanted, s)
     let_go(plain.sparkSession)
     part = lambda p: F.struct("w0", "b0", "p0", "starts", "raw").alias(p)
     first = cut.select(F.col("doc_id").alias("src"), F.col("cell").alias("src_cell"), part("a")).join(counts, ["src", "src_cell"])
