@@ -244,9 +244,11 @@ def duplicates(r: Roles):
     return quality.duplicate_keys(r.entities(), ["cut", "entity_id"])
 
 
-@query("q11_unique_grid", with_ctes("plong", body="SELECT unit, t, count(*) AS n FROM plong GROUP BY 1, 2 HAVING count(*) > 1"))
+@query("q11_unique_grid", with_ctes("plong", body="SELECT unit, t, count(*) AS n FROM (SELECT unit, t FROM plong UNION ALL SELECT unit, t FROM plong WHERE unit % 50 = 3 UNION ALL SELECT unit, t FROM plong WHERE unit % 70 = 9 AND t = 1998.5e0) GROUP BY 1, 2 HAVING count(*) > 1"))
 def unique_grid(r: Roles):
-    return quality.duplicate_keys(panel.supply_long(r.part_supply, CAL.cuts), ["unit", "t"])
+    """Repeated points planted by unit number in a grid that has none."""
+    grid = panel.supply_long(r.part_supply, CAL.cuts)
+    return quality.duplicate_keys(grid.unionAll(grid.where("unit % 50 = 3")).unionAll(grid.where("unit % 70 = 9 AND t = 1998.5D")), ["unit", "t"])
 
 
 @query("q12_key_and_box_checks", with_ctes("squares", body="""SELECT count(*) AS n_units, count(*) FILTER (WHERE ambit = 'urbano') AS n_urban, count(*) FILTER (WHERE ambit <> 'urbano') AS n_rural,
