@@ -135,7 +135,9 @@ def simulate_demand(
     shifts = sums.select(*keys, "grp", *[shift(f"_p{i}").alias(f"_k{i}") for i in range(len(pulls))])
     joined = with_groups(units, shifts, [*keys, "grp"], width=n_sim * len(pulls))
 
-    rates = lambda i: F.zip_with(pull(i), f"_k{i}", lambda p, k: _bounded(p + k))
+    lams = lambda rep: _persistences(rep, source, seed, fixed, lam)
+    # One pass for each persistence.
+    rates = lambda i: F.transform("_dev", lambda dev, rep: _bounded(F.col("rho_future") + lams(rep)[i] * dev + F.get(f"_k{i}", rep)))
 
     return joined.select(
         *keys, "unit", "grp", "n_obs", "base", "conf_base", "cap",
