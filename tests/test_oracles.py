@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = (
     "c00_top_opportunities", "c08_full_composition", "a01_distinct_entities", "a12_coverage_report", "a16_zone_summary", "w02_quantile_classes",
     "p08_no_data_reason", "j05_repeat_last_cut", "j08_overlay_areas", "e03_shrinkage", "e12_supply_posterior", "e15_leave_one_out", "m06_replicate_summary",
-    "b03_leave_group_out", "b11_adoption_decision", "d03_family_drift", "w08_entity_churn", "q07_record_violations", "s08_wide_projection", "f10_ring_area_and_orientation",
+    "b03_leave_group_out", "b11_adoption_decision", "b12_backtest_run", "c15_headline", "q05_root_aggregate", "q06_group_distribution", "q08_reconcile_levels", "s13_contract_documents", "d03_family_drift", "w08_entity_churn", "q07_record_violations", "s08_wide_projection", "f10_ring_area_and_orientation",
 )
 NAMES = sorted(entry_point.oracle_sql()) if os.environ.get("GEOPANEL_ALL") else SAMPLE
 
