@@ -25,6 +25,7 @@ read whole.
 from __future__ import annotations
 
 import dataclasses
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geopanel.llm.common import SMALL, SPACE, Memo, fresh, join_counted, once_per_worker, texts
+from geopanel.llm.common import SMALL, SPACE, fresh, join_counted, once_per_worker, texts
 from geopanel.llm.components import components
 from geopanel.session import let_go, materialised, scratch_path
 
@@ -68,13 +69,53 @@ def _windows(h: np.ndarray, width: int) -> np.ndarray:
     return _mixed(out)
 
 
-def _word_hashes(_):
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w), 500_000)
+_BLANK = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(SPACE, np.uint8))
+#: Masks of the first bytes of eight, and the longest word whose key is made of eight bytes at a time with those of all others.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+_LONG = 64
+
+
+def _slots(_):
+    return np.zeros(2**20, np.uint64), np.zeros(2**20, np.uint64)
+
+
+def words_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, first byte, byte after it) of each word of several texts; bytes are counted from the text's beginning."""
+    joined = b" ".join(raws) + b" " * 9
+    data = np.frombuffer(joined, np.uint8)
+    blank = _BLANK[data]
+    begin = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    end = np.flatnonzero(blank & ~np.r_[True, blank[:-1]])
+    size = end - begin
+    eight = np.ndarray((data.size - 7,), "<u8", joined, strides=(1,))
+    key = _mixed(size.astype(np.uint64) + _MIX)
+    at = np.flatnonzero(size <= _LONG)
+    for k in range(0, _LONG, 8):
+        at = at[size[at] > k]
+        if not at.size:
+            break
+        key[at] = _mixed((key[at] ^ (eight[begin[at] + k] & _FIRST[np.minimum(size[at] - k, 8)])) * _MIX + np.uint64(k + 1))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        key[i] = xxhash.xxh3_64_intdigest(joined[begin[i] : end[i]])
+    # A worker keeps the hashes of words in a table of fixed size by their keys; a word that is not in its place is hashed anew.
+    keys, values = once_per_worker(_slots, None)
+    slot = key >> np.uint64(44)
+    h, new = values[slot], np.flatnonzero(keys[slot] != key)
+    if new.size:
+        key, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+        at = new[first]
+        made = np.array([xxhash.xxh3_64_intdigest(joined[i:j]) for i, j in zip(begin[at].tolist(), end[at].tolist())], np.uint64)
+        h[new] = made[back]
+        slot, first = np.unique(key >> np.uint64(44), return_index=True)
+        keys[slot], values[slot] = key[first], made[first]
+    lengths = np.array([len(r) + 1 for r in raws], np.int64)
+    base = np.cumsum(lengths) - lengths
+    doc = np.searchsorted(base, begin, "right") - 1
+    return h, doc, begin - base[doc], end - base[doc]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    memo = once_per_worker(_word_hashes, None)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    return words_of([b" ".join(words)])[0]
 
 
 def cuts(h: np.ndarray, doc: np.ndarray, radius: int) -> np.ndarray:
@@ -112,28 +153,11 @@ def shingle_sets(h: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarr
     return key[order], np.searchsorted(owner[order], np.arange(start.size))
 
 
-def word_spans(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of each word and the byte after it, each counted from its text's beginning."""
-    size = np.array([len(r) + 1 for r in raws], np.int64)
-    blank = np.isin(np.frombuffer(b" ".join(raws) + b" ", np.uint8), np.frombuffer(SPACE, np.uint8))
-    begin = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    end = np.flatnonzero(blank & ~np.r_[True, blank[:-1]])
-    base = np.cumsum(size) - size
-    base = base[np.searchsorted(base, begin, "right") - 1]
-    return begin - base, end - base
-
-
 def paragraph_rows(raws: list[bytes], s: Settings, sets: bool = False, spans: bool = False, bands: bool = False) -> dict[str, np.ndarray]:
     """Paragraphs of several texts: text number, number there, words and content hash; byte spans, band values, or shingles
     (with where each paragraph's begin) where asked for."""
-    words: list[bytes] = []
-    counts = np.zeros(len(raws), np.int64)
-    for i, raw in enumerate(raws):
-        w = raw.split()
-        words += w
-        counts[i] = len(w)
-    h = word_hashes(words)
-    doc = np.repeat(np.arange(len(raws)), counts)
+    h, doc, begin, end = words_of(raws)
+    counts = np.bincount(doc, minlength=len(raws))
     start = cuts(h, doc, s.radius)
     size = np.diff(np.r_[start, h.size])
     at = doc[start]
@@ -143,7 +167,6 @@ def paragraph_rows(raws: list[bytes], s: Settings, sets: bool = False, spans: bo
     out["word"] = start - (np.cumsum(counts) - counts)[at]
     out["h"] = np.add.reduceat(_mixed(h + _mixed(place.astype(np.uint64) + _MIX)), start) if start.size else h
     if spans:
-        begin, end = word_spans(raws)
         out["begin"], out["end"] = begin[start], end[start + size - 1]
     if sets or bands:
         key, edge = shingle_sets(h, start, s.shingle)
@@ -297,16 +320,20 @@ def slices(plain: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, raw, cells in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("cells").to_pylist()):
-                begin, end = word_spans([raw])
-                h = word_hashes(raw.split())
-                start = cuts(h, np.zeros(h.size, np.int64), s.radius)
-                for cell in cells:
-                    lo, hi = max(0, cell * s.cell - s.around), min(h.size, (cell + 2) * s.cell + s.around)
-                    if lo < hi:
-                        p = int(np.searchsorted(start, lo, "right"))
-                        later = start[p : int(np.searchsorted(start, hi))] - lo
-                        rows.append((doc_id, cell, lo, int(begin[lo]), p - 1, later.tolist(), raw[begin[lo] : end[hi - 1]]))
+            for at in range(0, b.num_rows, 64):
+                some = b.slice(at, 64)
+                raws = some.column("text").cast(pa.binary()).to_pylist()
+                h, doc, begin, end = words_of(raws)
+                starts = cuts(h, doc, s.radius)
+                edge, first = (np.searchsorted(x, np.arange(len(raws) + 1)).tolist() for x in (doc, doc[starts]))
+                for i, (doc_id, raw, cells) in enumerate(zip(some.column("doc_id").to_pylist(), raws, some.column("cells").to_pylist())):
+                    base, size, start = edge[i], edge[i + 1] - edge[i], starts[first[i] : first[i + 1]] - edge[i]
+                    for cell in cells:
+                        lo, hi = max(0, cell * s.cell - s.around), min(size, (cell + 2) * s.cell + s.around)
+                        if lo < hi:
+                            p = int(np.searchsorted(start, lo, "right"))
+                            later = start[p : int(np.searchsorted(start, hi))] - lo
+                            rows.append((doc_id, cell, lo, int(begin[base + lo]), p - 1, later.tolist(), raw[begin[base + lo] : end[base + hi - 1]]))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "cell", "w0", "b0", "p0", "starts", "raw"])
@@ -321,28 +348,41 @@ def slices(plain: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return plain.sparkSession.read.parquet(path)
 
 
-def _onward(a: np.ndarray, b: np.ndarray, i: int, j: int, s: Settings) -> list[tuple[int, int, int]]:
-    """(place in a, place in b, words) of the equal stretches from (i, j) on, changes of a few words between them."""
-    steps = sorted(((x, y) for x in range(s.change + 1) for y in range(s.change + 1) if x or y), key=lambda t: (max(t), sum(t)))
+@functools.lru_cache(maxsize=4)
+def _steps(change: int) -> np.ndarray:
+    """Rank of each change of x words against y, small ones first; no change at all comes last."""
+    order = sorted(((x, y) for x in range(change + 1) for y in range(change + 1)), key=lambda t: (t == (0, 0), max(t), sum(t)))
+    rank = np.zeros((change + 1, change + 1), np.int64)
+    for k, step in enumerate(order):
+        rank[step] = k
+    return rank
+
+
+def _onward(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, i: int, j: int, s: Settings) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, words) of the equal stretches from (i, j) on, changes of a few words between them. ``wa`` and
+    ``wb`` are the hashes of their shingles."""
+    rank = _steps(s.change)
     out = []
     while True:
         n = min(a.size - i, b.size - j)
-        other = np.flatnonzero(a[i : i + n] != b[j : j + n])
-        n = int(other[0]) if other.size else n
+        other = (a[i : i + n] != b[j : j + n]).argmax() if n else 0
+        n = int(other) if n and a[i + other] != b[j + other] else n
         if n:
             out.append((i, j, n))
-        i, j, w = i + n, j + n, s.shingle
-        for x, y in steps:
-            if i + x + w <= a.size and j + y + w <= b.size and np.array_equal(a[i + x : i + x + w], b[j + y : j + y + w]):
-                i, j = i + x, j + y
-                break
-        else:
+        i, j = i + n, j + n
+        x, y = (wa[i : i + s.change + 1, None] == wb[None, j : j + s.change + 1]).nonzero()
+        if not x.size:
+            return out
+        k = int(rank[x, y].argmin())
+        if not x[k] and not y[k]:
             return out
+        i, j = i + int(x[k]), j + int(y[k])
 
 
-def stretch(a: np.ndarray, b: np.ndarray, i: int, j: int, size: int, s: Settings) -> tuple[int, int, int, int] | None:
+def stretch(a: np.ndarray, b: np.ndarray, i: int, j: int, size: int, s: Settings, wa: np.ndarray | None = None, wb: np.ndarray | None = None) -> tuple[int, int, int, int] | None:
     """(begin, end) in both texts of the longest stretch around an anchor of ``size`` words at (i, j) whose shingle similarity
-    is high enough; None if the anchor's places have no shingle in common."""
+    is high enough; None if the anchor's places have no shingle in common. ``wa`` and ``wb`` are the hashes of their shingles."""
+    wa, wb = _windows(a, s.shingle) if wa is None else wa, _windows(b, s.shingle) if wb is None else wb
     for d in sorted(range(-s.shingle, s.shingle + 1), key=abs):
         x, y = max(i, d - j, 0), max(i, d - j, 0) - i + j + d
         if y < 0:
@@ -350,15 +390,16 @@ def stretch(a: np.ndarray, b: np.ndarray, i: int, j: int, size: int, s: Settings
         n = min(size, a.size - x, b.size - y)
         if n < s.shingle:
             continue
-        run = np.convolve(a[x : x + n] == b[y : y + n], np.ones(s.shingle, np.int64), "valid") == s.shingle
-        if run.any():
-            k = int(np.argmax(run))
+        run = wa[x : x + n - s.shingle + 1] == wb[y : y + n - s.shingle + 1]
+        k = int(run.argmax())
+        if run[k]:
             x, y = x + k, y + k
             break
     else:
         return None
-    after = _onward(a, b, x, y, s)
-    before = [(x - p - n, y - q - n, n) for p, q, n in _onward(a[:x][::-1], b[:y][::-1], 0, 0, s)][::-1]
+    after = _onward(a, b, wa, wb, x, y, s)
+    back = lambda w, to: w[: max(0, to - s.shingle + 1)][::-1]
+    before = [(x - p - n, y - q - n, n) for p, q, n in _onward(a[:x][::-1], b[:y][::-1], back(wa, x), back(wb, y), 0, 0, s)][::-1]
     if before and before[-1][0] + before[-1][2] == x and before[-1][1] + before[-1][2] == y:
         p, q, n = before.pop()
         after[0] = (p, q, n + after[0][2])
@@ -395,24 +436,31 @@ def stretched(plain: DataFrame, marked: DataFrame, s: Settings) -> DataFrame:
         no = lambda w: x["p0"] + int(np.searchsorted(x["starts"], w, "right"))
         return x["w0"] + lo, x["w0"] + hi, no(lo), no(hi - 1), x["b0"] + int(begin[lo]), x["b0"] + int(end[hi - 1])
 
+    def read(raws: list[bytes]):
+        """Hashes, shingles, first bytes and ends of the words of each slice."""
+        h, doc, begin, end = words_of(raws)
+        edge = np.searchsorted(doc, np.arange(len(raws) + 1))
+        w = _windows(h, s.shingle)  # those that cross into the next slice are left out below
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            yield h[lo:hi], w[lo : max(lo, hi - s.shingle + 1)], begin[lo:hi], end[lo:hi]
+
     def run(batches):
         for batch in batches:
             out = set()
-            for r in batch.to_pylist():
-                a, b = r["a"], r["b"]
-                ha, hb = word_hashes(a["raw"].split()), word_hashes(b["raw"].split())
-                spans_a = spans_b = None
-                done: list[tuple[int, int, int]] = []
-                for x in sorted(r["asked"], key=lambda x: x["lo"]):
-                    if any(d == x["shift"] and lo <= x["lo"] and x["hi"] <= hi for lo, hi, d in done):
-                        continue
-                    got = stretch(ha, hb, x["lo"] - x["shift"] - a["w0"], x["lo"] - b["w0"], x["hi"] - x["lo"], s)
-                    if got is None or got[3] - got[2] < s.run_words:
-                        continue
-                    done.append((got[2] + b["w0"], got[3] + b["w0"], x["shift"]))
-                    spans_a, spans_b = spans_a or word_spans([a["raw"]]), spans_b or word_spans([b["raw"]])
-                    out.add((r["src"], False, *place(a, *spans_a, *got[:2]), r["src"]))
-                    out.add((r["doc_id"], True, *place(b, *spans_b, *got[2:]), r["src"]))
+            for lo in range(0, batch.num_rows, 64):
+                some = batch.slice(lo, 64).to_pylist()
+                for r, (ha, wa, *at_a), (hb, wb, *at_b) in zip(some, read([r["a"]["raw"] for r in some]), read([r["b"]["raw"] for r in some])):
+                    a, b = r["a"], r["b"]
+                    done: list[tuple[int, int, int]] = []
+                    for x in sorted(r["asked"], key=lambda x: x["lo"]):
+                        if any(d == x["shift"] and lo <= x["lo"] and x["hi"] <= hi for lo, hi, d in done):
+                            continue
+                        got = stretch(ha, hb, x["lo"] - x["shift"] - a["w0"], x["lo"] - b["w0"], x["hi"] - x["lo"], s, wa, wb)
+                        if got is None or got[3] - got[2] < s.run_words:
+                            continue
+                        done.append((got[2] + b["w0"], got[3] + b["w0"], x["shift"]))
+                        out.add((r["src"], False, *place(a, *at_a, *got[:2]), r["src"]))
+                        out.add((r["doc_id"], True, *place(b, *at_b, *got[2:]), r["src"]))
             if out:
                 kinds = [pa.int64(), pa.bool_(), *[pa.int32()] * 6, pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "removed", "lo", "hi", "paragraph", "last", "begin", "end", "first_id"])
