@@ -183,15 +183,28 @@ def box_pairs(a: DataFrame, b: DataFrame, size: float, key_a: str, key_b: str, g
     return large_left.unionByName(large_right).where(f"{overlap} AND {owner}").select(key_a, key_b)
 
 
+def _shapes(df: DataFrame, key: str, geom: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Which shape every key has, and every shape once: geometries are one shape if all their numbers are equal."""
+    shape, own = f"_{prefix}", f"_g{prefix}"
+    digest = F.unhex(F.sha2(F.to_json(F.col(geom)), 256))
+    keyed = materialised(df.where(F.col(geom).isNotNull()).select(key, digest.alias(shape), F.col(geom).alias(own)))
+    return keyed.select(key, shape), keyed.groupBy(shape).agg(F.first(own).alias(own))
+
+
 def overlay(a: DataFrame, b: DataFrame, size: float, key_a: str, key_b: str, geom_a: str = "geom", geom_b: str = "geom") -> DataFrame:
-    """``key_a, key_b, area_a, area_b, area_inter`` of every overlapping pair. Geometries join only the
-    surviving candidates; the grid join moves boxes."""
-    left = a.select(key_a, F.col(geom_a).alias("_ga"), g.area(geom_a).alias("area_a"))
-    right = b.select(key_b, F.col(geom_b).alias("_gb"), g.area(geom_b).alias("area_b"))
-    pairs = box_pairs(a, b, size, key_a, key_b, geom_a, geom_b).join(left, key_a).join(right, key_b)
-    pairs = pairs.select(key_a, key_b, "area_a", "area_b", "_ga", "_gb")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields if not f.name.startswith("_"))
-    return pairs.mapInPandas(_areas, f"{schema}, area_inter double").where(F.col("area_inter") > 0)
+    """``key_a, key_b, area_a, area_b, area_inter`` of every overlapping pair. Boxes and geometries meet once for each pair of
+    different shapes, however many keys share these; keys join the pairs that overlap. Geometries join only the surviving
+    candidates; the grid join moves boxes."""
+    keys_a, shapes_a = _shapes(a, key_a, geom_a, "a")
+    keys_b, shapes_b = _shapes(b, key_b, geom_b, "b")
+    left = shapes_a.withColumn("area_a", g.area("_ga"))
+    right = shapes_b.withColumn("area_b", g.area("_gb"))
+    pairs = box_pairs(shapes_a, shapes_b, size, "_a", "_b", "_ga", "_gb").join(left, "_a").join(right, "_b")
+    pairs = pairs.select("_a", "_b", "area_a", "area_b", "_ga", "_gb")
+    met = pairs.mapInPandas(_areas, "_a binary, _b binary, area_a double, area_b double, area_inter double").where(F.col("area_inter") > 0)
+    # Written, so that what keys multiply is known by its rows.
+    keyed = materialised(met).join(keys_a, "_a").join(keys_b, "_b")
+    return keyed.select(key_a, key_b, "area_a", "area_b", "area_inter")
 
 
 def best_match(pairs: DataFrame, units: DataFrame, key: str, partner: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -126,3 +126,22 @@ def test_large_polygons_are_swept_in_little_memory():
 def test_sweep_in_chunks_finds_the_crossings_of_all_pairs():
     a, b = (spatial._edges_of(ring_of(n, 5.0, x, 0.0, w)) for n, x, w in ((300, 0.0, 7), (211, 1.0, 11)))
     assert np.allclose(np.sort(spatial._crossings(a, b, chunk=8)), np.sort(spatial._crossings_of(a, b)))
+
+
+def test_equal_shapes_meet_once_and_every_pair_of_keys_is_found(spark, monkeypatch):
+    import geopanel.operators.spatial as spatial
+
+    asked, real = [], spatial.box_pairs
+
+    def counted(a, b, *rest):
+        asked.append((a.count(), b.count()))
+        return real(a, b, *rest)
+
+    monkeypatch.setattr(spatial, "box_pairs", counted)
+    x = (F.col("unit") % 2) * 10.0
+    layer = lambda n, shift: spark.range(n).withColumnRenamed("id", "unit").select("unit", g.rectangle(x + shift, F.lit(0.0), x + shift + 10.0, F.lit(10.0)).alias("geom"))
+    rows = spatial.overlay(layer(20, 0.0), layer(30, 4.0).withColumnRenamed("unit", "other"), 10.0, "unit", "other").collect()
+    assert asked == [(2, 2)]
+    want = {(u, o): 60.0 if u % 2 == o % 2 else 40.0 for u in range(20) for o in range(30) if u % 2 >= o % 2}
+    assert {(r.unit, r.other): r.area_inter for r in rows} == want and len(rows) == len(want)
+    assert {(r.area_a, r.area_b) for r in rows} == {(100.0, 100.0)}
