@@ -203,6 +203,12 @@ def _arrow(docs: DataFrame, s: Settings, names: dict[str, str], **want) -> DataF
     return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in names.items()))
 
 
+def _lists(x: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a column of lists as arrays, without a Python object for each number."""
+    edge, flat = x.offsets.to_pylist(), x.values.to_numpy(zero_copy_only=False)
+    return [flat[lo:hi] for lo, hi in zip(edge[:-1], edge[1:])]
+
+
 def _mixed_groups(rows: DataFrame) -> DataFrame:
     """Rows of band values that several paragraphs share, and all rows of bands below zero, from a stream sorted by band and value."""
     def run(batches):
@@ -275,13 +281,13 @@ def verified(rows: DataFrame, s: Settings) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([h[i] for i, _ in got], pa.int64()), pa.array([h[j] for _, j in got], pa.int64())], ["a", "b"])
 
         for b in batches:
-            for key, value, one, items in zip(b.column("band").to_pylist(), b.column("value").to_pylist(), b.column("h").to_pylist(), b.column("sets").to_pylist()):
+            for key, value, one, items in zip(b.column("band").to_pylist(), b.column("value").to_pylist(), b.column("h").to_pylist(), _lists(b.column("sets"))):
                 if (key, value) != group:
                     if len(h) > 1:
                         yield links()
                     group, h, sets = (key, value), [], []
                 h.append(one)
-                sets.append(frozenset(items))
+                sets.append(frozenset(items.tolist()))
         if len(h) > 1:
             yield links()
 
@@ -444,11 +450,16 @@ def stretched(plain: DataFrame, marked: DataFrame, s: Settings) -> DataFrame:
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             yield h[lo:hi], w[lo : max(lo, hi - s.shingle + 1)], begin[lo:hi], end[lo:hi]
 
+    def parts(x: pa.StructArray) -> list[dict]:
+        plain = zip(*[x.field(c).to_pylist() for c in ("w0", "b0", "p0", "raw")], _lists(x.field("starts")))
+        return [dict(zip(("w0", "b0", "p0", "raw", "starts"), values)) for values in plain]
+
     def run(batches):
         for batch in batches:
             out = set()
-            for lo in range(0, batch.num_rows, 64):
-                some = batch.slice(lo, 64).to_pylist()
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
+                some = [dict(zip(("doc_id", "src", "asked", "a", "b"), row)) for row in zip(*[piece.column(c).to_pylist() for c in ("doc_id", "src", "asked")], parts(piece.column("a")), parts(piece.column("b")))]
                 for r, (ha, wa, *at_a), (hb, wb, *at_b) in zip(some, read([r["a"]["raw"] for r in some]), read([r["b"]["raw"] for r in some])):
                     a, b = r["a"], r["b"]
                     done: list[tuple[int, int, int]] = []

@@ -111,3 +111,11 @@ def test_a_repeated_period_keeps_its_first_one(documents):
     period = made_up(40, 77)
     docs = documents([(1, " ".join([period] * 3))])
     assert [r.text.strip() for r in p.without_repeats(docs, p.repeated(docs)).collect()] == [period]
+
+
+def test_lists_of_a_sliced_column_are_arrays():
+    import pyarrow as pa
+
+    whole = pa.array([{"x": [1, 2]}, {"x": []}, {"x": [3]}, {"x": [4, 5, 6]}], pa.struct({"x": pa.list_(pa.int32())}))
+    for part, want in ((whole, [[1, 2], [], [3], [4, 5, 6]]), (whole.slice(1, 2), [[], [3]]), (whole.slice(3), [[4, 5, 6]])):
+        assert [x.tolist() for x in p._lists(part.field("x"))] == want
