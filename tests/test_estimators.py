@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from geopanel.functions import draws
 from geopanel.operators import backtest, estimate, quality, replicate
 from geopanel.operators.calendar import Calendar
+from geopanel.plans.estimation import fit_sql
 
 CAL = Calendar()
 
@@ -56,6 +58,26 @@ def test_separated_and_empty_counts(spark):
     assert got["b"]["no_data"] and got["b"]["b_hat"] is None and not got["b"]["reliable"]
 
 
+def test_fit_follows_the_c_library_to_the_last_bit(monkeypatch):
+    """Counts 8, 0, 8 have a slope variance of 3 / 128 = 0.0234375, so the last bit decides the sixth decimal. numpy's exp and ln
+    are its own on some processors; here they are one bit off on purpose."""
+    src = "SELECT * FROM (VALUES (8, 0, 8), (3, 5, 4), (0, 0, 7)) t(s0, s1, s2)"
+    want = duckdb.execute(f"WITH RECURSIVE {fit_sql(src)} SELECT s0, s1, s2, a_hat, b_hat, var_b FROM fitted ORDER BY s0, s1, s2").fetchall()
+    exp, log = np.exp, np.log
+    monkeypatch.setattr(np, "exp", lambda v: np.nextafter(exp(v), np.inf))
+    monkeypatch.setattr(np, "log", lambda v: np.nextafter(log(v), np.inf))
+    rows = np.array([w[:3] for w in want], float)
+    got = np.column_stack([rows, *estimate._scoring_steps(rows, np.array([-2.0, 0.0, 2.0]), estimate.FIT_STEPS)])
+    assert got.tolist() == [list(map(float, w)) for w in want]
+
+
+def test_equal_counts_get_equal_fits(spark):
+    counts = [[8, 0, 8], [0, 0, 0], [3, 5, 4], [8, 0, 8], [0, 0, 7], [3, 5, 4]]
+    rows = spark.createDataFrame([(f"u{i}", "g", c) for i, c in enumerate(counts)], "unit string, grp string, s array<bigint>").coalesce(1)
+    got = {r["unit"]: (r["a_hat"], r["b_hat"], r["var_b"]) for r in estimate.fit_supply(rows, CAL).collect()}
+    assert got["u0"] == got["u3"] != got["u2"] == got["u5"] and got["u1"] == (None, None, None) and got["u4"][1] > 1
+
+
 def test_pooled_variance_matches_direct_formula(spark):
     rates = estimate.demand_rates(some_demand(spark), ["segment"], CAL.dt)
     p = rates.where("r_hat IS NOT NULL").toPandas()
