@@ -210,21 +210,22 @@ def _lists(x: pa.ListArray) -> list[np.ndarray]:
 
 
 def _mixed_groups(rows: DataFrame) -> DataFrame:
-    """Rows of band values that several paragraphs share, and all rows of bands below zero, from a stream sorted by band and value."""
+    """Rows of band values that several paragraphs share, and all rows of bands below zero, from a stream sorted by value alone: a single
+    number is sorted without comparing rows. Where bands have a value in common, rows that are alone in theirs may stay."""
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def kept(table: pa.Table) -> pa.Table:
             band, value = table.column("band").to_numpy(), table.column("value").to_numpy()
-            same = (band[1:] == band[:-1]) & (value[1:] == value[:-1])
+            same = value[1:] == value[:-1]
             return table.filter(pa.array((band < 0) | np.r_[False, same] | np.r_[same, False]))
 
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) >= 20_000:
                 table = pa.Table.from_batches(held)
-                band, value = table.column("band").to_numpy(), table.column("value").to_numpy()
-                other = np.flatnonzero((band != band[-1]) | (value != value[-1]))
+                value = table.column("value").to_numpy()
+                other = np.flatnonzero(value != value[-1])
                 cut = int(other[-1]) + 1 if other.size else 0
                 if cut:  # the last value stays open
                     yield from kept(table.slice(0, cut)).to_batches()
@@ -235,12 +236,16 @@ def _mixed_groups(rows: DataFrame) -> DataFrame:
         if held:
             yield from kept(pa.Table.from_batches(held)).to_batches()
 
-    return rows.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(run, rows.schema)
+    return rows.repartition("value").sortWithinPartitions("value").mapInArrow(run, rows.schema)
 
 
 def similar_pairs(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
     """A tree of links over the pairs with at least this Jaccard similarity. Sets are compared only if they share one of
     their rarest shingles: of n shingles, the n - ceil(similarity * n) + 1 rarest cannot all be missing in a similar set."""
+    if len(sets) == 2:  # as most band values have it
+        x, y = sets
+        both = len(x & y)
+        return [(1, 0)] if both and both >= similarity * (len(x) + len(y) - both) else []
     count: dict[int, int] = {}
     for x in sets:
         for k in x:
@@ -388,6 +393,8 @@ def _onward(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, i: int
 def stretch(a: np.ndarray, b: np.ndarray, i: int, j: int, size: int, s: Settings, wa: np.ndarray | None = None, wb: np.ndarray | None = None) -> tuple[int, int, int, int] | None:
     """(begin, end) in both texts of the longest stretch around an anchor of ``size`` words at (i, j) whose shingle similarity
     is high enough; None if the anchor's places have no shingle in common. ``wa`` and ``wb`` are the hashes of their shingles."""
+    if a is b and i == j >= 0 and min(size, a.size - i) >= s.shingle:
+        return 0, a.size, 0, a.size
     wa, wb = _windows(a, s.shingle) if wa is None else wa, _windows(b, s.shingle) if wb is None else wb
     for d in sorted(range(-s.shingle, s.shingle + 1), key=abs):
         x, y = max(i, d - j, 0), max(i, d - j, 0) - i + j + d
@@ -442,13 +449,16 @@ def stretched(plain: DataFrame, marked: DataFrame, s: Settings) -> DataFrame:
         no = lambda w: x["p0"] + int(np.searchsorted(x["starts"], w, "right"))
         return x["w0"] + lo, x["w0"] + hi, no(lo), no(hi - 1), x["b0"] + int(begin[lo]), x["b0"] + int(end[hi - 1])
 
-    def read(raws: list[bytes]):
-        """Hashes, shingles, first bytes and ends of the words of each slice."""
-        h, doc, begin, end = words_of(raws)
-        edge = np.searchsorted(doc, np.arange(len(raws) + 1))
+    def read(raws: list[bytes]) -> list[tuple]:
+        """Hashes, shingles, first bytes and ends of the words of each slice; equal slices are read once and give the same arrays."""
+        place: dict[bytes, int] = {}
+        for raw in raws:
+            place.setdefault(raw, len(place))
+        h, doc, begin, end = words_of(list(place))
+        edge = np.searchsorted(doc, np.arange(len(place) + 1))
         w = _windows(h, s.shingle)  # those that cross into the next slice are left out below
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            yield h[lo:hi], w[lo : max(lo, hi - s.shingle + 1)], begin[lo:hi], end[lo:hi]
+        each = [(h[lo:hi], w[lo : max(lo, hi - s.shingle + 1)], begin[lo:hi], end[lo:hi]) for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        return [each[place[raw]] for raw in raws]
 
     def parts(x: pa.StructArray) -> list[dict]:
         plain = zip(*[x.field(c).to_pylist() for c in ("w0", "b0", "p0", "raw")], _lists(x.field("starts")))
@@ -460,7 +470,8 @@ def stretched(plain: DataFrame, marked: DataFrame, s: Settings) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 piece = batch.slice(at, 64)
                 some = [dict(zip(("doc_id", "src", "asked", "a", "b"), row)) for row in zip(*[piece.column(c).to_pylist() for c in ("doc_id", "src", "asked")], parts(piece.column("a")), parts(piece.column("b")))]
-                for r, (ha, wa, *at_a), (hb, wb, *at_b) in zip(some, read([r["a"]["raw"] for r in some]), read([r["b"]["raw"] for r in some])):
+                both = read([r[x]["raw"] for x in ("a", "b") for r in some])
+                for r, (ha, wa, *at_a), (hb, wb, *at_b) in zip(some, both[: len(some)], both[len(some) :]):
                     a, b = r["a"], r["b"]
                     done: list[tuple[int, int, int]] = []
                     for x in sorted(r["asked"], key=lambda x: x["lo"]):

@@ -27,6 +27,28 @@ def test_repeated_passages_are_found_and_clean_texts_left(documents):
     assert all(len(left[i]) < len(by_id[i]) - 100 for i in (2, 3, 4, 5))
 
 
+def test_shared_band_values_come_from_a_sort_by_one_number(spark):
+    rows = [(0, 7, 1), (0, 7, 2), (1, 7, 3), (0, 8, 4), (1, 9, 5), (1, 9, 6), (2, 10, 7), (-3, 11, 8)]
+    found = p._mixed_groups(spark.createDataFrame(rows, "band int, value long, h long"))
+    assert {2, 1, 5, 6, 8} <= {r.h for r in found.collect()} <= {1, 2, 3, 5, 6, 8}
+    sort = found._jdf.queryExecution().optimizedPlan().toString().split("Sort [")[1].split("]")[0]
+    assert sort.startswith("value") and "," not in sort
+
+
+def test_two_sets_are_compared_as_in_larger_groups():
+    random.seed(4)
+    for _ in range(300):
+        x, y = (frozenset(random.sample(range(9), random.randint(1, 9))) for _ in "xy")
+        assert len(p.similar_pairs([x, y], 0.8)) == len(p.similar_pairs([x, y, frozenset([99])], 0.8))
+
+
+def test_a_text_against_itself_is_taken_whole():
+    h = p.word_hashes(made_up(60, 2).encode().split())
+    for i in (0, 9, 40, 56, 58):
+        assert p.stretch(h, h, i, i, 10, p.Settings()) == p.stretch(h, h.copy(), i, i, 10, p.Settings())
+    assert p.stretch(h, h, 9, 9, 10, p.Settings()) == (0, 60, 0, 60)
+
+
 def test_near_paragraphs_are_linked():
     words = made_up(40, 3).split()
     a, b = frozenset(zip(words, words[1:])), frozenset(zip(words[2:], words[3:]))
