@@ -8,6 +8,7 @@ from geopanel.functions import geometry as g
 from geopanel.operators import quality, spatial
 from geopanel.plans.registry import query, r6, with_ctes
 from geopanel.plans.roles import CELL_SIZE, Roles
+from geopanel.session import spread
 
 SHIFT = 2.5
 # Overlap areas of axis-aligned rectangles.
@@ -103,7 +104,7 @@ def orientation(r: Roles):
 @query("f11_interior_point", with_ctes("squares", body=f"SELECT unit, {r6('x1 + 5')} AS x, {r6('y1 + 5')} AS y FROM squares"))
 def interior(r: Roles):
     p = g.interior_point("geom")
-    return r.squares(r.suppliers).select("unit", p.alias("p")).select("unit", "p.x", "p.y")
+    return r.squares(spread(r.suppliers, "unit")).select("unit", p.alias("p")).select("unit", "p.x", "p.y")
 
 
 @query("f12_layer_extent", with_ctes("squares", body="SELECT count(*) AS n, 0 AS n_without, 'MultiPolygon' AS kinds, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM squares"))
