@@ -39,9 +39,8 @@ def root(r: Roles):
     ),
 )
 def replicate_quantiles(r: Roles):
-    ordered = F.sort_array("r")
-    q = lambda p, name: replicate._quantile(ordered, p).alias(name)
-    return _supply_sim(r).select("cell", "unit", q(0.025, "q_lo"), q(0.5, "q_mid"), q(0.975, "q_hi"))
+    q = lambda p, name: replicate.quantile(r.supply_run, p).alias(name)
+    return replicate.statistics(r.supply_run).select("cell", "unit", q(0.025, "q_lo"), q(0.5, "q_mid"), q(0.975, "q_hi"))
 
 
 _SHARE = lambda cond: r6(f"avg(CASE WHEN {cond} THEN 1e0 ELSE 0e0 END)")
