@@ -53,7 +53,7 @@ _SHARE = lambda cond: r6(f"avg(CASE WHEN {cond} THEN 1e0 ELSE 0e0 END)")
     ),
 )
 def threshold(r: Roles):
-    return replicate.probabilities(_supply_sim(r)).select("cell", "unit", "p_up", "p_down", "p_flat")
+    return replicate.statistics(r.supply_run).select("cell", "unit", "p_up", "p_down", "p_flat")
 
 
 @query(

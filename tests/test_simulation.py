@@ -103,7 +103,7 @@ def test_median_coverage_without_replicates_equals_written_ones(spark, monkeypat
     assert found[units[0]] == 0.0 and found[units[1]] is None and found[units[2]] > 0 and found[units[3]] is None and len(found) == len(units) - 2
 
 
-@pytest.mark.parametrize("name", ["a10_replicate_quantiles", "m13_coverage_per_replicate"])
+@pytest.mark.parametrize("name", ["a10_replicate_quantiles", "a11_threshold_probabilities", "m13_coverage_per_replicate"])
 def test_summaries_of_replicates_write_none(spark, sf_dir, monkeypatch, name):
     def written(*_, **__):
         raise AssertionError("replicates of units are written")
