@@ -57,12 +57,22 @@ def _cut_time(edition: Column, cuts: dict[str, float]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), edition)
 
 
+def _labelled(df: DataFrame) -> DataFrame:
+    """``edition`` of each row, worked out once for each file that ``df`` reads instead of for each row."""
+    listed = df.inputFiles()
+    forms = dict.fromkeys([*listed, *(f.replace(":///", ":/", 1) for f in listed)])  # rows have paths without an empty host
+    files = df.sparkSession.createDataFrame([(f,) for f in forms], "_file string")
+    labels = files.withColumn("edition", edition_label("_file"))
+    rows = df.join(F.broadcast(labels), "_file", "left")
+    return rows.withColumn("edition", F.coalesce("edition", edition_label("_file")))  # should a path be listed in another form
+
+
 def tagged(df: DataFrame, cuts: dict[str, float]) -> DataFrame:
     """Edition from the file's path (its own name or its folder's), group key from the unit key, decimal year when it is a supply cut."""
-    edition = edition_label("_file")
+    names = [c for c in df.columns if c != "_file"]
     return (
-        df.withColumn("edition", edition)
-        .drop("_file")
+        _labelled(df)
+        .select(*names, "edition")
         .withColumn("grp", group_of_key("unit"))
         .withColumn("t", _cut_time(F.col("edition"), cuts))
     )
