@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geopanel.llm import ann_blocks, bpe_split, divergence, lm_score, packing, paragraphs, piece_rounds, quality_ledger, secrets, simhash_gray, token_links, toxicity, url_filter
 from geopanel.llm.common import table
+from geopanel.session import materialised
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +92,8 @@ def op8_secret_scans(spark, sf_dir):
     """Every secret that the forest confirms."""
     docs = table(spark, sf_dir, "documents")
     words = secrets.dictionary(docs)
-    return secrets.scan(docs, secrets.train(secrets.labelled(docs), words), words)
+    found = materialised(secrets.findings(docs))  # texts are searched once for the forest and for its judgement
+    return secrets.confirmed(found, secrets.train(secrets.labels(found), words), words)
 
 
 _NEAREST_SQL = """
